@@ -25,6 +25,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_html_text(spark, table) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(table("pages"))
+
+
+@query
+def op2_decontaminate(spark, table) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table("documents"), table("benchmark"))
+
+
 @query
 def op5_token_store(spark, table) -> DataFrame:
     from . import token_store as ts
@@ -68,3 +82,39 @@ fits as (
 best as (select url, arg_max(rule, length(rule)) as rule, arg_max(rverdict, length(rule)) as verdict from fits group by url)
 select u.page_id, u.url, u.host, u.path, best.rule, coalesce(best.verdict, 'allow') as verdict from u left join best on u.url = best.url
 """
+
+
+@query
+def op6_crf_quality(spark, table) -> DataFrame:
+    from .crf_quality import held_out, score, train
+
+    docs = table("documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table("labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op9_top_k(spark, table) -> DataFrame:
+    from .topk import integers, top_k, usable
+
+    vectors = table("embeddings").where(usable(F.col("embedding"))).select("vec_id", integers(F.col("embedding")).alias("v"))
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+ORACLE["op9_top_k"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and q.vec_id % 100 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query
+def op10_simhash(spark, table) -> DataFrame:
+    from ..session import keep
+    from .simhash import as_hex, fingerprints, near_duplicates
+
+    prints = keep(fingerprints(table("documents"), size=3, seed=42), "prints")
+    return near_duplicates(prints, max_bits=2).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")

@@ -1,7 +1,7 @@
-"""Token ids as raw little-endian 32-bit payloads, with a minimal perfect hash index over document keys.
+"""Token ids as raw little-endian payloads, with a minimal perfect hash index over document keys.
 
 A store is a folder of ``shard-*.bin`` (nothing but ids, documents in ascending key order, shards in ascending key
-ranges) and ``index-*.mph``. Keys are dealt over the index files by hash; each file holds a minimal perfect hash by
+ranges; two bytes an id where the vocabulary fits, else four) and ``index-*.mph``. Keys are dealt over the index files by hash; each file holds a minimal perfect hash by
 displacement: a first hash picks a bucket, the bucket's stored displacement makes the second hash send every key to a
 slot of its own, and the slot stores a 32-bit fingerprint with shard, offset and length. A look-up reads one
 displacement and one slot whatever the number of keys; an unknown key is told by its fingerprint (one in 2^32 is not).
@@ -35,7 +35,7 @@ PER_BUCKET = 4
 #: Rows for each payload shard, on average.
 ROWS_PER_SHARD = 4_000
 #: Words whose ids a worker remembers; a full memo is emptied.
-MEMO = 500_000
+MEMO = 1_000_000
 MAGIC = b"TMPH0001"
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("length", "<u8")])
 
@@ -56,18 +56,31 @@ def _encoder(path: str):
     return _tokenizers[path]
 
 
-def encode_texts(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
+def encode_words(words: list[str], tok) -> list[np.ndarray]:
+    """Ids of each word, from one encoding of all of them with spaces between."""
+    enc = tok.encode(" ".join(words), add_special_tokens=False)
+    ids, places = np.array(enc.ids, np.uint32), np.array([o[0] for o in enc.offsets], np.int64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    return np.split(ids, np.searchsorted(places, ends[:-1]))
+
+
+def encode_texts(texts: list[str], path: str, end_id: int) -> tuple[list[bytes], int]:
+    """The payload of each text, and the bytes of an id in it: two where they hold every id of the vocabulary."""
     tok, memo = _encoder(path)
+    width = 2 if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     split = [t.replace("\n", " ").split(" ") for t in texts]
     if len(memo) > MEMO:
         memo.clear()
-    new = list({w for words in split for w in words if w not in memo})
-    for i in range(0, len(new), 2_000):
-        part = new[i : i + 2_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-    end = struct.pack("<I", end_id)
-    return [b"".join([*map(memo.__getitem__, words), end]) for words in split]
+    new: set[str] = set()
+    for words in split:
+        new.update(words)
+    missing = list(new - memo.keys())
+    for i in range(0, len(missing), 5_000):
+        part = missing[i : i + 5_000]
+        for w, ids in zip(part, encode_words(part, tok)):
+            memo[w] = ids.astype(f"<u{width}").tobytes()
+    end = end_id.to_bytes(width, "little")
+    return [b"".join([*map(memo.__getitem__, words), end]) for words in split], width
 
 
 def mix(keys: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
@@ -115,23 +128,24 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mix(keys, 1 << 40) >> np.uint64(32)).astype("<u4")
 
 
-def write_index(path: str, keys: np.ndarray, shard: np.ndarray, offset: np.ndarray, length: np.ndarray) -> None:
+def write_index(path: str, width: int, keys: np.ndarray, shard: np.ndarray, offset: np.ndarray, length: np.ndarray) -> None:
     disp, table = build_mph(keys), np.zeros(len(keys), SLOT)
     at = slots_of(keys, disp, len(keys))
     table["fingerprint"][at], table["shard"][at], table["offset"][at], table["length"][at] = fingerprints(keys), shard, offset, length
     system, p = _open(path)
     with system.open_output_stream(p) as f:
-        f.write(MAGIC + struct.pack("<QQ", len(keys), len(disp)) + disp.tobytes() + table.tobytes())
+        f.write(MAGIC + struct.pack("<QQQ", len(keys), len(disp), width) + disp.tobytes() + table.tobytes())
 
 
-def read_index(path: str) -> tuple[np.ndarray, np.ndarray]:
+def read_index(path: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Displacements, slots, and the bytes of an id."""
     system, p = _open(path)
     with system.open_input_file(p) as f:
         data = f.read()
     if data[:8] != MAGIC:
         raise ValueError(f"{path} is no index")
-    n, buckets = struct.unpack("<QQ", data[8:24])
-    return np.frombuffer(data, "<u4", buckets, 24), np.frombuffer(data, SLOT, n, 24 + 4 * buckets)
+    n, buckets, width = struct.unpack("<QQQ", data[8:32])
+    return np.frombuffer(data, "<u4", buckets, 32), np.frombuffer(data, SLOT, n, 32 + 4 * buckets), width
 
 
 def look_up(keys: np.ndarray, disp: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -149,7 +163,7 @@ def key_of(doc_id: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Write docs' ids and index under ``folder``; returns (doc_id, occurrence, shard, file, offset, n_tokens) of what was written, offset in ids within the shard."""
+    """Write docs' ids and index under ``folder``; returns (doc_id, occurrence, shard, file, width, offset, n_tokens) of what was written, offset in ids within the shard."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).where("doc_id is not null")
     shards = max(1, rows.select("doc_id").count() // ROWS_PER_SHARD)
@@ -163,22 +177,22 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_colu
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 ids = part.column(0).to_pylist()
-                payload = encode_texts(part.column(1).to_pylist(), tokenizer, end_id)
+                payload, width = encode_texts(part.column(1).to_pylist(), tokenizer, end_id)
                 if stream is None:
                     system, base = _open(folder)
                     system.create_dir(base)
                     stream = system.open_output_stream(f"{base}/{name}")
                 for i, p in zip(ids, payload):
                     seen = seen + 1 if i == last else 0
-                    out.append((i, seen, shard, name, offset, len(p) // 4))
-                    offset, last = offset + len(p) // 4, i
+                    out.append((i, seen, shard, name, width, offset, len(p) // width))
+                    offset, last = offset + len(p) // width, i
                 stream.write(b"".join(payload))
         if stream is not None:
             stream.close()
             cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "occurrence", "shard", "file", "offset", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "occurrence", "shard", "file", "width", "offset", "n_tokens"])
 
-    placed = keep(dealt.mapInArrow(run, "doc_id bigint, occurrence bigint, shard int, file string, offset bigint, n_tokens bigint"), "placed")
+    placed = keep(dealt.mapInArrow(run, "doc_id bigint, occurrence bigint, shard int, file string, width int, offset bigint, n_tokens bigint"), "placed")
     files = max(1, placed.count() // KEYS_PER_INDEX)
 
     def index(group: pa.Table) -> pa.Table:
@@ -186,7 +200,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_colu
         keys = key_of(group["doc_id"].to_numpy(), group["occurrence"].to_numpy())
         system, base = _open(folder)
         system.create_dir(base)
-        write_index(f"{folder}/index-{part:06d}.mph", keys, group["shard"].to_numpy(), group["offset"].to_numpy(), group["n_tokens"].to_numpy())
+        write_index(f"{folder}/index-{part:06d}.mph", group["width"][0].as_py(), keys, group["shard"].to_numpy(), group["offset"].to_numpy(), group["n_tokens"].to_numpy())
         return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
 
     keep(placed.withColumn("part", index_part(files)).groupBy("part").applyInArrow(index, "part int, n bigint"), "indexed")
@@ -216,29 +230,30 @@ def read(keys: DataFrame, folder: str, index_files: int, shards: list) -> DataFr
     spark: SparkSession = keys.sparkSession
 
     def find(group: pa.Table) -> pa.Table:
-        disp, table = read_index(f"{folder}/index-{group['part'][0].as_py():06d}.mph")
+        disp, table, width = read_index(f"{folder}/index-{group['part'][0].as_py():06d}.mph")
         doc, occ = group["doc_id"].to_numpy(), group["occurrence"].to_numpy()
         at = look_up(key_of(doc, occ), disp, table)
         doc, occ, at = doc[at >= 0], occ[at >= 0], at[at >= 0]
-        cols = [doc, occ, table["shard"][at].astype(np.int32), table["offset"][at].astype(np.int64), table["length"][at].astype(np.int64)]
-        return pa.table([pa.array(c) for c in cols], names=["doc_id", "occurrence", "shard", "offset", "n_tokens"])
+        cols = [doc, occ, table["shard"][at].astype(np.int32), table["offset"][at].astype(np.int64), table["length"][at].astype(np.int64), np.full(len(at), width, np.int32)]
+        return pa.table([pa.array(c) for c in cols], names=["doc_id", "occurrence", "shard", "offset", "n_tokens", "width"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, data = None, b""
         for batch in batches:
-            shard, offset, n = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            shard, offset, n, width = (batch.column(i).to_numpy() for i in (2, 3, 4, 5))
             crc = np.empty(len(n), np.int64)
             for i in range(len(n)):
                 if shard[i] != held:
                     system, base = _open(folder)
                     with system.open_input_file(f"{base}/{names[shard[i]]}") as f:
                         held, data = shard[i], memoryview(f.read())
-                crc[i] = zlib.crc32(data[4 * offset[i] : 4 * (offset[i] + n[i])])
+                w = int(width[i])
+                crc[i] = zlib.crc32(np.frombuffer(data, f"<u{w}", n[i], w * offset[i]).astype("<u4").tobytes())
             start = offset + np.array([before[s] for s in shard], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(start, pa.int64()), batch.column(4), pa.array(crc)], names=["doc_id", "occurrence", "start", "n_tokens", "ids_crc32"])
 
     names, before = {s[0]: s[1] for s in shards}, {s[0]: s[3] for s in shards}
-    found = keys.withColumn("part", index_part(index_files)).groupBy("part").applyInArrow(find, "doc_id bigint, occurrence bigint, shard int, offset bigint, n_tokens bigint")
+    found = keys.withColumn("part", index_part(index_files)).groupBy("part").applyInArrow(find, "doc_id bigint, occurrence bigint, shard int, offset bigint, n_tokens bigint, width int")
     parts = max(1, len(shards))
     by_shard = found.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
     return by_shard.mapInArrow(fetch, "doc_id bigint, occurrence bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
