@@ -103,7 +103,7 @@ class Items:
 _built: dict[str, Items] = {}
 
 
-def blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
+def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about BLOCK_CHARS, gathered one block at a time."""
     items = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
     chars = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
@@ -132,3 +132,22 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
 
         out = out.union(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema))
     return out
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+    """docs without the rows in which an item is found, all columns as they were."""
+    import uuid
+
+    text = docs.columns.index("text")
+    for rows in blocks(items):
+        shared, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            if name not in _built:
+                _built.clear()
+                _built[name] = Items(shared.value, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not _built[name].find(t.as_py()) for t in batch.column(text)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
