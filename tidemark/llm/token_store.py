@@ -35,52 +35,102 @@ PER_BUCKET = 4
 #: Rows for each payload shard, on average.
 ROWS_PER_SHARD = 4_000
 #: Words whose ids a worker remembers; a full memo is emptied.
-MEMO = 1_000_000
+MEMO = 700_000
+#: Marks that may follow a word's letters.
+MARKS = ".,;:!?$%&*#"
 MAGIC = b"TMPH0001"
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("length", "<u8")])
 
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[tuple[str, int], Words] = {}
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def _encoder(path: str):
-    """The library's tokenizer and a memo of words. White space ends tokens and is dropped, so words can be encoded apart."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+#: How byte-level vocabularies write a byte: printable Latin-1 as itself, the others in order from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LEVEL = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(PRINTED))}
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
 
+class Words:
+    """The library's tokenizer with memos. White space ends tokens and is dropped, so words can be encoded apart.
+
+    A word of letters below U+0250, which composing leaves as they are, followed by marks is one token group of letters
+    and one of marks: its letters go to the library's model in lower case, once for all marks and cases. Every other
+    word goes through the library whole.
+    """
+
+    def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-def encode_words(words: list[str], tok) -> list[np.ndarray]:
-    """Ids of each word, from one encoding of all of them with spaces between."""
-    enc = tok.encode(" ".join(words), add_special_tokens=False)
-    ids, places = np.array(enc.ids, np.uint32), np.array([o[0] for o in enc.offsets], np.int64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    return np.split(ids, np.searchsorted(places, ends[:-1]))
+        self.tok = Tokenizer.from_file(path)
+        self.width = 2 if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        self.end = end_id.to_bytes(self.width, "little")
+        self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        plain = self.encode(["The", "été,", "x&&&"])
+        self.apart = plain == [self.by_parts(w) for w in ("The", "été,", "x&&&")]
+
+    def pack(self, ids) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """One encoding of all words with spaces between."""
+        enc = self.tok.encode(" ".join(words), add_special_tokens=False)
+        ids, places = np.array(enc.ids, f"<u{self.width}"), np.array([o[0] for o in enc.offsets], np.int64)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        return [x.tobytes() for x in np.split(ids, np.searchsorted(places, ends[:-1]))]
+
+    def by_parts(self, word: str) -> bytes | None:
+        low = word.lower()
+        core = low.rstrip(MARKS)
+        if not core.isalpha() or max(core) >= "\u0250":
+            return None
+        out = self.cores.get(core)
+        if out is None:
+            if len(self.cores) > MEMO:
+                self.cores.clear()
+            out = self.cores[core] = self.pack([t.id for t in self.tok.model.tokenize(core.encode().decode("latin-1").translate(LEVEL))])
+        if len(core) == len(low):
+            return out
+        marks = low[len(core) :]
+        if marks not in self.cores:
+            self.cores[marks] = self.encode([marks])[0]
+        return out + self.cores[marks]
+
+    def learn(self, words: list[str]) -> None:
+        rest = []
+        for w in words:
+            ids = self.by_parts(w) if self.apart and w else None
+            if ids is None:
+                rest.append(w)
+            else:
+                self.words[w] = ids
+        for i in range(0, len(rest), 5_000):
+            part = rest[i : i + 5_000]
+            self.words.update(zip(part, self.encode(part)))
+
+
+def _encoder(path: str, end_id: int) -> Words:
+    if (path, end_id) not in _tokenizers:
+        _tokenizers[path, end_id] = Words(path, end_id)
+    return _tokenizers[path, end_id]
 
 
 def encode_texts(texts: list[str], path: str, end_id: int) -> tuple[list[bytes], int]:
     """The payload of each text, and the bytes of an id in it: two where they hold every id of the vocabulary."""
-    tok, memo = _encoder(path)
-    width = 2 if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    enc = _encoder(path, end_id)
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    if len(memo) > MEMO:
-        memo.clear()
+    if len(enc.words) > MEMO:
+        enc.words.clear()
     new: set[str] = set()
     for words in split:
         new.update(words)
-    missing = list(new - memo.keys())
-    for i in range(0, len(missing), 5_000):
-        part = missing[i : i + 5_000]
-        for w, ids in zip(part, encode_words(part, tok)):
-            memo[w] = ids.astype(f"<u{width}").tobytes()
-    end = end_id.to_bytes(width, "little")
-    return [b"".join([*map(memo.__getitem__, words), end]) for words in split], width
+    enc.learn(list(new - enc.words.keys()))
+    ids = enc.words.__getitem__
+    return [b"".join([*map(ids, words), enc.end]) for words in split], enc.width
 
 
 def mix(keys: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
