@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DOCS, MAX_LINES, STEPS, L2 = 6_000, 200, 150, 1e-3
+MAX_DOCS, MAX_LINES, STEPS, L2 = 6_000, 64, 150, 1e-3
 
 #: Kinds of bytes, for counting: 0 other, 1 lower, 2 upper, 3 digit, 4 white, 5 sentence marks, 6 symbols, 7 beyond ASCII, 8 newline
 KIND = np.zeros(256, np.uint8)
@@ -78,13 +78,16 @@ def with_neighbours(x: np.ndarray) -> np.ndarray:
 FEATURES = 4 * WIDTH + 3
 
 
-def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(documents x lines x features, true where a line is)."""
-    most = max(len(d) for d in docs)
-    x, there = np.zeros((len(docs), most, docs[0].shape[1])), np.zeros((len(docs), most), bool)
-    for i, d in enumerate(docs):
-        x[i, : len(d)], there[i, : len(d)] = d, True
-    return x, there
+def present(lengths: list[int]) -> np.ndarray:
+    """documents x lines: true where a line is."""
+    return np.arange(max(lengths))[None, :] < np.array(lengths)[:, None]
+
+
+def spread(flat: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Values of all lines, as documents x lines with zeros where there is none."""
+    out = np.zeros(there.shape)
+    out[there] = flat
+    return out
 
 
 def forward_backward(unary: np.ndarray, pair: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,21 +120,18 @@ class Model:
     def unary(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.w
 
-    def fit_chain(self, x: np.ndarray, there: np.ndarray, y: np.ndarray) -> None:
-        """Adam on the mean log likelihood of the lines' labels y (documents x lines)."""
-        z = ((x - self.mean) / self.scale) * there[:, :, None]
-        n = there.sum()
-        y = y * there
+    def fit_chain(self, flat: np.ndarray, there: np.ndarray, y: np.ndarray) -> None:
+        """Adam on the mean log likelihood of the lines' labels. flat: lines x features; there, y: documents x lines."""
+        n, labels = len(flat), y[there]
         given = np.zeros((2, 2))
         both = there[:, 1:]
         for i in (0, 1):
             for j in (0, 1):
                 given[i, j] = ((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum()
         state = [np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)]
-        flat = z.reshape(-1, FEATURES)
         for step in range(1, STEPS + 1):
-            good, joint, _ = forward_backward((flat @ self.w).reshape(there.shape), self.pair, there)
-            g = np.concatenate([((y - good) * there).reshape(-1) @ flat / n - L2 * self.w, ((given - joint) / n - L2 * self.pair).ravel()])
+            good, joint, _ = forward_backward(spread(flat @ self.w, there), self.pair, there)
+            g = np.concatenate([(labels - good[there]) @ flat / n - L2 * self.w, ((given - joint) / n - L2 * self.pair).ravel()])
             state[0], state[1] = 0.9 * state[0] + 0.1 * g, 0.999 * state[1] + 0.001 * g * g
             move = 0.1 * (1 - 0.9 * step / STEPS) * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
             self.w, self.pair = self.w + move[:FEATURES], self.pair + move[FEATURES:].reshape(2, 2)
@@ -144,9 +144,9 @@ class Model:
             most = max(1, 200_000 // (len(docs[order[at]][0]) * 2 + 8))
             part = [i for i in order[at : at + most] if len(docs[i][0]) <= 2 * len(docs[order[at]][0]) + 8]
             at += len(part)
-            odds = [self.unary(with_neighbours(docs[i][0])) for i in part]
-            u, there = padded([o[:, None] for o in odds])
-            good, _, _ = forward_backward(u[:, :, 0], self.pair, there)
+            there = present([len(docs[i][0]) for i in part])
+            odds = np.concatenate([self.unary(with_neighbours(docs[i][0])) for i in part])
+            good, _, _ = forward_backward(spread(odds, there), self.pair, there)
             for i, g in zip(part, good):
                 w = docs[i][1]
                 out[i] = (g[: len(w)] * w).sum() / w.sum()
@@ -160,18 +160,17 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     m = Model()
     if len(set(labels.tolist())) < 2:
         return m
-    rich = [with_neighbours(f) for f, _ in docs]
-    every = np.vstack(rich)
-    m.mean, m.scale = every.mean(0), every.std(0) + 1e-6
+    flat = np.vstack([with_neighbours(f) for f, _ in docs])
+    m.mean, m.scale = flat.mean(0), flat.std(0) + 1e-6
     m.mean[-1], m.scale[-1] = 0, 1
-    order = np.argsort([len(r) for r in rich], kind="stable")
-    x, there = padded([rich[i] for i in order])
-    y = np.repeat(labels[order][:, None], x.shape[1], 1).astype(float)
-    m.fit_chain(x, there, y)
-    good, _, _ = forward_backward(m.unary(x), m.pair, there)
+    flat = (flat - m.mean) / m.scale
+    there = present([len(f) for f, _ in docs])
+    y = np.repeat(labels[:, None], there.shape[1], 1).astype(float)
+    m.fit_chain(flat, there, y)
+    good, _, _ = forward_backward(spread(flat @ m.w, there), m.pair, there)
     sure = good >= 0.9
     sure[(good * there).sum(1) >= 0.9 * there.sum(1)] = False  # a bad document keeps some bad line
-    m.fit_chain(x, there, np.where(sure, 1.0, y))
+    m.fit_chain(flat, there, np.where(sure, 1.0, y))
     # calibration: a logistic curve through the training documents, by Newton steps
     mean = m.means(docs) - 0.5
     t = np.stack([mean, np.ones_like(mean)], 1)
