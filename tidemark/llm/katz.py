@@ -38,15 +38,20 @@ ROWS_PER_BUCKET = 2_000
 
 
 def pack(x: np.ndarray) -> bytes:
+    """Compressed by place: all first bytes of the numbers, then all second ones, so high bytes cost little."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def unpack(b: bytes, kind: str) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind) if b else np.empty(0, kind)
+    if not b:
+        return np.empty(0, kind)
+    places = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(places.T).reshape(-1).view(kind)
 
 
 def counts_of_counts(c: np.ndarray) -> np.ndarray:
@@ -90,23 +95,23 @@ class Unigrams:
 
 
 class Batch:
-    """A coded batch: tokens are places in its vocabulary's hashes, which are sorted; each text is followed by end."""
+    """A coded batch: tokens are places in its vocabulary in the order of hashes; each text is followed by end.
+
+    A row has tokens by frequency, which takes less room, with the place of each, and the cuts of places by bucket.
+    """
 
     def __init__(self, row: dict, buckets: int):
         self.row, self.buckets = row, buckets
-        self.hashes = unpack(row["hashes"], "<u8")
-        self.tokens, self.sizes = unpack(row["tokens"], "<u4").astype(np.int64), unpack(row["sizes"], "<i8")
+        place, self.cuts = unpack(row["hashes"], "<u4").astype(np.int64), unpack(row["counts"], "<i8")
+        self.tokens, self.sizes, self.n = place[unpack(row["tokens"], "<u4")], unpack(row["sizes"], "<i8"), len(place)
         self.train = unpack(row["train"], "u1")
-        self.word_bucket = bucket_of(self.hashes, buckets)
+        self.word_bucket = np.repeat(np.arange(buckets), np.diff(self.cuts))
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         self.context = np.empty_like(self.tokens)
         self.context[1:] = self.tokens[:-1]
         self.context[self.starts] = int(row["end"])
 
-    def word_slices(self) -> np.ndarray:
-        return np.searchsorted(self.word_bucket, np.arange(self.buckets + 1))
-
     def pairs(self, heavy: np.ndarray, ids: np.ndarray) -> None:
         """Distinct pairs in the order of their buckets: u, w (places), inverse (pair of each token), slices by bucket."""
         key, inverse = np.unique(self.context << 32 | self.tokens, return_inverse=True)
@@ -162,11 +167,14 @@ def code(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(hashes)
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
-            t, size, of = rank[np.concatenate(tokens)], np.array(sizes, np.int64), np.array(train, bool)
-            counts = np.bincount(t[np.repeat(of, size)], minlength=len(order)).astype("<u4")
+            raw, size, of = np.concatenate(tokens), np.array(sizes, np.int64), np.array(train, bool)
+            counts = np.bincount(rank[raw[np.repeat(of, size)]], minlength=len(order)).astype("<u4")
+            common = np.argsort(-np.bincount(raw, minlength=len(order)), kind="stable")
+            by_use = np.empty_like(common)
+            by_use[common] = np.arange(len(common))
             hashes, name = hashes[order], part << 24 | n
-            rows = [{"kind": "d", "batch": name, "ids": pack(np.array([i or 0 for i in ids], "<i8")), "train": pack(np.array([2 * (i is None) + b for i, b in zip(ids, train)], "u1")), "sizes": pack(size.astype("<i8")), "tokens": pack(t.astype("<u4")), "hashes": pack(hashes.astype("<u8")), "end": int(rank[0])}]
             cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
+            rows = [{"kind": "d", "batch": name, "ids": pack(np.array([i or 0 for i in ids], "<i8")), "train": pack(np.array([2 * (i is None) + b for i, b in zip(ids, train)], "u1")), "sizes": pack(size.astype("<i8")), "tokens": pack(by_use[raw].astype("<u4")), "hashes": pack(rank[common].astype("<u4")), "counts": pack(cuts.astype("<i8")), "end": int(rank[0])}]
             rows += [{"kind": "w", "batch": name, "bucket": b, "hashes": pack(hashes[i:j]), "counts": pack(counts[i:j])} for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
             yield from table(CODED, rows).to_batches()
 
@@ -208,7 +216,7 @@ def count_words(group: pa.Table) -> pa.Table:
 
 def answers_of(batch: Batch, rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Count and number within its bucket of every word of the batch."""
-    cuts, counts, number = batch.word_slices(), np.zeros(len(batch.hashes), np.int64), np.zeros(len(batch.hashes), np.int64)
+    cuts, counts, number = batch.cuts, np.zeros(batch.n, np.int64), np.zeros(batch.n, np.int64)
     for r in rows:
         if r["kind"] == "words":
             i, j = cuts[r["bucket"]], cuts[r["bucket"] + 1]
@@ -279,7 +287,7 @@ def score(docs: DataFrame, train_where=None) -> DataFrame:
         rows.append({"kind": "stats", "bucket": bucket, "a": counts_of_counts(count).astype("<i8").tobytes()})
         return table(ANSWER, rows)
 
-    texts, told = coded.where("kind = 'd'").select("batch", "ids", "train", "sizes", "tokens", "hashes", "end"), words.where("kind = 'words'")
+    texts, told = coded.where("kind = 'd'").select("batch", "ids", "train", "sizes", "tokens", "hashes", "counts", "end"), words.where("kind = 'words'")
     asked = texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(ask, ANSWER)
     pairs = keep(asked.groupBy("bucket").applyInArrow(count_pairs, ANSWER), "pairs")
     n_pairs = np.zeros(K + 2, np.int64)
