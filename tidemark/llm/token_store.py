@@ -15,6 +15,7 @@ in use; every file is named by the rows that the finished stage returned.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,7 +39,10 @@ ROWS_PER_SHARD = 4_000
 MEMO = 700_000
 #: Marks that may follow a word's letters.
 MARKS = ".,;:!?$%&*#"
+BEYOND = re.compile("[^\x00-\u024f]")
 MAGIC = b"TMPH0001"
+#: Marks a displacement that is the slot of its bucket's only key.
+DIRECT = np.uint32(1 << 31)
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("length", "<u8")])
 
 _tokenizers: dict[tuple[str, int], Words] = {}
@@ -53,8 +57,8 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LEVEL = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(PRINTED))}
 
 
-class Words:
-    """The library's tokenizer with memos. White space ends tokens and is dropped, so words can be encoded apart.
+class Words(dict):
+    """Words to their ids, by the library's tokenizer where they aren't known yet. White space ends tokens and is dropped, so words can be encoded apart.
 
     A word of letters below U+0250, which composing leaves as they are, followed by marks is one token group of letters
     and one of marks: its letters go to the library's model in lower case, once for all marks and cases. Every other
@@ -68,7 +72,6 @@ class Words:
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
-        self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         plain = self.encode(["The", "été,", "x&&&"])
         self.apart = plain == [self.by_parts(w) for w in ("The", "été,", "x&&&")]
@@ -100,17 +103,12 @@ class Words:
             self.cores[marks] = self.encode([marks])[0]
         return out + self.cores[marks]
 
-    def learn(self, words: list[str]) -> None:
-        rest = []
-        for w in words:
-            ids = self.by_parts(w) if self.apart and w else None
-            if ids is None:
-                rest.append(w)
-            else:
-                self.words[w] = ids
-        for i in range(0, len(rest), 5_000):
-            part = rest[i : i + 5_000]
-            self.words.update(zip(part, self.encode(part)))
+    def __missing__(self, word: str) -> bytes:
+        ids = (self.by_parts(word) if self.apart else None) if word else b""
+        if ids is None:
+            ids = self.encode([word])[0]
+        self[word] = ids
+        return ids
 
 
 def _encoder(path: str, end_id: int) -> Words:
@@ -122,15 +120,15 @@ def _encoder(path: str, end_id: int) -> Words:
 def encode_texts(texts: list[str], path: str, end_id: int) -> tuple[list[bytes], int]:
     """The payload of each text, and the bytes of an id in it: two where they hold every id of the vocabulary."""
     enc = _encoder(path, end_id)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    if len(enc.words) > MEMO:
-        enc.words.clear()
-    new: set[str] = set()
-    for words in split:
-        new.update(words)
-    enc.learn(list(new - enc.words.keys()))
-    ids = enc.words.__getitem__
-    return [b"".join([*map(ids, words), enc.end]) for words in split], enc.width
+    if len(enc) > MEMO:
+        enc.clear()
+    out = []
+    for t in texts:
+        # lower case is what the tokenizer sees; without marks that compose, and special tokens, it may come first
+        if "<|" not in t and (t.isascii() or not BEYOND.search(t)):
+            t = t.lower()
+        out.append(b"".join([*map(enc.__getitem__, t.replace("\n", " ").split(" ")), enc.end]))
+    return out, enc.width
 
 
 def mix(keys: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
@@ -143,7 +141,10 @@ def mix(keys: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
 
 
 def build_mph(keys: np.ndarray) -> np.ndarray:
-    """Displacements of a minimal perfect hash of distinct keys: slot = mix(key, displacement of its bucket) mod n."""
+    """Displacements of a minimal perfect hash of distinct keys: slot = mix(key, displacement of its bucket) mod n.
+
+    Buckets go from large to small; a bucket's only key takes a slot that is left.
+    """
     n = len(keys)
     buckets = max(1, n // PER_BUCKET)
     of = (mix(keys, 0) % np.uint64(buckets)).astype(np.int64)
@@ -152,26 +153,28 @@ def build_mph(keys: np.ndarray) -> np.ndarray:
     taken, out = np.zeros(n, bool), np.zeros(buckets, "<u4")
     for b in np.argsort(-np.diff(starts), kind="stable"):
         group = keys[order[starts[b] : starts[b + 1]]]
-        if not len(group):
+        if len(group) < 2:
             break
         seed = 1
         while True:  # many displacements at once
             slots = (mix(group[None, :], np.arange(seed, seed + 64)[:, None]) % np.uint64(n)).astype(np.int64)
             good = ~taken[slots].any(1)
-            if len(group) > 1:
-                s = np.sort(slots, 1)
-                good &= (s[:, 1:] != s[:, :-1]).all(1)
+            s = np.sort(slots, 1)
+            good &= (s[:, 1:] != s[:, :-1]).all(1)
             if good.any():
                 at = int(np.argmax(good))
                 out[b], taken[slots[at]] = seed + at, True
                 break
             seed += 64
+    alone = np.flatnonzero(np.diff(starts) == 1)
+    out[alone] = np.flatnonzero(~taken).astype("<u4") | DIRECT
     return out
 
 
 def slots_of(keys: np.ndarray, displacements: np.ndarray, n: int) -> np.ndarray:
     bucket = (mix(keys, 0) % np.uint64(len(displacements))).astype(np.int64)
-    return (mix(keys, displacements[bucket]) % np.uint64(n)).astype(np.int64)
+    d = displacements[bucket]
+    return np.where(d & DIRECT, d & ~DIRECT, mix(keys, d) % np.uint64(n)).astype(np.int64)
 
 
 def fingerprints(keys: np.ndarray) -> np.ndarray:
