@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_DOCS, MAX_LINES, STEPS, L2 = 6_000, 64, 150, 1e-3
 
@@ -205,11 +206,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(data, np.array([float(r["quality"]) for r in rows]))
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame:
-    """docs with a column score (0 to 1, higher is better) after its own columns."""
-    from pyspark.sql import types as T
-
-    name = "score"
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column (0 to 1, higher is better) after its own columns; name it as none of these."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     text = docs.columns.index("text")
 

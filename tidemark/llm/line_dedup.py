@@ -14,7 +14,8 @@ in common with the first, where a run overlaps itself.
 
 Null texts stay null and null ids sort first; empty texts stay empty. Rows with equal id and text are one document
 here and all get the same result. An empty table gives an empty result. All columns of the input are returned, text
-without the deleted lines (and n_chars set to its length, if there is such a column), then n_lines and n_deleted.
+without the deleted lines (and n_chars set to its length, if there is such a column), then n_lines and n_deleted, which
+may be named otherwise where the input has such columns.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def deleted_intervals(docs: DataFrame, min_words: int = MIN_WORDS, id_column: st
     return merged.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text", counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
     gone = deleted_intervals(docs, min_words, id_column, text_column).withColumnsRenamed({"ld_d": "ld_d2", "ld_t": "ld_t2", "gone": "ld_gone"})
     keyed = _doc_key(docs, id_column, text_column)
     out = keyed.join(gone, (keyed["ld_d"] == gone["ld_d2"]) & (keyed["ld_t"] == gone["ld_t2"]), "left")
@@ -112,4 +113,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "d
     # only where lines go is a text taken apart: the empty lines go with them
     text = F.when(F.col("ld_gone").isNull(), F.col(text_column)).otherwise(F.array_join(F.filter(F.filter(split, lambda x: F.trim(x) != ""), stays), "\n"))
     changed = {text_column: text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns), F.coalesce(F.size(filled), F.lit(0)).alias("n_lines"), n_deleted.cast("int").alias("n_deleted"))
+    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns), F.coalesce(F.size(filled), F.lit(0)).alias(counts[0]), n_deleted.cast("int").alias(counts[1]))
