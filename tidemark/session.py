@@ -30,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)  # with its scheme, for those who don't know Spark's default
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -17,7 +17,7 @@ HELD = "held_sec bigint, held_nsec int, path string, device_id string, remote_ma
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """Files below root: path array, path_str, size, mtime_sec, mtime_nsec, and content, which only chunking reads.
 
-    A path of object stores and file systems alike; these give no exec bits, links, nanoseconds or empty directories.
+    A path of object stores and file systems alike; these give no exec bits, links, nanoseconds, empty directories or empty files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
