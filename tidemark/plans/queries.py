@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, names, paths
+from ..operators import apply, gc, ignore, ledger, store, transfer
 from ..operators import diff as d
-from ..operators import gc, ignore, ledger, transfer
 from ..operators import reconcile as rc
 from ..session import ship
 from ..sources import files
@@ -175,8 +175,10 @@ def status(spark, table):
     decided = rc.decide(base, local, remote, sn.LOCAL_DEVICE, sn.REMOTE_DEVICE)
     conflict = F.col("decision") == "conflict"
     loser = F.when(F.col("winner") == "local", F.col("r")).otherwise(F.col("l"))
-    one = decided.agg(F.count_if(conflict).alias("conflicts"), F.count_if(conflict & loser.isNotNull() & (loser["kind"] != "dir")).alias("quarantined"), (F.count_if((F.col("decision") == "keep_local") | (F.col("winner") == "local")) > 0).alias("has_local_wins"))
-    return one.crossJoin(d.diff(base, local).agg(F.count("*").alias("pending"))).select("conflicts", "pending", "quarantined", "has_local_wins")
+    flags = decided.select(conflict.alias("c"), (conflict & loser.isNotNull() & (loser["kind"] != "dir")).alias("q"), ((F.col("decision") == "keep_local") | (F.col("winner") == "local")).alias("w"), F.lit(False).alias("p"))
+    no = F.lit(False)
+    every = flags.union(d.diff(base, local).select(no, no, no, F.lit(True)))
+    return every.agg(F.count_if("c").alias("conflicts"), F.count_if("p").alias("pending"), F.count_if("q").alias("quarantined"), (F.count_if("w") > 0).alias("has_local_wins"))
 
 
 # transfer: a blob is a (part, supplier) of a line item, its pack one of five hundred of the supplier; remote misses what it never ordered
@@ -482,5 +484,147 @@ def cdc_chunks(spark, table):
     return chunks(docs, POLYNOMIAL, "doc_id", "content", least=256, most=4096, bits=9)
 
 
+_size = lambda x: f"coalesce(list_sum(list_transform(string_split({x}.chunks, ','), lambda c: try_cast(split_part(c, ':', 2) as bigint))), 0)"
+
+
+def _mismatch(e: str, v: str) -> str:
+    return f"""case when {e}.kind <> {v}.kind then 'kind_mismatch' when {v}.kind = 'file' then case when {_size(e)} <> {_size(v)} then 'size_mismatch' when {e}.exec <> {v}.exec then 'exec_mismatch' when {e}.chunks <> {v}.chunks then 'content_mismatch' end
+    when {v}.kind = 'link' then case when {e}.target <> {v}.target then 'target_mismatch' end end"""
+
+
+@query(sn.SQL + f""", gone as (select path_str from d_local where bucket in ('removed', 'type_changed')),
+plan as (select path_str, 'remove' as action from gone union select b.path_str, 'remove' from base b join gone g on starts_with(b.path_str, g.path_str || '/') union all select path_str, 'upsert' from d_local where bucket <> 'removed'),
+own as (select p.path_str, case when action = 'remove' then case when e.path_str is null then 'not_in_base' when v.path_str is null then 'expected_present' else {_mismatch('e', 'v')} end
+    else case when e.path_str is null then case when v.path_str is not null then 'expected_absent' end when v.path_str is null then 'expected_present' when e.kind <> 'dir' then {_mismatch('e', 'v')} end end as reason
+  from plan p left join base e on e.path_str = p.path_str left join remote v on v.path_str = p.path_str),
+deep as (select coalesce(e.path_str, v.path_str) as path_str, case when e.path_str is null then 'expected_absent' when v.path_str is null then 'expected_present' else {_mismatch('e', 'v')} end as reason from base e full join remote v on e.path_str = v.path_str)
+select path_str, reason from own where reason is not null union all
+select path_str, reason from deep where reason is not null and contains(path_str, '/') and split_part(path_str, '/', 1) in (select path_str from plan where action = 'remove') and path_str not in (select path_str from plan where action = 'remove')""")
+def apply_guard(spark, table):
+    base, local, remote = versions(table)
+    return apply.guarded(d.applied(base, d.diff(base, local)), base, remote)
+
+
+@query(sn.SQL + f" select e.path_str, case when v.path_str is null or ({_mismatch('e', 'v')}) is not null then 'write' when e.mtime_sec = v.mtime_sec and e.mtime_nsec = v.mtime_nsec then 'skip' else 'touch' end as action from remote e left join local v on e.path_str = v.path_str")
+def apply_steps(spark, table):
+    _, local, remote = versions(table)
+    return apply.steps(remote, local)
+
+
+@query("""with recursive x as (select o_custkey, o_orderkey, cast(floor(o_totalprice) as bigint) as n, row_number() over (partition by o_custkey order by o_orderkey) as rn from orders),
+f as (select o_custkey, o_orderkey, rn, cast(0 as bigint) as batch, cast(1 as bigint) as k, n as size from x where rn = 1
+  union all select x.o_custkey, x.o_orderkey, x.rn, case when f.k >= 3 or f.size >= 500000 then f.batch + 1 else f.batch end, case when f.k >= 3 or f.size >= 500000 then 1 else f.k + 1 end, case when f.k >= 3 or f.size >= 500000 then x.n else f.size + x.n end
+  from f join x on x.o_custkey = f.o_custkey and x.rn = f.rn + 1)
+select o_custkey, o_orderkey, batch from f""")
+def item_batches(spark, table):
+    items = table("orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").cast("bigint").alias("n"))
+    return store.item_batches(items, "o_custkey", ["o_orderkey"], "n", 3, 500_000).select("o_custkey", "o_orderkey", "batch")
+
+
+@query(sn.SQL + f" select (select count(*) from local where kind = 'file') as files, (select count(*) from local where kind = 'dir') as dirs, (select count(*) from local where kind = 'link') as links, cast((select sum({_size('b')}) from d_local where bucket <> 'removed' and b.kind = 'file') as bigint) as bytes_chunked, (select count(*) from d_local where bucket <> 'removed' and b.kind = 'file') as files_rehashed")
+def scan_counts(spark, table):
+    base, local, _ = versions(table)
+    return store.scan_counts(local, d.diff(base, local).where("bucket <> 'removed'").select("after.*"))
+
+
+@query()
+def canonical_ids(spark, table):
+    return store.canonical_ids(sn.snapshot(table, "local"))
+
+
+FOLDERS = """select o_orderkey, case when o_orderstatus = 'P' then 'bad' || o_orderkey else md5(cast(o_custkey as varchar)) end as folder_id, case when o_orderpriority = '5-LOW' then 'rel/' else '/' end || o_custkey || case when o_orderstatus = 'F' then '/' || o_orderkey else '' end as path,
+  case when o_totalprice > 400000 then 'never' else '2026-01-01T00:00:00Z' end as added_at from orders"""
+
+
+@query(f"""with f as ({FOLDERS}), n as (select path, count(*) as n from f group by path),
+o as (select distinct a.folder_id from f a where exists (select 1 from n where n.path = a.path and n.n > 1) or exists (select 1 from n where starts_with(a.path, n.path || '/')) or exists (select 1 from n where starts_with(n.path, a.path || '/')))
+select folder_id, error from (select folder_id, case when not regexp_matches(folder_id, '^[0-9a-f]{{32}}$') then 'invalid_id' when not starts_with(path, '/') then 'relative_path' when added_at = 'never' then 'invalid_time' end as error from f) where error is not null
+union all select folder_id, 'duplicate_id' from f group by folder_id having count(*) > 1 union all select folder_id, 'overlapping_path' from o""")
+def registry_errors(spark, table):
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey")
+    ids = F.when(status == "P", F.concat(F.lit("bad"), key)).otherwise(F.md5(F.col("o_custkey").cast("string").cast("binary")))
+    path = F.concat(F.when(F.col("o_orderpriority") == "5-LOW", "rel/").otherwise("/"), "o_custkey", F.when(status == "F", F.concat(F.lit("/"), key)).otherwise(""))
+    return store.registry_errors(table("orders").select(ids.alias("folder_id"), path.alias("path"), F.when(F.col("o_totalprice") > 400_000, "never").otherwise("2026-01-01T00:00:00Z").alias("added_at")))
+
+
+@query("select user_id, count(*) filter (event_type = 'view') as ok, count(*) filter (event_type = 'error') as failed, count(*) filter (event_type = 'click') as rejected from events group by user_id")
+def engine_stats(spark, table):
+    outcome = F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "rejected")
+    return store.engine_stats(table("events").select("user_id", outcome.alias("outcome")), ["user_id"])
+
+
+@query("select user_id, arg_max(event_type, event_id) as event, max(event_id) as at from events group by user_id")
+def connections(spark, table):
+    return store.connections(table("events").select(F.col("user_id").alias("peer"), F.col("event_id").alias("at"), F.col("event_type").alias("event"))).withColumnRenamed("peer", "user_id")
+
+
+@query("select o_custkey, count(*) as n from orders group by o_custkey having count(*) <> 1")
+def exactly_one(spark, table):
+    return store.exactly_one(table("orders"), ["o_custkey"])
+
+
+@query("""with m as (select a.l_orderkey, a.l_linenumber, a.l_partkey as ra, b.l_partkey as rb, case when a.l_returnflag = 'N' then null else a.l_suppkey end as ba, case when b.l_returnflag = 'R' then b.l_partkey end as bb, a.l_quantity as ca, b.l_quantity as cb
+  from (select * from lineitem) a join (select l_orderkey, min(l_partkey) as l_partkey, arg_min(l_returnflag, l_partkey) as l_returnflag, arg_min(l_quantity, l_partkey) as l_quantity from (select l_orderkey, l_partkey, min(l_returnflag) as l_returnflag, min(l_quantity) as l_quantity from lineitem group by 1, 2) group by l_orderkey) b using (l_orderkey)),
+x as (select *, case when ba is null then ra <> 0 else ra <> ba end as da, case when bb is null then rb <> 0 else rb <> bb end as db from m)
+select l_orderkey, l_linenumber, ra, case when da and not db then 'first' when not da and db then 'second' when ra <> 0 and rb = 0 then 'first' when ra = 0 and rb <> 0 then 'second' when ca > cb or ca = cb and ra >= rb then 'first' else 'second' end as donor from x""")
+def donor_selection(spark, table):
+    lines = table("lineitem")
+    per = lines.groupBy("l_orderkey", "l_partkey").agg(F.min("l_returnflag").alias("flag"), F.min("l_quantity").alias("q"))
+    other = per.groupBy("l_orderkey").agg(F.min(F.struct("l_partkey", "flag", "q")).alias("o"))
+    side = lambda root, base, created: F.struct(root.alias("root_tree_id"), base.alias("baseline"), created.alias("created_sec"), F.lit(0).alias("created_nsec"), F.lit("d").alias("device_id"))
+    mine = side(F.col("l_partkey"), F.when(F.col("l_returnflag") != "N", F.col("l_suppkey")), F.col("l_quantity"))
+    theirs = side(F.col("o.l_partkey"), F.when(F.col("o.flag") == "R", F.col("o.l_partkey")), F.col("o.q"))
+    return lines.join(other, "l_orderkey").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("ra"), store.donor(mine, theirs, F.lit(0)).alias("donor"))
+
+
+@query("""select c_custkey as peer, coalesce(e, p, a) as base, case when e is not null then 'explicit' when p is not null then 'pin' when a is not null then 'ledger' end as source
+from (select c_custkey, case when c_mktsegment = 'BUILDING' then c_custkey end as e from customer) left join (select o_custkey, min(o_orderkey) as p from orders where o_orderpriority = '1-URGENT' group by 1) x on x.o_custkey = c_custkey left join (select o_custkey, max(o_orderkey) as a from orders group by 1) y on y.o_custkey = c_custkey""")
+def release_bases(spark, table):
+    releases = table("customer").select(F.col("c_custkey").alias("peer"), F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_custkey")).alias("explicit"))
+    orders = table("orders").groupBy(F.col("o_custkey").alias("peer"))
+    pinned = table("orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("peer")).agg(F.min("o_orderkey").alias("manifest_id"))
+    return store.release_base(releases, pinned, orders.agg(F.max("o_orderkey").alias("manifest_id")))
+
+
+@query("select o_custkey as peer, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as manifest_id from orders group by o_custkey")
+def release_targets(spark, table):
+    held = table("orders").select(F.col("o_custkey").alias("peer"), F.col("o_orderkey").alias("remote_manifest_id"), F.col("o_orderdate").alias("held_sec"), F.lit(0).alias("held_nsec"), F.col("o_orderkey").alias("ord"))
+    return store.release_targets(held)
+
+
+@query("""with w as (select p_brand as dir, p_name as name, row_number() over (partition by p_brand, p_name order by p_partkey) as i from part),
+e as (select distinct p_brand as dir, case when p_size % 3 = 0 then p_name when p_size % 3 = 1 then p_name || '-2' else p_name || '-4' end as name from part where p_type = 'ECONOMY'),
+n as (select distinct dir, name from w), c as (select dir, name, k from n, range(1, 400) r(k)),
+free as (select c.dir, c.name, k, row_number() over (partition by c.dir, c.name order by k) as i from c left join e on e.dir = c.dir and e.name = case when k = 1 then c.name else c.name || '-' || k end where e.dir is null)
+select w.dir, w.name, case when k = 1 then w.name else w.name || '-' || k end as copy from w join free using (dir, name, i)""")
+def numbered_copies(spark, table):
+    part, size = table("part"), F.col("p_size") % 3
+    name = F.when(size == 0, F.col("p_name")).when(size == 1, F.concat("p_name", F.lit("-2"))).otherwise(F.concat("p_name", F.lit("-4")))
+    existing = part.where("p_type = 'ECONOMY'").select(F.col("p_brand").alias("dir"), name.alias("name")).distinct()
+    return store.numbered_copies(part.select(F.col("p_brand").alias("dir"), F.col("p_name").alias("name")), existing)
+
+
+@query("select distinct l_partkey, l_suppkey from lineitem where l_returnflag = 'R' or l_linestatus = 'O'")
+def index_merge(spark, table):
+    part = lambda w: table("lineitem").where(w).select("l_partkey", "l_suppkey")
+    return store.merged_index(part("l_returnflag = 'R'"), part("l_linestatus = 'O'"))
+
+
+@query("select p_partkey, p_name from part where contains(lower(p_name), 'ed w')")
+def picker(spark, table):
+    return store.picked(table("part").select("p_partkey", "p_name"), "p_name", "ED w")
+
+
+@query("select distinct s_nationkey as peer from supplier where s_nationkey not in (select c_nationkey from customer where c_mktsegment = 'BUILDING' and c_acctbal > 9000)")
+def discovered_only(spark, table):
+    connected = table("customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 9000").select(F.col("c_nationkey").alias("peer"))
+    return store.discovered_only(table("supplier").select(F.col("s_nationkey").alias("peer")).distinct(), connected)
+
+
+@query("select p_name as path from part where starts_with(lower(p_name), 'blue') order by p_name limit 8")
+def suggestions(spark, table):
+    return ledger.suggestions(table("part").select(F.col("p_name").alias("path")), "BLUE")
+
+
 #: An irreducible polynomial of degree 53.
 POLYNOMIAL = (1 << 53) | 0b1000111
