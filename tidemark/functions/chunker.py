@@ -70,23 +70,25 @@ def tables(p: int) -> np.ndarray:
     return out
 
 
-def fingerprints(data: bytes, p: int, block: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
-    """(position, fingerprints of the windows that end there and after) in blocks; positions start at WINDOW - 1."""
-    x, t = np.frombuffer(data, np.uint8), tables(p)
+def low_bits(data: bytes, p: int, block: int = 1 << 16) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, low 32 bits of the fingerprints of the windows that end there and after) in blocks; positions start at WINDOW - 1."""
+    x, t = np.frombuffer(data, np.uint8), tables(p).astype(np.uint32)
     for i in range(WINDOW - 1, len(x), block):
         j = min(len(x), i + block)
-        out = np.zeros(j - i, np.uint64)
+        part, out, one = x[i - WINDOW + 1 : j].astype(np.intp), np.zeros(j - i, np.uint32), np.empty(j - i, np.uint32)
         for place in range(WINDOW):
-            out ^= t[place][x[i - place : j - place]]
+            at = WINDOW - 1 - place
+            np.take(t[place], part[at : at + j - i], out=one, mode="clip")
+            out ^= one
         yield i, out
 
 
 def cuts(data: bytes, p: int, least: int = LEAST, most: int = MOST, bits: int = BITS) -> list[tuple[int, int]]:
     """(offset, length) of each chunk."""
-    if least < WINDOW:
-        raise ValueError("a chunk has a window at least")
-    mask = np.uint64((1 << bits) - 1)
-    ends = np.concatenate([i + 1 + np.flatnonzero((f & mask) == 0) for i, f in fingerprints(data, p)] or [np.empty(0, np.int64)])
+    if least < WINDOW or bits > 32:
+        raise ValueError("a chunk has a window at least, and the mask 32 bits at most")
+    mask = np.uint32((1 << bits) - 1)
+    ends = np.concatenate([i + 1 + np.flatnonzero((f & mask) == 0) for i, f in low_bits(data, p)] or [np.empty(0, np.int64)])
     out, start = [], 0
     while start < len(data):
         at = np.searchsorted(ends, start + least)

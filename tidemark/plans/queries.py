@@ -9,7 +9,7 @@ from ..functions import formats, names, paths
 from ..operators import apply, gc, ignore, ledger, store, transfer
 from ..operators import diff as d
 from ..operators import reconcile as rc
-from ..session import ship
+from ..session import keep, ship
 from ..sources import files
 from ..streaming import watch
 from . import snapshots as sn
@@ -31,8 +31,9 @@ def query(sql: str | None = None):
     return add
 
 
-def versions(table) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(sn.snapshot(table, v) for v in sn.VERSIONS)
+def versions(table, *names: str) -> tuple[DataFrame, ...]:
+    """These snapshots, all three if none is named, as the written tables that snapshots are."""
+    return tuple(keep(sn.snapshot(table, v), v) for v in names or sn.VERSIONS)
 
 
 def plan(table) -> rc.Plan:
@@ -74,19 +75,19 @@ materialize as (select path_str, result.kind as result_kind, base.kind as base_k
 
 @query(sn.SQL + " select path_str, bucket from d_local")
 def diff_buckets(spark, table):
-    base, local, _ = versions(table)
+    base, local = versions(table, "base", "local")
     return d.diff(base, local).select("path_str", "bucket")
 
 
 @query(sn.SQL + " select bucket, count(*) as n from d_remote group by bucket")
 def diff_counts(spark, table):
-    base, _, remote = versions(table)
+    base, remote = versions(table, "base", "remote")
     return d.counts(d.diff(base, remote))
 
 
 @query(sn.SQL + ", x as (select unnest(string_split(b.chunks, ',')) as c from d_sides where bucket in ('added', 'content_modified', 'type_changed') and b.chunks <> '') select distinct split_part(c, ':', 1) as id from x")
 def diff_changed_chunks(spark, table):
-    _, local, remote = versions(table)
+    local, remote = versions(table, "local", "remote")
     return d.changed_chunks(d.diff(local, remote))
 
 
@@ -97,13 +98,13 @@ select path_str, 'remove' as action from gone union select b.path_str, 'remove'
 union all select path_str, 'upsert' from d_local where bucket <> 'removed'"""
 )
 def apply_changes(spark, table):
-    base, local, _ = versions(table)
+    base, local = versions(table, "base", "local")
     return d.applied(base, d.diff(base, local))
 
 
 @query(sn.SQL + f" select l.path_str, 'remove' as action from local l where l.path_str not in (select path_str from remote) union all select r.path_str, 'upsert' from remote r left join local l on l.path_str = r.path_str where l.path_str is null or not {_same('l', 'r')}")
 def apply_tree(spark, table):
-    _, local, remote = versions(table)
+    local, remote = versions(table, "local", "remote")
     return d.tree_apply(remote, local)
 
 
@@ -457,7 +458,7 @@ def scalar_formats(spark, table):
 @query(sn.SQL + """, pairs as (select coalesce(l.path_str, b.path_str) as p, l.path_str as lp, b.path_str as bp, l.kind as lk, l.kind is not distinct from b.kind and l.exec is not distinct from b.exec and l.mtime_sec is not distinct from b.mtime_sec and l.mtime_nsec is not distinct from b.mtime_nsec and length(l.chunks) is not distinct from length(b.chunks) as same from local l full join base b on l.path_str = b.path_str)
 select distinct case when lp is null then case when contains(bp, '/') then split_part(bp, '/', 1) else '' end else lp end as path_str from pairs where lp is null or lk = 'link' or not same""")
 def stat_sweep(spark, table):
-    base, local, _ = (v.withColumn("size", F.length(sn.chunk_text("chunks"))) for v in versions(table))
+    base, local = (v.withColumn("size", F.length(sn.chunk_text("chunks"))) for v in versions(table, "base", "local"))
     return files.stat_sweep(local, base)
 
 
@@ -465,7 +466,7 @@ def stat_sweep(spark, table):
 select path_str, kind from base where not (contains(path_str, '/') and split_part(path_str, '/', 1) in (select dir from changed)) union all
 select path_str, kind from local where contains(path_str, '/') and split_part(path_str, '/', 1) in (select dir from changed)""")
 def incremental_snapshot(spark, table):
-    base, local, _ = versions(table)
+    base, local = versions(table, "base", "local")
     dirty = local.where("kind = 'link'").select(F.col("path")[0].alias("dir")).distinct()
     found = local.where(F.size("path") == 2).withColumn("dir", F.col("path")[0]).join(dirty, "dir", "left_semi").drop("dir")
     return files.incremental(base, found.select(*base.columns), dirty).select("path_str", "kind")
@@ -507,7 +508,7 @@ def apply_guard(spark, table):
 
 @query(sn.SQL + f" select e.path_str, case when v.path_str is null or ({_mismatch('e', 'v')}) is not null then 'write' when e.mtime_sec = v.mtime_sec and e.mtime_nsec = v.mtime_nsec then 'skip' else 'touch' end as action from remote e left join local v on e.path_str = v.path_str")
 def apply_steps(spark, table):
-    _, local, remote = versions(table)
+    local, remote = versions(table, "local", "remote")
     return apply.steps(remote, local)
 
 
@@ -523,7 +524,7 @@ def item_batches(spark, table):
 
 @query(sn.SQL + f" select (select count(*) from local where kind = 'file') as files, (select count(*) from local where kind = 'dir') as dirs, (select count(*) from local where kind = 'link') as links, cast((select sum({_size('b')}) from d_local where bucket <> 'removed' and b.kind = 'file') as bigint) as bytes_chunked, (select count(*) from d_local where bucket <> 'removed' and b.kind = 'file') as files_rehashed")
 def scan_counts(spark, table):
-    base, local, _ = versions(table)
+    base, local = versions(table, "base", "local")
     return store.scan_counts(local, d.diff(base, local).where("bucket <> 'removed'").select("after.*"))
 
 
