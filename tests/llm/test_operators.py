@@ -411,3 +411,23 @@ def test_near_copies(spark, odd, none, monkeypatch, limit):
     roots = brute_components([i for i, _ in docs], near_pairs(dict(docs).items()))
     assert sorted(out) == sorted(set(roots.values()))
     assert near_copies.without_near_copies(odd).columns == odd.columns and near_copies.without_near_copies(none).count() == 0
+
+
+def test_near_copies_around_a_hub(spark):
+    """Copies that are near the original but not one another, far more than a list's limit, among them chains of two."""
+    rng = np.random.default_rng(13)
+    text = [f"t{x}" for x in rng.integers(0, 10**6, 404)]
+
+    def edited(of):
+        out = list(of)
+        for at in rng.choice(len(of) - 20, 8, replace=False) + 10:
+            out[at] = f"e{rng.integers(0, 10**9)}"
+        return out
+
+    near = [edited(text) for _ in range(160)]
+    docs = [(i, " ".join(t)) for i, t in enumerate([*near, text, *(edited(t) for t in near[:40])])]
+    pairs = near_pairs(docs)
+    want = brute_components([i for i, _ in docs], pairs)
+    assert len(pairs) < 2000 and len(set(want.values())) < 80
+    out = [r.doc_id for r in near_copies.without_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()]
+    assert sorted(out) == sorted(set(want.values()))

@@ -1,19 +1,18 @@
-"""Near copies by wide SimHash: the byte-position index of ``simhash`` for similarities that move many bits.
-
-At a Jaccard similarity s of word shingles, two SimHashes differ in a share acos(2s / (1 + s)) / pi of their bits, 15 %
-at 0.8. No byte of 64 bits is sure to survive that, so fingerprints here have 768 bits: XXH64 of each shingle, mixed
-into twelve hashes. The index posts each distinct fingerprint under its 48 pairs of neighbouring positional bytes, with
-its first 64 bits. Of pairs that share a posting, those bits tell chance from likeness on the spot: pairs at the least
-similarity differ in 10 of them, others in 32, so only pairs within 20 are made. Of these all bits are counted. Three
-standard deviations below the share of the least similarity they link, three above it they don't, and between the two
-their shingle sets decide exactly. A pair is missed if no two neighbouring bytes survive: one in forty at 0.8, one in
-300 at 0.85, one in 10,000 at 0.9. Beyond 2^18 fingerprints a key takes a bit more for each doubling, which keeps
-lists short, and the windows on the fingerprint get as many more as a longer key survives less often.
-
-A posting list over ``LIST_LIMIT`` emits no pairs. Its members are compared with the list's first; those that link to
-it leave the list (the link makes them one group), and so does the first, until the list is short enough for pairs.
-
-Copies collapse to one fingerprint before the index. Words are as in ``simhash``; a text without words is one with
+"""Near copies by shingle sets: all pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+
+No count of shared bytes or bits of a SimHash is guaranteed at that similarity, so candidates come from prefix
+filtering, which is exact. Put the shingles of all texts in one order, whatever it is: of two sets of n and m shingles
+with a similarity of s or more, the first n - ceil(s n) + 1 of the one and the first m - ceil(s m) + 1 of the other
+share a shingle. Each distinct set is posted under these; the first shingle that two prefixes share also bounds what
+the sets can share from there on, and sets decide about every pair that is left. The order is from rare to frequent,
+as counted over a share of the documents, which keeps lists short and has no bearing on what is found.
+
+A first round compares the members of each list with two of them only, which is linear and puts most of a large group
+together; lists over ``LIST_LIMIT`` that are still in several groups get further rounds with two others. Then all
+members of a list that are not in one group by then are compared pair by pair. So work grows with the square of a list
+only where its members link to none of those.
+
+Texts of equal shingle sets collapse before the index. Words are as in ``simhash``; a text without words is one with
 all others like it. Null ids sort first, null texts count as empty. Of each group the document of least id stays, of
 rows that repeat id and text one.
 """
@@ -32,64 +31,77 @@ from ..session import keep
 from .components import components
 from .simhash import LIST_LIMIT, shingle_hashes
 
-WORDS = 12
 SIMILARITY = 0.8
-#: Rounds after which even long lists emit their pairs.
-ROUNDS = 12
+#: Rounds of comparing with two members of a list.
+ROUNDS = 2
 #: Ids of 8 bytes that may be broadcast.
 BROADCAST_IDS = 200_000
-#: Share of bits that differ at the least similarity, and bits of 64 within which a pair is looked at.
-SHARE, HINT_BITS = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi, 20
-PARTS = [f"f{i}" for i in range(WORDS)]
+#: One document in so many is counted for the order; frequent shingles that are told apart, and their least count.
+COUNTED, FREQUENT, LEAST = 8, 300_000, 3
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """WORDS 64-bit words; a bit is set if it is in over half the mixed hashes, at half as in the least hash."""
-    if not len(hashes):
-        return np.zeros(WORDS, np.int64)
-    n = np.zeros(64 * WORDS, np.int64)
+def key_of() -> Column:
+    return F.xxhash64("doc_id", "text")
 
-    def mixed(h: np.ndarray) -> np.ndarray:
-        seeds = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-        x = h[:, None] ^ seeds
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return np.unpackbits((x ^ (x >> np.uint64(31))).astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
 
-    for i in range(0, len(hashes), 8_192):
-        n += mixed(hashes[i : i + 8_192]).sum(0, dtype=np.int64)
-    bits = (2 * n > len(hashes)) | (2 * n == len(hashes)) & (mixed(hashes.min()[None])[0] > 0)
-    return np.packbits(bits, bitorder="little").view("<i8")
+def prefix_length(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def prints_of(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """(kid, doc_id, f0, ..., f7); kid is a hash of id and text."""
+def frequent(docs: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a share of the documents, sorted, and their counts; at most FREQUENT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([wide_fingerprint(shingle_hashes(t.as_py(), size, seed)) for t in batch.column(2)], np.int64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(c)) for c in fp.T)], names=["kid", "doc_id", *PARTS])
+            for part in (batch.column(0).slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                found = np.concatenate([np.unique(shingle_hashes(t.as_py(), size, seed)) for t in part])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["key"])
 
-    rows = docs.select(key_of().alias("kid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "kid bigint, doc_id bigint, " + ", ".join(f"{p} bigint" for p in PARTS))
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(COUNTED)) == 0).select("text")
+    counts = some.mapInArrow(run, "key bigint").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    rows = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    key, n = rows["key"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(np.int64)
+    order = np.argsort(key)
+    return key[order], n[order]
 
 
-def key_of() -> Column:
-    return F.xxhash64("doc_id", "text")
+def in_order(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Distinct hashes, those of least count first, equal counts by hash."""
+    own = np.unique(hashes).view(np.int64)
+    n = np.zeros(len(own), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        n = np.where(keys[at] == own, counts[at], 0)
+    return own[np.lexsort((own, n))]
+
 
+def prefixes_of(docs: DataFrame, size: int, seed: int, similarity: float) -> DataFrame:
+    """(kid, doc_id, c0, c1, n, prefix): a hash of id and text, one of the shingle set in two parts, its size and prefix."""
+    import xxhash
 
-def bit_limits(similarity: float) -> tuple[int, int]:
-    """Differing bits up to which a pair links for sure, and beyond which it doesn't."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = 3 * math.sqrt(share * (1 - share) / (64 * WORDS))
-    return int(64 * WORDS * (share - spread)), int(64 * WORDS * (share + spread)) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, size, seed))
+
+    def one(text: str | None) -> tuple[int, int, int, np.ndarray]:
+        own = in_order(shingle_hashes(text, size, seed), *shared.value)
+        c = np.frombuffer(xxhash.xxh3_128_digest(np.sort(own).tobytes()), "<i8")
+        return int(c[0]), int(c[1]), len(own), own[: prefix_length(len(own), similarity)] if len(own) else own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                c0, c1, n, prefix = zip(*(one(t.as_py()) for t in part.column(2)))
+                cols = [pa.array(c0, pa.int64()), pa.array(c1, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], names=["kid", "doc_id", "c0", "c1", "n", "prefix"])
+
+    rows = docs.select(key_of().alias("kid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "kid bigint, doc_id bigint, c0 bigint, c1 bigint, n int, prefix array<bigint>")
 
 
 class Verifier:
-    """Which pairs of ids link. An id is the key of a document that stands for its fingerprint."""
+    """Which pairs of ids link. An id is the key of a document that stands for its shingle set."""
 
-    def __init__(self, docs: DataFrame, prints: DataFrame, size: int, seed: int, similarity: float):
-        self.docs, self.prints, self.size, self.seed, self.similarity = docs, prints, size, seed, similarity
+    def __init__(self, docs: DataFrame, size: int, seed: int, similarity: float):
+        self.docs, self.size, self.seed, self.similarity = docs, size, seed, similarity
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, set): the distinct shingles of these documents."""
@@ -105,71 +117,50 @@ class Verifier:
         return chosen.mapInArrow(run, "id bigint, set array<bigint>").dropDuplicates(["id"])
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        fp, (sure, most) = F.array(*PARTS), bit_limits(self.similarity)
-        a, b = self.prints.select(F.col("id").alias("a"), fp.alias("fa")), self.prints.select(F.col("id").alias("b"), fp.alias("fb"))
-        bits = sum((F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(WORDS)), F.lit(0))
-        near = keep(pairs.join(a, "a").join(b, "b").withColumn("bits", bits).where(F.col("bits") <= most).select("a", "b", "bits"), "near")
-        unsure = near.where(F.col("bits") > sure).select("a", "b")
-        out = near.where(F.col("bits") <= sure).select("a", "b")
-        if unsure.isEmpty():
-            return out
-        sets = keep(self.sets(unsure.select(F.col("a").alias("id")).union(unsure.select("b")).distinct()), "sets")
-        both = unsure.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
+        pairs = keep(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
+        sets = keep(self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sets")
+        both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
         shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-        exact = both.where(shared >= F.lit(self.similarity) * (total - shared)).select("a", "b")
-        return out.union(exact)
-
-
-def windows(n: int) -> tuple[int, list[int]]:
-    """Bits of a key, and the first bit of each window, for an index of n fingerprints."""
-    width = max(16, min(48, math.ceil(math.log2(max(n, 2))) - 2))
-    many = math.ceil(4 * WORDS * (1 - SHARE) ** (16 - width))
-    return width, [i * 64 * WORDS // many for i in range(many)]
+        return keep(both.where(shared >= F.lit(self.similarity) * (total - shared)).select("a", "b"), "linked")
 
 
-def bits_from(start: int, width: int) -> Column:
-    """``width`` bits of the fingerprint from bit ``start`` on, going round at its end."""
-    word, shift = divmod(start, 64)
-    low = F.shiftrightunsigned(F.col(PARTS[word]), shift)
-    if shift + width > 64:
-        low = low.bitwiseOR(F.shiftleft(F.col(PARTS[(word + 1) % WORDS]), 64 - shift))
-    return low.bitwiseAND(F.lit((1 << width) - 1))
+def links(distinct: DataFrame, verified: Verifier) -> DataFrame:
+    """Edges (a, b) between the ids of distinct(id, n, prefix) that connect exactly what chains of links connect."""
+    s = verified.similarity
 
+    def can(n: Column, at: Column, m: Column, to: Column) -> Column:
+        """Whether sets of n and m shingles whose first shared one is at these places can reach the similarity."""
+        return F.least(n - at, m - to) >= F.lit(s / (1 + s)) * (n + m) - 1e-6
 
-def links(prints: DataFrame, verified: Verifier) -> DataFrame:
-    """Edges (a, b) between the ids of distinct fingerprints."""
-    width, starts = windows(prints.count())
-    grams = [F.lit(i << width).cast("bigint").bitwiseOR(bits_from(s, width)) for i, s in enumerate(starts)]
-    postings = prints.select("id", F.col(PARTS[0]).alias("hint"), F.explode(F.array(*grams)).alias("key"))
-    short, edges, round_ = None, [], 0
+    postings = distinct.select("id", "n", F.posexplode("prefix").alias("at", "key"))
+    more = postings.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    lists = keep(postings.join(more, "key").withColumn("root", F.col("id")), "lists")
+    edges, round_, now = None, 0, lists
     while True:
-        counts = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1")
-        listed = keep(postings.join(counts, "key"), "lists")
-        limit = LIST_LIMIT if round_ < ROUNDS else 1 << 62
-        few = listed.where(F.col("n") <= limit).select("key", "id", "hint")
-        short = few if short is None else short.union(few)
-        crowded = listed.where(F.col("n") > limit)
-        if crowded.isEmpty():
+        own = F.struct(F.xxhash64("id", F.lit(round_)).alias("order"), "id", "n", "at")
+        dealt = now.join(now.groupBy("key").agg(F.min(own).alias("least"), F.max(own).alias("most")), "key")
+        ends = [dealt.where(F.col("root") != F.col(f"{e}.id")).where(can(F.col("n"), F.col("at"), F.col(f"{e}.n"), F.col(f"{e}.at"))).select(F.greatest("id", f"{e}.id").alias("a"), F.least("id", f"{e}.id").alias("b")) for e in ("least", "most")]
+        found = verified(ends[0].union(ends[1]).where("a <> b").distinct())
+        edges = found if edges is None else edges.union(found)
+        roots = components(edges)
+        rooted = keep(lists.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+        lists = keep(rooted.join(apart, "key", "left_semi"), "apart")
+        now, round_ = lists.where(F.col("many") > LIST_LIMIT), round_ + 1
+        if round_ == ROUNDS or now.isEmpty():
             break
-        with_head = keep(verified(crowded.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()), "heads")
-        edges.append(with_head)
-        gone = with_head.select(F.col("a").alias("id"), F.col("b").alias("head"))
-        postings = crowded.where("id <> head").join(gone, ["id", "head"], "left_anti").select("id", "hint", "key")
-        round_ += 1
-    a, b = short.select("key", F.col("id").alias("a"), F.col("hint").alias("ha")), short.select("key", F.col("id").alias("b"), F.col("hint").alias("hb"))
-    alike = (F.col("a") > F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= HINT_BITS)
-    edges.append(verified(a.join(b, "key").where(alike).select("a", "b").distinct()))
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.union(e)
-    return out
+    x, y = (lists.select("key", *(F.col(c).alias(c + k) for c in ("id", "n", "at", "root"))) for k in "xy")
+    across = (F.col("rootx") != F.col("rooty")) & (F.col("idx") > F.col("idy")) & can(F.col("nx"), F.col("atx"), F.col("ny"), F.col("aty"))
+    return edges.union(verified(x.join(y, "key").where(across).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()))
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY, seed: int = 42) -> DataFrame:
     """docs(doc_id, text, ...) with one document of each group, all columns as they were."""
-    prints = keep(prints_of(docs, size, seed), "prints")
-    distinct = keep(prints.groupBy(*PARTS).agg(F.min_by("kid", F.struct("doc_id", "kid")).alias("id"), F.min("doc_id").alias("doc_id")), "distinct")
-    roots = components(links(distinct, Verifier(docs, distinct, size, seed, similarity)))
-    grouped = distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    prints = keep(prefixes_of(docs, size, seed, similarity), "prints")
+    distinct = keep(prints.groupBy("c0", "c1").agg(F.min_by("kid", F.struct("doc_id", "kid")).alias("id"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct")
+    roots = components(links(distinct, Verifier(docs, size, seed, similarity)))
+    grouped = distinct.select("id", "doc_id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     keepers = grouped.groupBy("root").agg(F.min_by("id", F.struct("doc_id", "id")).alias("nc_kid")).select("nc_kid")
     return docs.withColumn("nc_kid", key_of()).join(keepers, "nc_kid", "left_semi").dropDuplicates(["nc_kid"]).select(*docs.columns)
