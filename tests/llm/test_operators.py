@@ -413,6 +413,18 @@ def test_near_copies(spark, odd, none, monkeypatch, limit):
     assert near_copies.without_near_copies(odd).columns == odd.columns and near_copies.without_near_copies(none).count() == 0
 
 
+def test_near_copies_of_few_shingles(spark):
+    """Four of five shingles are 0.8: such texts link whatever their bits."""
+    rng = np.random.default_rng(12)
+    docs = []
+    for g in range(100):
+        text = [f"g{g}w{x}" for x in rng.integers(0, 10**6, 9)]
+        for part in (text, text[:-1]):
+            docs.append((len(docs), " ".join(part)))
+    out = [r.doc_id for r in near_copies.without_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()]
+    assert sorted(out) == sorted(set(brute_components([i for i, _ in docs], near_pairs(docs)).values()))
+
+
 def test_near_copies_around_a_hub(spark):
     """Copies that are near the original but not one another, far more than a list's limit, among them chains of two."""
     rng = np.random.default_rng(13)
