@@ -425,6 +425,18 @@ def test_near_copies_of_few_shingles(spark):
     assert sorted(out) == sorted(set(brute_components([i for i, _ in docs], near_pairs(docs)).values()))
 
 
+def test_short_texts_of_equal_simhash_stay(spark):
+    """One of two shingles is 0.5: no copies, though half of these texts have equal SimHashes."""
+    rng = np.random.default_rng(14)
+    docs = []
+    for g in range(100):
+        text = [f"g{g}w{x}" for x in rng.integers(0, 10**6, 6)]
+        for part in (text, text[:-1]):
+            docs.append((len(docs), " ".join(part)))
+    out = [r.doc_id for r in near_copies.without_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()]
+    assert sorted(out) == sorted(set(brute_components([i for i, _ in docs], near_pairs(docs)).values()))
+
+
 def test_near_copies_around_a_hub(spark):
     """Copies that are near the original but not one another, far more than a list's limit, among them chains of two."""
     rng = np.random.default_rng(13)
