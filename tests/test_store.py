@@ -1,6 +1,7 @@
 """Tables of a store and guards of applying, on small fixtures."""
 
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,24 @@ def test_canonical_ids_leave_times_out(spark):
     assert other["a/e"] == one["a/e"] and other["a"] != one["a"] and other[""] != one[""]
 
 
+def test_canonical_ids_of_large_directories_are_hashed_in_parts(spark, monkeypatch):
+    one = {r.path_str: r.tree_id for r in store.canonical_ids(tree(spark, *(file(f"f{i}") for i in range(1500)))).collect()}
+    other = {r.path_str: r.tree_id for r in store.canonical_ids(tree(spark, *(file(f"f{i}", "new") if i == 700 else file(f"f{i}") for i in range(1500)))).collect()}
+    assert set(one) == set(other) == {""} and one != other
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    join = lambda rows: sha(json.dumps([{"name": n, "id": i} for n, i in sorted(rows)], separators=(",", ":")))
+    monkeypatch.setattr(store, "FOLD", 3, raising=False)
+    rows = [("big", f"n{i}", f"e{i}") for i in range(2000)] + [("small", "a", "e1"), ("small", "b", "e2")]
+    got = {r.path_str: r.tree_id for r in store.folded(spark.createDataFrame(rows, "parent string, name string, id string")).collect()}
+    parts = {}
+    for _, n, i in rows[:2000]:
+        parts.setdefault(sha(n)[:4], []).append((n, i))
+    above = {}
+    for k, v in parts.items():
+        above.setdefault(k[:2], []).append((k, "t" + join(v)))
+    assert got == {"big": join([(k, "t" + join(v)) for k, v in above.items()]), "small": join([("a", "e1"), ("b", "e2")])}
+
+
 def test_choices(spark):
     rows = [((1, 0, 5, "d"), (0, None, 9, "d"), "first"), ((1, 1, 5, "d"), (2, 1, 1, "d"), "second"), ((1, 0, 5, "d"), (2, 0, 6, "d"), "second"), ((0, 0, 9, "d"), (2, 2, 1, "d"), "second"), ((1, 0, 5, "e"), (2, 0, 5, "d"), "first")]
     flat = [(a[0], a[1], a[2], a[3], b[0], b[1], b[2], b[3], w) for a, b, w in rows]

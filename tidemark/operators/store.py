@@ -14,6 +14,8 @@ from ..session import keep
 from .diff import STATE
 
 COMPACT_FROM, BATCH_ITEMS, BATCH_BYTES, CONFLICT_FINDINGS = 512, 512, 8 << 20, 20
+#: Children that are hashed as one string.
+FOLD = 1024
 #: Id of no manifest and no parent.
 ZERO = "0" * 64
 
@@ -80,6 +82,26 @@ def scan_counts(entries: DataFrame, rescanned: DataFrame) -> DataFrame:
     return rows.agg(n("file"), n("dir"), n("link"), F.coalesce(F.sum(F.when(read, F.col("size"))), F.lit(0)).alias("bytes_chunked"), F.count_if(read).alias("files_rehashed"))
 
 
+def folded(children: DataFrame) -> DataFrame:
+    """children(parent, name, id): (path_str, tree_id) of each parent, a hash of its sorted children.
+
+    Over ``FOLD`` children are dealt by the hash of their names into as many parts, a power of 256, as bring a part to
+    about that number; parts are hashed, then 256 hashes at a time, so that no row holds all children.
+    """
+    children = keep(children, "children")
+    tiers = sum(((F.col("n") > FOLD << 8 * k).cast("int") for k in range(4)), F.lit(0))
+    large = keep(children.groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") > FOLD).select("parent", tiers.alias("tiers")), "large")
+    most = large.agg(F.max("tiers")).first()[0] or 0
+    part = F.expr("substring(sha2(name, 256), 1, 2 * coalesce(tiers, 0))")
+    hashed = F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("name", "id")))), 256)
+    now = children.join(large, "parent", "left").withColumn("part", part).groupBy("parent", "part").agg(hashed.alias("tree_id"))
+    for _ in range(most):
+        above = F.expr("substring(part, 1, length(part) - 2)")
+        up = now.where("part <> ''").select("parent", F.col("part").alias("name"), F.concat(F.lit("t"), "tree_id").alias("id"), above.alias("part"))
+        now = now.where("part = ''").union(up.groupBy("parent", "part").agg(hashed.alias("tree_id")))
+    return now.select(F.col("parent").alias("path_str"), "tree_id")
+
+
 def canonical_ids(entries: DataFrame) -> DataFrame:
     """(path_str, tree_id) of every directory, the root as '': a hash of what is below, times left out.
 
@@ -99,9 +121,9 @@ def canonical_ids(entries: DataFrame) -> DataFrame:
             here = here.withColumn("tree_id", F.lit(None).cast("string"))
         if depth == 0:
             break
-        each = F.struct("name", F.when(F.col("kind") == "dir", F.concat(F.lit("d"), F.coalesce("tree_id", F.sha2(F.lit(""), 256)))).otherwise(F.concat(F.lit("e"), "own")).alias("id"))
+        each = F.when(F.col("kind") == "dir", F.concat(F.lit("d"), F.coalesce("tree_id", F.sha2(F.lit(""), 256)))).otherwise(F.concat(F.lit("e"), "own"))
         empty = here.where("kind = 'dir' and tree_id is null").select("path_str", F.sha2(F.lit(""), 256).alias("tree_id"))
-        found = keep(here.groupBy("parent").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(each))), 256).alias("tree_id")).withColumnRenamed("parent", "path_str"), "trees")
+        found = keep(folded(here.select("parent", "name", each.alias("id"))), "trees")
         out = found.union(empty) if out is None else out.union(found).union(empty)
         below = found
     return out if out is not None else rows.select(F.lit("").alias("path_str"), F.sha2(F.lit(""), 256).alias("tree_id")).limit(0)
