@@ -123,6 +123,14 @@ def test_decontamination_finds_what_brute_force_finds(spark, odd, none):
     assert decontaminate.without_contaminated(odd, bench.limit(0)).columns == odd.columns
 
 
+def test_decontamination_with_items_without_id(spark):
+    text = "some twelve words that stand in a test item and its document"
+    bench = spark.createDataFrame([(None, text), (3, "other words")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "nothing of it")], "doc_id bigint, text string")
+    assert [tuple(r)[:3] for r in decontaminate.contaminated(docs, bench).collect()] == [(1, None, 0)]
+    assert [r.doc_id for r in decontaminate.without_contaminated(docs, bench).collect()] == [2]
+
+
 # 3
 
 

@@ -7,7 +7,8 @@ digits and underscores in lower case, so case, punctuation and spacing don't cou
 
 Documents are only mapped, never shuffled: hot passages cost no more than others. The items are taken in blocks of
 bounded size, one pass over the documents each. Null texts and items count as empty; items without words match
-nothing; items with equal words are all reported. Repeated rows give repeated results.
+nothing; items with equal words are all reported, those without an id with a null one. Repeated rows give repeated
+results.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ _built: dict[str, Items] = {}
 
 def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about BLOCK_CHARS, gathered one block at a time."""
-    items = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
+    items = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     n = -(-chars // BLOCK_CHARS)
     for b in range(n):
