@@ -1,39 +1,48 @@
 """Near copies by shingle sets: all pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-No count of shared bytes or bits of a SimHash is guaranteed at that similarity, so candidates come from prefix
-filtering, which is exact. Put the shingles of all texts in one order, whatever it is: of two sets of n and m shingles
-with a similarity of s or more, the first n - ceil(s n) + 1 of the one and the first m - ceil(s m) + 1 of the other
-share a shingle. Each distinct set is posted under these; the first shingle that two prefixes share also bounds what
-the sets can share from there on, and sets decide about every pair that is left. The order is from rare to frequent,
-as counted over a share of the documents, which keeps lists short and has no bearing on what is found.
-
-A first round compares the members of each list with two of them only, which is linear and puts most of a large group
-together; lists over ``LIST_LIMIT`` that are still in several groups get further rounds with two others. Then all
+The SimHash operator comes first: texts whose fingerprints of these shingles differ in two bits at most meet in its
+byte-position index, and those that their sets confirm are linked. At a similarity of 0.8 far more bits differ, and no
+count of shared bytes is guaranteed, so what the index can't promise comes from prefix filtering, which is exact. Put
+the shingles of all texts in one order, whatever it is: of two sets of n and m shingles with a similarity of s or more,
+the first n - ceil(s n) + 1 of the one and the first m - ceil(s m) + 1 of the other share a shingle. Each distinct set
+is posted under these; the first shingle that two prefixes share also bounds what the sets can share from there on,
+parities of the sets over ``PARITIES`` buckets bound from below in how many shingles they differ, and sets decide about
+every pair that is left. The order is from rare to frequent, as counted over a share of the documents, which keeps
+lists short and has no bearing on what is found.
+
+Two rounds compare the members of each list with two of them only, which is linear and puts most of a large group
+together: with the member that has the fewest rarer shingles, as it is the likeliest to be near all others, and with
+one of another group. The second round is for lists over ``LIST_LIMIT`` that are still in several groups. Then all
 members of a list that are not in one group by then are compared pair by pair. So work grows with the square of a list
-only where its members link to none of those.
+only where its members link to none of those, though neither bound tells them apart.
 
 Texts of equal shingle sets collapse before the index. Words are as in ``simhash``; a text without words is one with
 all others like it. Null ids sort first, null texts count as empty. Of each group the document of least id stays, of
-rows that repeat id and text one.
+rows that repeat id and text one. An empty table stays empty; extra columns may have any names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import drop, keep
+from .columns import spare
 from .components import components
-from .simhash import LIST_LIMIT, shingle_hashes
+from .simhash import LIST_LIMIT, fingerprint, shingle_hashes
+from .simhash import links as simhash_links
 
 SIMILARITY = 0.8
-#: Rounds of comparing with two members of a list.
-ROUNDS = 2
+#: Bits of a fingerprint that may differ for the SimHash operator to link.
+MAX_BITS = 2
+#: Buckets of shingles whose parities are compared; a multiple of 64.
+PARITIES = 256
 #: Ids of 8 bytes that may be broadcast.
 BROADCAST_IDS = 200_000
 #: One document in so many is counted for the order; frequent shingles that are told apart, and their least count.
@@ -75,26 +84,36 @@ def in_order(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.nda
     return own[np.lexsort((own, n))]
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """A bit for each bucket of hashes: 1 if an odd number of the set's shingles is in it. Sets differ in as many shingles as bits at least."""
+    odd = np.bincount((own.view(np.uint64) >> np.uint64(7)) % np.uint64(PARITIES), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefixes_of(docs: DataFrame, size: int, seed: int, similarity: float) -> DataFrame:
-    """(kid, doc_id, c0, c1, n, prefix): a hash of id and text, one of the shingle set in two parts, its size and prefix."""
+    """(kid, doc_id, c0, c1, n, fp, bits, prefix): a hash of id and text, one of the shingle set in two parts, its size, fingerprint, parities and prefix."""
     import xxhash
 
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, size, seed))
 
-    def one(text: str | None) -> tuple[int, int, int, np.ndarray]:
-        own = in_order(shingle_hashes(text, size, seed), *shared.value)
+    def one(text: str | None) -> tuple[int, int, int, int, np.ndarray, np.ndarray]:
+        hashes = shingle_hashes(text, size, seed)
+        own = in_order(hashes, *shared.value)
         c = np.frombuffer(xxhash.xxh3_128_digest(np.sort(own).tobytes()), "<i8")
-        return int(c[0]), int(c[1]), len(own), own[: prefix_length(len(own), similarity)] if len(own) else own
+        fp = int(np.uint64(fingerprint(hashes)).view(np.int64))
+        return int(c[0]), int(c[1]), len(own), fp, parities(own), own[: prefix_length(len(own), similarity)] if len(own) else own
+
+    many = pa.list_(pa.int64())
+    kinds = {"c0": pa.int64(), "c1": pa.int64(), "n": pa.int32(), "fp": pa.int64(), "bits": many, "prefix": many}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                c0, c1, n, prefix = zip(*(one(t.as_py()) for t in part.column(2)))
-                cols = [pa.array(c0, pa.int64()), pa.array(c1, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], names=["kid", "doc_id", "c0", "c1", "n", "prefix"])
+                cols = [pa.array(c, k) for c, k in zip(zip(*(one(t.as_py()) for t in part.column(2))), kinds.values())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], names=["kid", "doc_id", *kinds])
 
     rows = docs.select(key_of().alias("kid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "kid bigint, doc_id bigint, c0 bigint, c1 bigint, n int, prefix array<bigint>")
+    return rows.mapInArrow(run, "kid bigint, doc_id bigint, c0 bigint, c1 bigint, n int, fp bigint, bits array<bigint>, prefix array<bigint>")
 
 
 class Verifier:
@@ -116,51 +135,79 @@ class Verifier:
         chosen = self.docs.select(key_of().alias("id"), "text").join(F.broadcast(ids) if few else ids, "id")
         return chosen.mapInArrow(run, "id bigint, set array<bigint>").dropDuplicates(["id"])
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        pairs = keep(pairs, "pairs")
+    def __call__(self, pairs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+        """Those of pairs(a, b) that link; with roots(node, root), of those that are in two groups."""
+        if roots is not None:
+            for c in "ab":
+                pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias("of_" + c)), c, "left")
+            pairs = pairs.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+        pairs = keep(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             return pairs
         sets = keep(self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sets")
         both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
         shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-        return keep(both.where(shared >= F.lit(self.similarity) * (total - shared)).select("a", "b"), "linked")
+        linked = keep(both.where(shared >= F.lit(self.similarity) * (total - shared)).select("a", "b"), "linked")
+        drop(pairs, sets)
+        return linked
+
+
+def by_fingerprint(distinct: DataFrame) -> DataFrame:
+    """Candidates (a, b) of distinct(id, fp): texts of one fingerprint, and one text each of fingerprints that the SimHash operator links."""
+    of = keep(distinct.groupBy("fp").agg(F.min("id").alias("id")), "fingerprints")
+    one = distinct.select("fp", F.col("id").alias("a")).join(of.withColumnRenamed("id", "b"), "fp").where("a <> b").select("a", "b")
+    near = simhash_links(of.select("fp"), MAX_BITS).withColumnsRenamed({"a": "fa", "b": "fb"})
+    two = near.join(of.select(F.col("fp").alias("fa"), F.col("id").alias("a")), "fa").join(of.select(F.col("fp").alias("fb"), F.col("id").alias("b")), "fb").select("a", "b")
+    return one.union(two)
 
 
 def links(distinct: DataFrame, verified: Verifier) -> DataFrame:
-    """Edges (a, b) between the ids of distinct(id, n, prefix) that connect exactly what chains of links connect."""
+    """Edges (a, b) between the ids of distinct(id, n, fp, bits, prefix) that connect exactly what chains of links connect."""
     s = verified.similarity
 
     def can(n: Column, at: Column, m: Column, to: Column) -> Column:
         """Whether sets of n and m shingles whose first shared one is at these places can reach the similarity."""
         return F.least(n - at, m - to) >= F.lit(s / (1 + s)) * (n + m) - 1e-6
 
-    postings = distinct.select("id", "n", F.posexplode("prefix").alias("at", "key"))
+    def differ(a: Column, b: Column) -> Column:
+        return reduce(Column.__add__, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITIES // 64)))
+
+    # one exchange serves the count and the join
+    postings = distinct.select("id", "n", F.posexplode("prefix").alias("at", "key")).repartition("key")
     more = postings.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    lists = keep(postings.join(more, "key").withColumn("root", F.col("id")), "lists")
-    edges, round_, now = None, 0, lists
-    while True:
-        own = F.struct(F.xxhash64("id", F.lit(round_)).alias("order"), "id", "n", "at")
-        dealt = now.join(now.groupBy("key").agg(F.min(own).alias("least"), F.max(own).alias("most")), "key")
-        ends = [dealt.where(F.col("root") != F.col(f"{e}.id")).where(can(F.col("n"), F.col("at"), F.col(f"{e}.n"), F.col(f"{e}.at"))).select(F.greatest("id", f"{e}.id").alias("a"), F.least("id", f"{e}.id").alias("b")) for e in ("least", "most")]
-        found = verified(ends[0].union(ends[1]).where("a <> b").distinct())
-        edges = found if edges is None else edges.union(found)
+    lists = keep(postings.join(more, "key"), "lists")
+    edges = verified(by_fingerprint(distinct))
+    for round_ in range(3):
         roots = components(edges)
-        rooted = keep(lists.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-        apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        lists = keep(rooted.join(apart, "key", "left_semi"), "apart")
-        now, round_ = lists.where(F.col("many") > LIST_LIMIT), round_ + 1
-        if round_ == ROUNDS or now.isEmpty():
+        rooted = keep(lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+        now = keep(rooted.join(apart, "key"), "apart")
+        drop(lists, rooted)
+        lists = now.drop("root", "r0", "r1")
+        if round_ == 2:
             break
-    x, y = (lists.select("key", *(F.col(c).alias(c + k) for c in ("id", "n", "at", "root"))) for k in "xy")
-    across = (F.col("rootx") != F.col("rooty")) & (F.col("idx") > F.col("idy")) & can(F.col("nx"), F.col("atx"), F.col("ny"), F.col("aty"))
-    return edges.union(verified(x.join(y, "key").where(across).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()))
+        now = now if round_ == 0 else now.where(F.col("many") > LIST_LIMIT)
+        own = F.struct("at", F.xxhash64("id", F.lit(round_)).alias("order"), "id", "n")
+        heads = now.groupBy("key").agg(F.min(F.when(F.col("root") == F.col("r0"), own)).alias("h0"), F.min(F.when(F.col("root") == F.col("r1"), own)).alias("h1"), F.min(own).alias("h"))
+        heads = heads.select("key", "h", F.when(F.col("h.id") == F.col("h0.id"), F.col("h1")).otherwise(F.col("h0")).alias("other"))
+        dealt = now.join(heads, "key")
+        ends = [dealt.where(can(F.col("n"), F.col("at"), F.col(f"{e}.n"), F.col(f"{e}.at"))).select(F.greatest("id", f"{e}.id").alias("a"), F.least("id", f"{e}.id").alias("b")) for e in ("h", "other")]
+        edges = edges.union(verified(ends[0].union(ends[1]).where("a <> b"), roots))
+    now = now.select("key", "id", "n", "at", "root").join(distinct.select("id", "bits"), "id")
+    x, y = (now.select("key", *(F.col(c).alias(c + k) for c in ("id", "n", "at", "root", "bits"))) for k in "xy")
+    near = differ(F.col("bitsx"), F.col("bitsy")) <= F.lit((1 - s) / (1 + s)) * (F.col("nx") + F.col("ny")) + 1e-6
+    across = (F.col("rootx") != F.col("rooty")) & (F.col("idx") > F.col("idy")) & can(F.col("nx"), F.col("atx"), F.col("ny"), F.col("aty")) & near
+    return edges.union(verified(x.join(y, "key").where(across).select(F.col("idx").alias("a"), F.col("idy").alias("b"))))
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY, seed: int = 42) -> DataFrame:
     """docs(doc_id, text, ...) with one document of each group, all columns as they were."""
     prints = keep(prefixes_of(docs, size, seed, similarity), "prints")
-    distinct = keep(prints.groupBy("c0", "c1").agg(F.min_by("kid", F.struct("doc_id", "kid")).alias("id"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct")
+    first = {c: F.first(c).alias(c) for c in ("n", "fp", "bits", "prefix")}
+    distinct = keep(prints.groupBy("c0", "c1").agg(F.min_by("kid", F.struct("doc_id", "kid")).alias("id"), F.min("doc_id").alias("doc_id"), *first.values()), "distinct")
+    drop(prints)
     roots = components(links(distinct, Verifier(docs, size, seed, similarity)))
     grouped = distinct.select("id", "doc_id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    keepers = grouped.groupBy("root").agg(F.min_by("id", F.struct("doc_id", "id")).alias("nc_kid")).select("nc_kid")
-    return docs.withColumn("nc_kid", key_of()).join(keepers, "nc_kid", "left_semi").dropDuplicates(["nc_kid"]).select(*docs.columns)
+    kid = spare(docs.columns, "kid")
+    keepers = grouped.groupBy("root").agg(F.min_by("id", F.struct("doc_id", "id")).alias(kid)).select(kid)
+    return docs.withColumn(kid, key_of()).join(keepers, kid, "left_semi").dropDuplicates([kid]).select(*docs.columns)
