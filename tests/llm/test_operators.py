@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -45,10 +46,32 @@ def page(body):
     return f"<html><head><title>t</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
+def content(html):
+    return [t for t, level in html_text.lines_of(html) if level == html_text.CONTENT]
+
+
 def test_html_structure():
     html = page('<nav><p>menu</p></nav><script>var a="</p>";</script><div class="ad">buy</div><article><h1>A &amp; B</h1><p>One<br>two <b>three</b></p><div class="comments"><p>nice</p></div></article><footer>f</footer>')
-    assert [t for t, level in html_text.lines_of(html)] == ["A & B", "One two three"]
+    assert content(html) == ["A & B", "One two three"]
     assert html_text.lines_of(None) == html_text.lines_of("") == []
+    assert content('<article><h2 id="notice">Notice of change</h2></article>') == ["Notice of change"]
+    assert content('<article><div class="post-comment-policy">text</div></article>') == ["text"]
+    assert content("<main><article><p>A</p></article><p>B tail</p></main>") == ["A", "B tail"]
+    assert content("<nav><li>a<li>b</nav><article>c</article>") == ["c"] == content("<nav><li>a<article>x</article><article>c</article>")
+
+
+@pytest.mark.parametrize("part", ["<!-- a ", "<textarea>", '<a "x ', '<a ">" ', "<p>a", "<nav><p>", "<", "</", "<b '\"", "<script>"])
+def test_broken_pages_take_linear_time(part):
+    began = time.perf_counter()
+    html_text.lines_of(part * (2_000_000 // len(part)))
+    assert time.perf_counter() - began < 6  # about 1 s on a free machine
+
+
+def test_long_pages_align():
+    a = [i % 977 for i in range(6000)]
+    b = [x for x in a if x % 5]
+    found = html_text.shared(a, b)
+    assert len(found) == len(b) and [a[i] for i in found] == b
 
 
 def test_shared_is_a_longest_common_subsequence():
@@ -77,6 +100,50 @@ def test_html_differencing(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def brute_text(rows):
+    """Main text of (page_id, url, html), with a plain longest common subsequence of neighbours in sorted order."""
+    host = lambda u: re.sub(r"[/?#].*", "", u.split("://", 1)[1]).lower() if u and "://" in u else ""
+    path = lambda u: re.sub(r"[?#].*", "", re.sub(r"^[^/?#]*", "", u.split("://", 1)[1])) if u and "://" in u else ""
+    rows = sorted(rows, key=lambda r: (host(r[1]), path(r[1])))
+    lines, out = [html_text.lines_of(r[2]) for r in rows], {}
+    for k, r in enumerate(rows):
+        gone, outside = set(), [(i, t) for i, (t, level) in enumerate(lines[k]) if level < 2]
+        open_ = {i for i, (_, level) in enumerate(lines[k]) if level == 1}
+        for j in (k - 1, k + 1):
+            if 0 <= j < len(rows) and host(rows[j][1]) == host(r[1]):
+                other = [t for t, level in lines[j] if level < 2]
+                d = np.zeros((len(outside) + 1, len(other) + 1), int)
+                for x, (_, t) in enumerate(outside):
+                    for y, u in enumerate(other):
+                        d[x + 1, y + 1] = d[x, y] + 1 if t == u else max(d[x, y + 1], d[x + 1, y])
+                x, y, now = len(outside), len(other), set()
+                while x and y:
+                    if d[x, y] == d[x, y - 1]:
+                        y -= 1
+                    elif d[x, y] == d[x - 1, y]:
+                        x -= 1
+                    else:
+                        x, y = x - 1, y - 1
+                        now.add(outside[x][0])
+                if open_ - now or len(outside) < len(lines[k]):
+                    gone |= now & open_
+        if not open_ - gone and len(outside) == len(lines[k]):
+            gone = set()
+        out[r[0]] = "\n\n".join(t for i, (t, level) in enumerate(lines[k]) if level and i not in gone)
+    return out
+
+
+def test_main_text_is_brute_force(spark):
+    """The given pages as they are, and without their article and div tags: there, differencing decides."""
+    given = [(r["page_id"], r["url"], r["html"]) for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
+    bare = [(10_000 + i, f"http://bare.example/{i % 7}/{i:03}", "<p>Site of all</p><p>menu</p>" * (i % 5 > 0) + re.sub("</?article>|</?nav>", "", h) + "<p>All rights</p>") for i, (_, _, h) in enumerate(given)]
+    rows = given + bare
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = brute_text(rows)
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+    assert sum(r.n_shared > 0 for r in got.values()) >= 45
+
+
 # 2
 
 
