@@ -201,9 +201,24 @@ def test_decontamination_with_items_without_id(spark):
 # 3
 
 
+WHITE = " \t\r\x0b\x0c"
+
+
+def brute_text_left(text, gone):
+    """Lines of text but for those at places ``gone`` of its filled lines, and blank lines right after such."""
+    out, at, cut = [], -1, False
+    for x in text.split("\n"):
+        if x.strip(WHITE):
+            at += 1
+            cut = at in gone
+        if not cut:
+            out.append(x)
+    return "\n".join(out)
+
+
 def brute_line_dedup(docs, least):
     """Deleted (document, line): later windows of at least ``least`` words, shortest from either end, outside the first."""
-    lines = {i: [x.strip(" ") for x in t.split("\n") if x.strip(" ")] for i, t in docs}
+    lines = {i: [x.strip(WHITE) for x in t.split("\n") if x.strip(WHITE)] for i, t in docs}
     windows = collections.defaultdict(list)
     for d, ls in lines.items():
         w = [len(x.split()) for x in ls]
@@ -230,13 +245,46 @@ def test_line_dedup_is_brute_force(spark):
     rng = np.random.default_rng(4)
     pool = [" ".join(f"v{x}" for x in rng.integers(0, 1000, int(n))) for n in rng.integers(1, 9, 12)]
     docs = [(i, "\n".join([pool[j] if rng.random() < 0.85 else f"own {i} {rng.integers(0, 99)}" for j in rng.integers(0, 12, int(rng.integers(0, 14)))])) for i in range(30)]
-    docs += [(90, "\n".join([pool[0]] * 40)), (91, "a b c d\n\n a b c d \nx"), (92, docs[3][1])]
+    docs += [(90, "\n".join([pool[0]] * 40)), (91, "a b c d\n\n a b c d \nx"), (92, docs[3][1].replace("\n", "\r\n\t\n"))]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     lines, gone = brute_line_dedup(docs, 8)
     for r in line_dedup.dedup_lines(frame, 8).collect():
-        left = [x for i, x in enumerate(lines[r.doc_id]) if (r.doc_id, i) not in gone]
-        assert r.n_lines == len(lines[r.doc_id]) and r.n_deleted == r.n_lines - len(left)
-        assert [x.strip(" ") for x in (r.text or "").split("\n") if x.strip(" ")] == left
+        lost = {i for d, i in gone if d == r.doc_id}
+        assert r.n_lines == len(lines[r.doc_id]) and r.n_deleted == len(lost)
+        assert r.text == brute_text_left(dict(docs)[r.doc_id], lost)
+
+
+@pytest.mark.parametrize("least", [3, 8, 20])
+def test_line_dedup_deletes_whole_runs(spark, monkeypatch, least):
+    """The definition by maximal runs, on documents that repeat no line of their own."""
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    rng = np.random.default_rng(least)
+    pool = [" ".join(f"v{x}" for x in rng.integers(0, 1000, int(n))) for n in rng.integers(1, 9, 14)]
+    docs = []
+    for i in range(25):
+        a, b = sorted(rng.integers(0, 15, 2))
+        docs.append((i, "\n\t\n".join([*pool[a:b], f"own {i}", "\t" + pool[int(rng.integers(0, a + 1)) - 1] + "\r"])))
+    docs = [(i, t) for i, t in docs if len({x.strip(WHITE) for x in t.split("\n") if x.strip(WHITE)}) == len([x for x in t.split("\n") if x.strip(WHITE)])]
+    docs += [(50 + i, t) for i, t in docs[:4]]
+    lines = {i: [x.strip(WHITE) for x in t.split("\n") if x.strip(WHITE)] for i, t in docs}
+    gone = collections.defaultdict(set)
+    for d, _ in docs:
+        for e, _ in docs:
+            for s in range(len(lines[e])) if e < d else ():
+                for t in range(len(lines[d])):
+                    n = 0
+                    while s + n < len(lines[e]) and t + n < len(lines[d]) and lines[e][s + n] == lines[d][t + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[d][t : t + n]) >= least:
+                        gone[d] |= set(range(t, t + n))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), least).collect()}
+    assert got == {i: brute_text_left(t, gone[i]) for i, t in docs} and any(gone.values())
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    docs = [(1, "\n".join(f"line {i} of the text" for i in range(20_000))), (2, "\n".join(f"line {i} of the text" if i % 100 else "" for i in range(20_000)))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got[1].n_deleted == 0 and got[1].text == docs[0][1] and got[2].n_deleted == got[2].n_lines == 19_800
 
 
 def test_line_dedup_odd(odd, none):

@@ -3,7 +3,7 @@
 import collections
 
 import pyarrow.parquet as pq
-from test_operators import brute_components, brute_line_dedup, distance, near_pairs
+from test_operators import brute_components, brute_line_dedup, brute_text_left, distance, near_pairs
 
 import corpus_pipeline
 from tidemark.llm import decontaminate
@@ -30,7 +30,7 @@ def test_stages(spark):
     lines, gone = brute_line_dedup(before, 50)
     left = {i: [x for k, x in enumerate(ls) if (i, k) not in gone] for i, ls in lines.items()}
     assert set(after) == {i for i, ls in lines.items() if left[i] or not ls}
-    assert all(len(after[i].text) == after[i].n_chars and [x.strip(" ") for x in after[i].text.split("\n") if x.strip(" ")] == left[i] for i in after)
+    assert all(len(after[i].text) == after[i].n_chars and after[i].text == brute_text_left(dict(before)[i], {k for d, k in gone if d == i}) for i in after)
 
     before, after = seen["near copies"]
     assert set(after) == set(brute_components([i for i, _ in before], near_pairs(before)).values())

@@ -47,9 +47,10 @@ def op3_line_dedup(spark, table) -> DataFrame:
 
 
 ORACLE["op3_line_dedup"] = r"""
-with d as (select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls,
-    list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as raw from documents),
-l as (select doc_id, unnest(range(len(ls))) as i, unnest(list_transform(ls, lambda x: len(string_split_regex(x, '\s+')))) as w from d),
+with raw as (select doc_id, text, string_split(text, chr(10)) as raw from documents),
+b as (select *, list_transform(raw, lambda x: trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))) as bare from raw),
+d as (select doc_id, text, raw, list_filter(bare, lambda x: x <> '') as ls, list_filter(range(len(raw)), lambda i: bare[i + 1] <> '') as place from b),
+l as (select doc_id, unnest(range(len(ls))) as i, unnest(list_transform(ls, lambda x: len(string_split_regex(x, '[ \t\r\v\f]+')))) as w from d),
 c as (select doc_id, i, w, cast(sum(w) over (partition by doc_id order by i) as bigint) as upto from l),
 s as (select a.doc_id, a.i as s, min(b.i) - a.i + 1 as m from c a join c b on a.doc_id = b.doc_id and b.i >= a.i and b.i < a.i + 50 and b.upto - a.upto + a.w >= 50 group by a.doc_id, a.i
   union
@@ -58,10 +59,11 @@ k as (select s.doc_id, s, m, list_slice(ls, s + 1, s + m) as run from s join d u
 f as (select run, min(struct_pack(d := doc_id, s := s)) as head from k group by run having count(*) > 1),
 g as (select distinct k.doc_id, unnest(range(case when head.d = k.doc_id then greatest(k.s, head.s + m) else k.s end, k.s + m)) as i
   from k join f on k.run = f.run where k.doc_id > head.d or k.doc_id = head.d and k.s > head.s),
-gone as (select doc_id, list(i) as gone from g group by doc_id)
-select d.doc_id, case when gone is null then text else array_to_string(list_transform(list_filter(list_zip(raw, range(len(raw))), lambda z: not list_contains(gone, z[2])), lambda z: z[1]), chr(10)) end as text,
+gone as (select doc_id, list(i) as gone from g group by doc_id),
+lost as (select doc_id, flatten(list_transform(gone, lambda i: range(place[i + 1], coalesce(place[i + 2], len(raw))))) as lost from gone join d using (doc_id))
+select d.doc_id, case when gone is null then text else array_to_string(list_transform(list_filter(range(len(raw)), lambda i: not list_contains(lost, i)), lambda i: raw[i + 1]), chr(10)) end as text,
   cast(len(ls) as int) as n_lines, cast(coalesce(len(gone), 0) as int) as n_deleted
-from d left join gone using (doc_id)
+from d left join gone using (doc_id) left join lost using (doc_id)
 """
 
 
