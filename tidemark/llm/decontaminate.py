@@ -2,7 +2,9 @@
 
 A test item of n words may differ from a passage by up to k = floor(rate * n) word edits. Cut into k + 1 pieces, at
 least one piece of it stands unchanged in such a passage; an automaton over all pieces finds exact piece hits in one
-pass over a text, and Myers' bit-parallel distance verifies the item around each hit. Words are runs of letters,
+pass over a text, and Myers' bit-parallel distance verifies the item around each hit: an item's hits whose surroundings
+overlap are verified together, in one pass over the words that they cover. The passage reported is the best of all,
+by distance, then by its end, then the shortest. Words are runs of letters,
 digits and underscores in lower case, so case, punctuation and spacing don't count as edits.
 
 Documents are only mapped, never shuffled: hot passages cost no more than others. The items are taken in blocks of
@@ -79,26 +81,38 @@ class Items:
         self.any = bool(pieces)
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, first word, end word) of each item's best passage, the first of equals."""
+        """(item_id, distance, first word, end word) of each item's best passage."""
         words = words_of(text)
         if not words or not self.any:
             return []
-        starts, best = None, {}
+        starts, around = None, {}
         for end, (size, places) in self.automaton.iter(f" {' '.join(words)} "):
             if starts is None:
                 starts = list(accumulate((len(w) + 1 for w in words), initial=0))
             h = bisect.bisect_left(starts, end - size + 1)
             for i, offset in places:
-                w, _, k, masks, back = self.items[i]
-                if i in best and (best[i][0] == 0 or best[i][1] <= h < best[i][2]):
-                    continue
-                a, b = max(0, h - offset - k), h - offset + len(w) + k
+                around.setdefault(i, set()).add(h - offset)
+        out = []
+        for i, places in around.items():
+            w, ids, k, masks, back = self.items[i]
+            best, upto = None, -1
+            parts: list[list[int]] = []
+            for at in sorted(places):
+                a, b = max(0, at - k), at + len(w) + k
+                if a <= upto:
+                    parts[-1][1] = b
+                else:
+                    parts.append([a, b])
+                upto = b
+            for a, b in parts:
                 d, to = myers(masks, len(w), words[a:b])
-                if d <= k and (i not in best or d < best[i][0]):
-                    part = words[a : a + to][::-1]
-                    _, back_to = myers(back, len(w), part)
-                    best[i] = (d, a + to - back_to, a + to)
-        return [(item, *best[i]) for i in best for item in self.items[i][1]]
+                if d <= k and (best is None or d < best[0]):
+                    best = (d, a + to)
+            if best:
+                d, to = best
+                _, size = myers(back, len(w), words[max(0, to - len(w) - k) : to][::-1])
+                out += [(item, d, to - size, to) for item in ids]
+        return out
 
 
 _built: dict[str, Items] = {}
