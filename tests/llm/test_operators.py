@@ -190,6 +190,32 @@ def test_decontamination_finds_what_brute_force_finds(spark, odd, none):
     assert decontaminate.without_contaminated(odd, bench.limit(0)).columns == odd.columns
 
 
+def test_decontamination_reports_the_best_passage(spark):
+    """Three words only, so that pieces hit everywhere: least distance, its first end, the shortest passage."""
+    rng = np.random.default_rng(15)
+    say = lambda n: rng.choice(list("abc"), n).tolist()
+    items = [say(n) for n in (5, 9, 14, 24, 24, 30)]
+    docs = [(0, "cacaccbbbcbbbcbbcacbbbcacabbbbbcbabcacbcbccbaaacabacaba")] + [(i, "".join([*say(20), *items[i % 6][: 4 + i % 30], *say(15)])) for i in range(1, 120)] + [(200, "abc" * 2000)]
+    items.append(list("bbbcbbcacbbbcacabbbbbcbab"))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.first_word, r.end_word) for r in decontaminate.contaminated(frame, bench).collect()}
+    want = {}
+    for d, t in docs:
+        for i, w in enumerate(items):
+            k = int(decontaminate.RATE * len(w))
+            row = [(0, 0)] * (len(t) + 1)  # distance, then length, of the best passage that ends here
+            for x in w:
+                new = [(row[0][0] + 1, 0)]
+                for y in range(1, len(t) + 1):
+                    new.append(min((row[y - 1][0] + (x != t[y - 1]), row[y - 1][1] + 1), (row[y][0] + 1, row[y][1]), (new[-1][0] + 1, new[-1][1] + 1)))
+                row = new
+            best, end = min((row[e][0], e) for e in range(1, len(t) + 1))
+            if best <= k:
+                want[d, i] = (best, end - row[end][1], end)
+    assert got == want and got[0, 6][0] == 0
+
+
 def test_decontamination_with_items_without_id(spark):
     text = "some twelve words that stand in a test item and its document"
     bench = spark.createDataFrame([(None, text), (3, "other words")], "item_id bigint, text string")
@@ -388,10 +414,35 @@ def test_forward_backward():
     rng = np.random.default_rng(6)
     u, pair = rng.normal(size=(3, 5)), rng.normal(size=(2, 2))
     there = crf_quality.present([5, 3, 1])
-    good, joint, _ = crf_quality.forward_backward(u * there, pair, there)
+    good, joint = crf_quality.forward_backward(u * there, pair, there, pairs=True)
     for i, n in enumerate((5, 3, 1)):
         assert np.allclose(good[i, :n], brute_marginals(u[i, :n], pair))
     assert math.isclose(joint.sum(), 4 + 2)
+    long, _ = crf_quality.forward_backward(np.full((1, 50_000), -3.0), pair, np.ones((1, 50_000), bool))
+    assert np.isfinite(long).all()
+
+
+def test_scores_are_brute_force():
+    """Scores of texts of mixed lengths, of the whole texts, against marginals summed over all labellings."""
+    rng = np.random.default_rng(16)
+    texts = ["\n".join(rng.choice(["Plain line of words.", "### $$$ |||", "12 34 56", "another line, with words", "!!!! AAA BBB"], int(n))) for n in rng.integers(1, 9, 40)] + ["", None]
+    docs = [crf_quality.line_features(t) for t in texts]
+    labels = np.array([float("#" not in (t or "#")) for t in texts])
+    m = crf_quality.fit(docs, labels)
+    for t, got in zip(texts, m.scores(docs)):
+        x, w = crf_quality.line_features(t)
+        p = brute_marginals(m.unary(crf_quality.with_neighbours(x)), m.pair)
+        want = 1 / (1 + math.exp(-(m.a * ((p * w).sum() / w.sum() - 0.5) + m.b)))
+        assert math.isclose(got, want, rel_tol=1e-6)
+
+
+def test_fit_reads_whole_texts(spark):
+    """A document is bad for its last lines only, far beyond the first hundred."""
+    good = "\n".join(["Plain line of words, as they come."] * 300)
+    docs = [(i, good if i % 2 else good + "\n" + "\n".join(["$$ ## || %%"] * 200)) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = crf_quality.train(frame, spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id bigint, quality int"))
+    assert all((r.q >= 0.7) == bool(r.doc_id % 2) for r in crf_quality.score(frame, model, "q").collect())
 
 
 def test_quality_held_out(spark):

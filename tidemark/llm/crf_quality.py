@@ -6,8 +6,9 @@ lines for the first fit; a second fit lets the model take back lines of bad docu
 Forward-backward gives each line's probability of being good; their mean weighted by length, calibrated on the
 training documents, is the document's score.
 
-The model is fitted on at most ``MAX_DOCS`` labelled documents (half of each class, those of least hash of their id)
-and ``MAX_LINES`` lines of each; scoring reads every line of every document. Null texts count as empty, an empty text
+The model is fitted on at most ``MAX_DOCS`` labelled documents (half of each class, those of least hash of their id),
+whole documents all of them, and on so many of these that they have ``MAX_LINES`` lines together at most; scoring reads
+every line of every document. Null texts count as empty, an empty text
 as one empty line. Labels that are null are left out; of repeated labels the least counts. Without labels of both
 classes every score is 0.5.
 """
@@ -22,7 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_DOCS, MAX_LINES, STEPS, L2 = 6_000, 64, 150, 1e-3
+from ..session import drop, keep
+
+MAX_DOCS, MAX_LINES, STEPS, L2 = 6_000, 1_000_000, 150, 1e-3
 
 #: Kinds of bytes, for counting: 0 other, 1 lower, 2 upper, 3 digit, 4 white, 5 sentence marks, 6 symbols, 7 beyond ASCII, 8 newline
 KIND = np.zeros(256, np.uint8)
@@ -91,24 +94,47 @@ def spread(flat: np.ndarray, there: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(unary: np.ndarray, pair: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """unary: documents x lines, log odds of good. Returns P(good) of each line, pair counts (2 x 2), log partition."""
-    d, t = unary.shape
-    emit = np.stack([np.zeros_like(unary), unary], 2)
-    alpha, beta = np.empty((d, t, 2)), np.zeros((d, t, 2))
-    alpha[:, 0] = emit[:, 0]
+def forward_backward(unary: np.ndarray, pair: np.ndarray, there: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """unary: documents x lines, log odds of good. Returns P(good) of each line and, if asked for, pair counts (2 x 2).
+
+    Messages are scaled to sum 1 at each line, so texts of any length neither overflow nor vanish.
+    """
+    odds, on = np.exp(np.clip(unary, -60, 60)).T, there.T.astype(float)
+    m = np.exp(pair - pair.max())
+    t, d = odds.shape
+    alpha, beta = np.empty((2, t, d)), np.ones((2, t, d))
+    alpha[1, 0] = odds[0] / (1 + odds[0])
+    alpha[0, 0] = 1 - alpha[1, 0]
     for i in range(1, t):
-        step = np.logaddexp(alpha[:, i - 1, 0, None] + pair[0], alpha[:, i - 1, 1, None] + pair[1]) + emit[:, i]
-        alpha[:, i] = np.where(there[:, i, None], step, alpha[:, i - 1])
+        bad, good = alpha[0, i - 1], alpha[1, i - 1]
+        x, y = bad * m[0, 0] + good * m[1, 0], (bad * m[0, 1] + good * m[1, 1]) * odds[i]
+        z = x + y
+        alpha[0, i], alpha[1, i] = x / z, y / z
     for i in range(t - 2, -1, -1):
-        nxt = emit[:, i + 1] + beta[:, i + 1]
-        step = np.logaddexp(nxt[:, 0, None] + pair[:, 0], nxt[:, 1, None] + pair[:, 1])
-        beta[:, i] = np.where(there[:, i + 1, None], step, 0)
-    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-    good = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None])
-    both = there[:, 1:]
-    joint = np.exp(np.minimum(alpha[:, :-1, :, None] + pair[None, None] + (emit + beta)[:, 1:, None, :] - z[:, None, None, None], 0)) * both[:, :, None, None]
-    return good, joint.sum((0, 1)), z
+        bad, good = beta[0, i + 1], beta[1, i + 1] * odds[i + 1]
+        x, y = m[0, 0] * bad + m[0, 1] * good, m[1, 0] * bad + m[1, 1] * good
+        z = x + y
+        beta[0, i], beta[1, i] = 1 + on[i + 1] * (x / z - 1), 1 + on[i + 1] * (y / z - 1)
+    g = alpha[1] * beta[1]
+    good = (g / (g + alpha[0] * beta[0])).T
+    if not pairs:
+        return good, None
+    joint = np.empty((2, 2, t - 1, d))
+    for i in (0, 1):
+        for j in (0, 1):
+            joint[i, j] = alpha[i, :-1] * m[i, j] * (odds[1:] if j else 1.0) * beta[j, 1:]
+    return good, (joint / joint.sum((0, 1)) * on[1:]).sum((2, 3))
+
+
+def like_lengths(lengths: list[int]) -> Iterator[list[int]]:
+    """Places of documents in groups of like length, of bounded size."""
+    order, at = sorted(range(len(lengths)), key=lengths.__getitem__), 0
+    while at < len(order):
+        least = lengths[order[at]]
+        most = max(1, 200_000 // (2 * least + 8))
+        part = [i for i in order[at : at + most] if lengths[i] <= 2 * least + 8]
+        at += len(part)
+        yield part
 
 
 class Model:
@@ -121,33 +147,33 @@ class Model:
     def unary(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.w
 
-    def fit_chain(self, flat: np.ndarray, there: np.ndarray, y: np.ndarray) -> None:
-        """Adam on the mean log likelihood of the lines' labels. flat: lines x features; there, y: documents x lines."""
-        n, labels = len(flat), y[there]
+    def fit_chain(self, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Adam on the mean log likelihood of the lines' labels; groups have lines x features, and documents x lines of what is there and of labels."""
+        n = sum(len(flat) for flat, _, _ in groups)
         given = np.zeros((2, 2))
-        both = there[:, 1:]
-        for i in (0, 1):
-            for j in (0, 1):
-                given[i, j] = ((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum()
+        for _, there, y in groups:
+            for i in (0, 1):
+                for j in (0, 1):
+                    given[i, j] += ((y[:, :-1] == i) & (y[:, 1:] == j) & there[:, 1:]).sum()
         state = [np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)]
         for step in range(1, STEPS + 1):
-            good, joint, _ = forward_backward(spread(flat @ self.w, there), self.pair, there)
-            g = np.concatenate([(labels - good[there]) @ flat / n - L2 * self.w, ((given - joint) / n - L2 * self.pair).ravel()])
+            slope, counts = np.zeros(FEATURES), np.zeros((2, 2))
+            for flat, there, y in groups:
+                good, joint = forward_backward(spread(flat @ self.w, there), self.pair, there, pairs=True)
+                slope += (y[there] - good[there]) @ flat
+                counts += joint
+            g = np.concatenate([slope / n - L2 * self.w, ((given - counts) / n - L2 * self.pair).ravel()])
             state[0], state[1] = 0.9 * state[0] + 0.1 * g, 0.999 * state[1] + 0.001 * g * g
             move = 0.1 * (1 - 0.9 * step / STEPS) * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
             self.w, self.pair = self.w + move[:FEATURES], self.pair + move[FEATURES:].reshape(2, 2)
 
     def means(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Length-weighted mean of P(good) of each document; documents of like length go together."""
-        out, order = np.empty(len(docs)), sorted(range(len(docs)), key=lambda i: len(docs[i][0]))
-        at = 0
-        while at < len(order):
-            most = max(1, 200_000 // (len(docs[order[at]][0]) * 2 + 8))
-            part = [i for i in order[at : at + most] if len(docs[i][0]) <= 2 * len(docs[order[at]][0]) + 8]
-            at += len(part)
-            there = present([len(docs[i][0]) for i in part])
+        out, lengths = np.empty(len(docs)), [len(f) for f, _ in docs]
+        for part in like_lengths(lengths):
+            there = present([lengths[i] for i in part])
             odds = np.concatenate([self.unary(with_neighbours(docs[i][0])) for i in part])
-            good, _, _ = forward_backward(spread(odds, there), self.pair, there)
+            good, _ = forward_backward(spread(odds, there), self.pair, there)
             for i, g in zip(part, good):
                 w = docs[i][1]
                 out[i] = (g[: len(w)] * w).sum() / w.sum()
@@ -161,17 +187,24 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     m = Model()
     if len(set(labels.tolist())) < 2:
         return m
-    flat = np.vstack([with_neighbours(f) for f, _ in docs])
-    m.mean, m.scale = flat.mean(0), flat.std(0) + 1e-6
+    lengths = [len(f) for f, _ in docs]
+    groups = []
+    for part in like_lengths(lengths):
+        there = present([lengths[i] for i in part])
+        groups.append((np.vstack([with_neighbours(docs[i][0]) for i in part]), there, np.repeat(labels[part][:, None], there.shape[1], 1).astype(float)))
+    n = sum(lengths)
+    m.mean = sum(x.sum(0) for x, _, _ in groups) / n
+    m.scale = np.sqrt(sum(((x - m.mean) ** 2).sum(0) for x, _, _ in groups) / n) + 1e-6
     m.mean[-1], m.scale[-1] = 0, 1
-    flat = (flat - m.mean) / m.scale
-    there = present([len(f) for f, _ in docs])
-    y = np.repeat(labels[:, None], there.shape[1], 1).astype(float)
-    m.fit_chain(flat, there, y)
-    good, _, _ = forward_backward(spread(flat @ m.w, there), m.pair, there)
-    sure = good >= 0.9
-    sure[(good * there).sum(1) >= 0.9 * there.sum(1)] = False  # a bad document keeps some bad line
-    m.fit_chain(flat, there, np.where(sure, 1.0, y))
+    groups = [((x - m.mean) / m.scale, there, y) for x, there, y in groups]
+    m.fit_chain(groups)
+    again = []
+    for x, there, y in groups:
+        good, _ = forward_backward(spread(x @ m.w, there), m.pair, there)
+        sure = good >= 0.9
+        sure[(good * there).sum(1) >= 0.9 * there.sum(1)] = False  # a bad document keeps some bad line
+        again.append((x, there, np.where(sure, 1.0, y)))
+    m.fit_chain(again)
     # calibration: a logistic curve through the training documents, by Newton steps
     mean = m.means(docs) - 0.5
     t = np.stack([mean, np.ones_like(mean)], 1)
@@ -198,12 +231,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [line_features(t.as_py()) for t in batch.column(1)]
-            pack = lambda k: pa.array([x[k][:MAX_LINES].astype("<f4").tobytes() for x in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pack(0), pack(1)], names=["doc_id", "quality", "x", "w"])
-
-    rows = chosen.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(features, "doc_id bigint, quality int, x binary, w binary").orderBy("doc_id", "x").limit(MAX_DOCS).collect()
-    data = [(np.frombuffer(r["x"], "<f4").reshape(-1, WIDTH).astype(float), np.frombuffer(r["w"], "<f4").astype(float)) for r in rows]
-    return fit(data, np.array([float(r["quality"]) for r in rows]))
+            pack = lambda k: pa.array([x[k].astype("<f4").tobytes() for x in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pack(0), pack(1), pa.array([len(x[1]) for x in got])], names=["doc_id", "quality", "x", "w", "lines"])
+
+    rows = keep(chosen.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(features, "doc_id bigint, quality int, x binary, w binary, lines bigint"), "sample")
+    total, taken = 0, set()
+    for r in sorted(rows.select("doc_id", "lines", rank.alias("rank")).collect(), key=lambda r: (r["rank"], r["doc_id"], r["lines"])):
+        if total + r["lines"] <= MAX_LINES:
+            taken.add((r["doc_id"], r["lines"]))
+            total += r["lines"]
+    few = docs.sparkSession.createDataFrame(sorted(taken), "doc_id bigint, lines bigint")
+    got = rows.join(F.broadcast(few), ["doc_id", "lines"], "left_semi").orderBy("doc_id", "x").limit(MAX_DOCS).collect()
+    drop(rows)
+    data = [(np.frombuffer(r["x"], "<f4").reshape(-1, WIDTH).astype(float), np.frombuffer(r["w"], "<f4").astype(float)) for r in got]
+    return fit(data, np.array([float(r["quality"]) for r in got]))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
