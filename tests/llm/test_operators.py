@@ -324,6 +324,29 @@ def test_line_dedup_odd(odd, none):
 # 4
 
 
+def good_turing(counts, k=5):
+    """Discount of each count up to k, from the counts themselves: Katz's formula, or (c - b) / c where that is no discount."""
+    of = collections.Counter(counts)
+    out = {}
+    for c in range(1, k + 1):
+        try:
+            a = (k + 1) * of[k + 1] / of[1]
+            d = ((c + 1) * of[c + 1] / (c * of[c]) - a) / (1 - a)
+        except ZeroDivisionError:
+            d = 0
+        b = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.5
+        out[c] = d if 0 < d < 1 else (c - b) / c
+    return out
+
+
+def test_discounts_sum():
+    """With Katz's formula for all counts, what is freed is the share of words that occur once."""
+    counts = [1] * 1000 + [2] * 400 + [3] * 220 + [4] * 140 + [5] * 100 + [6] * 70 + [50] * 9
+    d = katz.discounts(katz.counts_of_counts(np.array(counts)))
+    assert np.allclose(d[1:], list(good_turing(counts).values()))
+    assert math.isclose(sum(c * (1 - d[c]) for c in counts if c <= katz.K), 1000, rel_tol=1e-9)
+
+
 def test_katz(spark, odd, none):
     docs = documents()
     frame = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id bigint, text string")
@@ -337,24 +360,24 @@ def test_katz(spark, odd, none):
             for u, w in zip([b"", *x], x):
                 ctx[u][w] += 1
     n, v = sum(uni.values()), len(uni)
-    one = katz.Unigrams(katz.counts_of_counts(np.array(list(uni.values()))), n)
-    d = katz.discounts(katz.counts_of_counts(np.array([c for x in ctx.values() for c in x.values()])))
-    p1 = {w: float(one.p(np.array([c]))[0]) for w, c in uni.items()}
-    assert math.isclose(sum(p1.values()) + one.unknown, 1)
+    d1, d = good_turing(uni.values()), good_turing([c for x in ctx.values() for c in x.values()])
+    p1 = {w: c * d1.get(c, 1) / n for w, c in uni.items()}
+    unknown = 1 - sum(p1.values())
+    assert 0 < unknown < 1
 
     def model(u):
         seen, all_ = ctx[u], sum(ctx[u].values())
-        p = {w: c * (d[c] if c <= katz.K else 1) for w, c in seen.items()}
+        p = {w: c * d.get(c, 1) for w, c in seen.items()}
         freed, whole = (all_ - sum(p.values()), all_) if all_ - sum(p.values()) > 1e-12 else (1, all_ + 1)
         alpha = freed / whole / (1 - sum(p1[w] for w in seen))
-        return lambda w: p[w] / whole if w in p else alpha * p1.get(w, one.unknown)
+        return lambda w: p[w] / whole if w in p else alpha * p1.get(w, unknown)
 
     of = {u: model(u) for u in list(ctx)}
     for u in list(ctx)[:3]:
         assert math.isclose(sum(of[u](w) for w in uni) + of[u](b"never seen"), 1, rel_tol=1e-9)
     for x in docs[:60]:
         t, r = token(x["text"]), rows[x["doc_id"]]
-        want = sum(math.log10(of[u](w) if u in of else p1.get(w, one.unknown)) for u, w in zip([b"", *t], t))
+        want = sum(math.log10(of[u](w) if u in of else p1.get(w, unknown)) for u, w in zip([b"", *t], t))
         assert math.isclose(r.score, want, rel_tol=1e-9) and (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in uni for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
     held = [r for r in rows.values() if r.held_out]

@@ -4,7 +4,8 @@
              = alpha(u) P(w)           otherwise, with alpha(u) = what the discounts free / (1 - sum of P over words seen after u)
     P(w)     = d(c(w)) c(w) / N        if c(w) > 0, and the mass that the discounts free for all unknown words together
 
-Counts up to K are discounted by Good-Turing (by an absolute discount where counts of counts don't allow it); a context
+Counts up to K are discounted by Good-Turing, each of them for which this gives a discount between 0 and 1, by an absolute
+discount otherwise (small corpora have no or odd counts of counts); a context
 in which nothing is discounted gets one count for what it hasn't seen. The context of a text's first word is the end.
 
 How it runs: texts are coded in batches of about ``BATCH_TOKENS`` tokens, each with a vocabulary of its own sorted by
@@ -12,7 +13,9 @@ hash. A batch asks for every distinct word and word pair once, in one row for ea
 is one entry a batch and no bucket gets hot by it; contexts so frequent that their pairs would fill a bucket are dealt
 over all buckets by pair. A bucket sums what its batches counted, keeps its part of the count tables, and answers each
 batch in the order of its question. Counts of counts and the (at most ``4 * buckets``) frequent contexts are all that
-reaches the driver.
+reaches the driver. Buckets grow in number with the documents, not in size, and exchanges have as many partitions as
+there are buckets or batches, so a task holds one or a few of them. Words are known by a hash of 64 bits: two words of
+one hash, which 10^9 distinct words make likely once in 40 corpora, count as one.
 
 Null texts count as empty; an empty text is one end token. Rows with a null id are taken as id text ''. Repeated rows
 count and score each for itself. Without training rows every word is unknown and unknown words have all the mass.
@@ -63,13 +66,11 @@ def discounts(n: np.ndarray) -> np.ndarray:
     """d(0), ..., d(K) from counts of counts; d(0) is unused. Higher counts keep 1."""
     d = np.ones(K + 1)
     n = n[: K + 1].astype(float)
-    if (n > 0).all():
-        cut = (K + 1) * n[K] / n[0]
-        for c in range(1, K + 1):
-            d[c] = ((c + 1) * n[c] / (c * n[c - 1]) - cut) / (1 - cut) if cut < 1 else 0
-    if (d[1:] <= 0).any() or (d[1:] >= 1).any():
-        b = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-        d[1:] = [(c - b) / c for c in range(1, K + 1)]
+    cut = (K + 1) * n[K] / n[0] if n[0] else 1.0
+    b = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+    for c in range(1, K + 1):
+        ratio = ((c + 1) * n[c] / (c * n[c - 1]) - cut) / (1 - cut) if n[c - 1] and cut < 1 else 0.0
+        d[c] = ratio if 0 < ratio < 1 else (c - b) / c
     return d
 
 
@@ -227,10 +228,11 @@ def answers_of(batch: Batch, rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, train_where=None) -> DataFrame:
     """docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from what isn't held out."""
     spark = docs.sparkSession
-    buckets = int(max(8, min(1 << 16, docs.count() // ROWS_PER_BUCKET)))
+    buckets = max(8, docs.count() // ROWS_PER_BUCKET)
     learn = ~held_out(F.col("doc_id"), 7) if train_where is None else train_where
     coded = code(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", learn.alias("train")), buckets)
-    words = keep(coded.where("kind = 'w'").groupBy("bucket").applyInArrow(count_words, ANSWER), "words")
+    batches = max(1, coded.where("kind = 'd'").count())
+    words = keep(coded.where("kind = 'w'").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count_words, ANSWER), "words")
     stats = np.zeros(K + 4, np.int64)
     stride = 1
     for r in words.where("kind = 'stats'").select("a").toLocalIterator():
@@ -288,8 +290,9 @@ def score(docs: DataFrame, train_where=None) -> DataFrame:
         return table(ANSWER, rows)
 
     texts, told = coded.where("kind = 'd'").select("batch", "ids", "train", "sizes", "tokens", "hashes", "counts", "end"), words.where("kind = 'words'")
-    asked = texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(ask, ANSWER)
-    pairs = keep(asked.groupBy("bucket").applyInArrow(count_pairs, ANSWER), "pairs")
+    by_batch = lambda df: df.repartition(batches, "batch").groupBy("batch")
+    asked = by_batch(texts).cogroup(by_batch(told)).applyInArrow(ask, ANSWER)
+    pairs = keep(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count_pairs, ANSWER), "pairs")
     n_pairs = np.zeros(K + 2, np.int64)
     for r in pairs.where("kind = 'stats'").select("a").toLocalIterator():
         n_pairs += np.frombuffer(r["a"], "<i8")
@@ -331,4 +334,4 @@ def score(docs: DataFrame, train_where=None) -> DataFrame:
         return pa.table([pa.array(c) if not isinstance(c, pa.Array) else c for c in cols], names=[x.split()[0] for x in result.split(", ")])
 
     told = told.union(pairs.where("kind = 'pairs'"))
-    return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(evaluate, result)
+    return by_batch(texts).cogroup(by_batch(told)).applyInArrow(evaluate, result)
