@@ -509,17 +509,31 @@ def test_byte_bpe_is_the_library(odd, none):
 
 
 def test_url_filter(spark):
-    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow")], "host string, path string, verdict string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("Example.NET", "/en/", "allow"), ("org", "/fr/", "allow")], "host string, path string, verdict string")
     urls = [(1, "http://A.Example.NET/en/x"), (2, "https://notexample.net/en/x"), (3, "http://net/"), (4, None), (5, "no scheme"), (6, "http://x.org/fr/?q"), (7, "http://www.Bad.example/p/index.html?x#y"), (7, "http://www.Bad.example/p/index.html?x#y"), (8, "http://example.net"), (9, "")]
     listed = spark.createDataFrame([("https://bad.example/p/",), (None,)], "url string")
     pages = spark.createDataFrame([(*u, "z", "z") for u in urls], "page_id bigint, url string, rule string, key string")
     got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages, rules, listed).orderBy("page_id").collect()]
     bad = (7, "www.bad.example", "/p/index.html", None, "block")
-    assert got == [(1, "a.example.net", "/en/x", "example.net/en/", "allow"), (2, "notexample.net", "/en/x", "net/", "block"), (3, "net", "/", "net/", "block"), (4, "", "", None, "allow"), (5, "", "", None, "allow"), (6, "x.org", "/fr/", "org/fr/", "allow"), bad, bad, (8, "example.net", "", None, "allow"), (9, "", "", None, "allow")]
+    assert got == [(1, "a.example.net", "/en/x", "Example.NET/en/", "allow"), (2, "notexample.net", "/en/x", "net/", "block"), (3, "net", "/", "net/", "block"), (4, "", "", None, "allow"), (5, "", "", None, "allow"), (6, "x.org", "/fr/", "org/fr/", "allow"), bad, bad, (8, "example.net", "", None, "allow"), (9, "", "", None, "allow")]
     assert {r.verdict for r in url_filter.url_filter(pages, rules.limit(0)).collect()} == {"allow"}
     assert url_filter.url_filter(pages.limit(0), rules).count() == 0
 
 
+def test_bloom_filter(spark):
+    """All keys pass, few others do, and the exact join removes those; rules of many path lengths make no large plan."""
+    F = url_filter.F
+    keys, others = (spark.range(20_000).select(F.concat(F.lit(k), F.col("id").cast("string")).alias("key")) for k in ("in", "out"))
+    filt, blocks = url_filter.bloom(keys, 20_000)
+    probe = lambda df: df.withColumns({"block": url_filter._block(F.col("key"), blocks), "want": url_filter._mask(F.col("key"))}).join(filt, "block").where("bits & want = want").count()
+    assert filt.count() <= blocks and probe(keys) == 20_000 and 0 < probe(others) < 400
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.example/"), F.repeat(F.lit("x"), F.col("id").cast("int")), F.lit("/"), "id").alias("url"))
+    rules = spark.range(1, 800).select(F.lit("example").alias("host"), F.concat(F.lit("/"), F.repeat(F.lit("x"), F.col("id").cast("int")), F.lit("/")).alias("path"), F.lit("block").alias("verdict"))
+    listed = spark.range(1000, 2000).select(F.concat(F.lit("https://WWW.H.Example/"), F.repeat(F.lit("x"), F.col("id").cast("int")), F.lit("/"), "id", F.lit("/index.html#top")).alias("url"))
+    got = collections.Counter((r.rule is not None, r.verdict) for r in url_filter.url_filter(pages, rules, listed).collect())
+    assert got == {(True, "block"): 799, (False, "block"): 1000, (False, "allow"): 1201}
+
+
 # 9
 
 

@@ -99,9 +99,11 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 @query
 def op8_url_filter(spark, table) -> DataFrame:
+    """The listed URLs are those that a page was met under with a tracking parameter: their page is blocked under any address."""
     from .url_filter import url_filter
 
-    return url_filter(table("pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    pages = table("pages")
+    return url_filter(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), pages.where(F.col("url").contains("utm_source=")).select("url"))
 
 
 ORACLE["op8_url_filter"] = r"""
@@ -110,12 +112,15 @@ with u as (
     case when url like '%://%' then translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
     case when url like '%://%' then regexp_extract(url, '://[^/?#]*([^?#]*)', 1) else '' end as path
   from pages),
+c as (select page_id, regexp_replace(host, '^www\.', '') || regexp_replace(regexp_replace(path, '/index\.html?$', '/'), '/+$', '') as canonical, url like '%utm_source=%' as listed from u),
+hit as (select distinct c.page_id from c join (select distinct canonical from c where listed) l using (canonical) join u using (page_id) where u.host <> ''),
 rules(rhost, rpath, rverdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 fits as (
   select distinct url, rhost || rpath as rule, rverdict from (select distinct url, host, path from u) x join rules
   on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)),
 best as (select url, arg_max(rule, length(rule)) as rule, arg_max(rverdict, length(rule)) as verdict from fits group by url)
-select u.page_id, u.url, u.host, u.path, best.rule, coalesce(best.verdict, 'allow') as verdict from u left join best on u.url = best.url
+select u.page_id, u.url, u.host, u.path, best.rule, coalesce(best.verdict, case when hit.page_id is not null then 'block' else 'allow' end) as verdict
+from u left join best on u.url = best.url left join hit on u.page_id = hit.page_id
 """
 
 

@@ -1,7 +1,7 @@
 """URL filters: a blocked Bloom filter passes possible hits to an exact hash join.
 
 A list entry is a (host, path) rule that holds for the host, its subdomains and every path that starts with its
-path, or a whole canonical URL. A URL is expanded into the few keys under which a list could hold it; each key
+path, or a whole canonical URL. Hosts are compared in lower case. A URL is expanded into the few keys under which a list could hold it; each key
 probes one 64-bit block of the filter, and what passes is joined exactly with the list. So the list's strings meet
 only the keys that the filter lets through.
 
@@ -58,17 +58,13 @@ def _bounded(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def _each(suffixes: Column, prefix: Column) -> Column:
-    return F.transform(suffixes, lambda s: F.concat(F.lit("r"), s, prefix))
-
-
 def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """pages(page_id, url) judged by rules(host, path, verdict) and by listed(url), which blocks.
 
     Returns page_id, url, host, path, rule, verdict. The longest rule that fits wins; without one, a URL whose
     canonical form is listed is blocked, any other is allowed.
     """
-    entries = rules.select(F.concat(F.lit("r"), "host", F.lit("\n"), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict")
+    entries = rules.select(F.concat(F.lit("r"), F.translate("host", UPPER, LOWER), F.lit("\n"), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict")
     if listed is not None:
         exact = listed.where("url is not null").select(F.concat(F.lit("u"), canonical(F.col("url"))).alias("key"))
         entries = entries.unionByName(exact.select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict")))
@@ -80,10 +76,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = No
     urls = pages.select("url").where("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = F.array(F.concat(F.lit("u"), canonical(F.col("url"))))
-    for k in sorted(lengths):
-        prefix = F.concat(F.lit("\n"), F.substring("path", 1, k))
-        keys = F.concat(keys, F.when(F.length("path") >= k, _each(suffixes, prefix)).otherwise(F.array().cast("array<string>")))
+    lengths_ = F.filter(F.lit(sorted(lengths)).cast("array<int>"), lambda k: k <= F.length("path"))
+    ruled = F.flatten(F.transform(lengths_, lambda k: F.transform(suffixes, lambda s: F.concat(F.lit("r"), s, F.lit("\n"), F.substring(F.col("path"), F.lit(1), k)))))
+    keys = F.concat(F.array(F.concat(F.lit("u"), canonical(F.col("url")))), ruled)
     probes = urls.where("host <> ''").select("url", F.explode(F.array_distinct(keys)).alias("key"))
     probes = probes.withColumns({"block": _block(F.col("key"), blocks), "want": _mask(F.col("key"))})
     passed = probes.join(_bounded(filt, blocks), "block").where("bits & want = want").select("url", "key")
