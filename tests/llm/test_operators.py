@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as vocab
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 
 from tidemark.llm import byte_bpe, crf_quality, decontaminate, html_text, katz, line_dedup, near_copies, simhash, token_store, topk, url_filter
 from tidemark.llm.queries import QUERIES
@@ -553,6 +554,20 @@ def test_top_k(spark):
     assert set(got) == {0, 100, 200} and topk.top_k(use.limit(0), use.limit(0)).count() == 0
 
 
+def test_top_k_in_blocks_and_of_large_numbers(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_NUMBERS", 12)
+    v = np.random.default_rng(17).integers(-9, 9, (60, 4))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, frame.where("vec_id % 5 = 0"), 3).collect())
+    best = {q: sorted((-int(v[i] @ v[q]), i) for i in range(60) if i != q)[:3] for q in range(0, 60, 5)}
+    assert got == [(q, k + 1, i, -s) for q in best for k, (s, i) in enumerate(best[q])]
+    large = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 1.0]), (2, [-1e300, 0.0]), (3, [3e12, 0.0])], "vec_id bigint, v array<double>")
+    ints = large.select("vec_id", topk.integers(large.v).alias("v"))
+    got = [(r.vec_id, r.score) for r in topk.top_k(ints, ints.where("vec_id = 0"), 3).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
 # 10
 
 
@@ -588,6 +603,12 @@ def test_simhash_links(spark, monkeypatch, limit):
 
 
 def test_fingerprints(odd, none):
+    for text in [d["text"] for d in documents()[:60]] + [t for _, t in ODD] + ["a b c d", "w " * 300_000]:
+        w = words(text)
+        shingled = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        counted = collections.Counter(shingled)
+        bits = [sum(n for s, n in counted.items() if xxhash.xxh64_intdigest(s, 42) >> b & 1) for b in range(64)]
+        assert simhash.fingerprint(simhash.shingle_hashes(text, 3, 42)) == sum(1 << b for b in range(64) if 2 * bits[b] > len(shingled))
     rows = simhash.fingerprints(odd).collect()
     assert len(rows) == len(ODD) and {r.fp for r in rows if r.doc_id in (2, 3, 7)} == {0}
     assert simhash.near_duplicates(simhash.fingerprints(odd)).count() == len(ODD)

@@ -6,7 +6,9 @@ distance is an upper bound of the score. Bounds go from one segment to many; a c
 k-th best score so far is dropped for that query, and what survives all of them is scored exactly in integers.
 
 Queries are taken in blocks of bounded size, each broadcast to a pass over all rows; each task returns its best k for
-each query, and a window picks the best of these. Vectors that are null, empty, or hold null or non-finite components
+each query, and a window picks the best of these. Of several blocks, one at a time is in memory: its best are a written
+table before the next is read. Components are held to 64 bits, scores too (those beyond count as the nearest number that
+fits, so they tie). Vectors that are null, empty, or hold null or non-finite components
 take no part; vectors meet those of their own length. A repeated id is one query (its least vector) and as many
 candidates as it has rows. Ties go to the smaller id.
 """
@@ -46,9 +48,13 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products; doubles hold them exactly while they are small enough."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    return (q.astype(float) @ x.T.astype(float)).astype(np.int64) if most < 2**53 else q @ x.T
+    """Integer inner products; doubles hold them exactly while they are small enough, Python's integers always."""
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(x.astype(float)).max(initial=0)) * q.shape[1]
+    if most < 2**53:
+        return (q.astype(float) @ x.T.astype(float)).astype(np.int64)
+    if most < 2**62:
+        return q @ x.T
+    return np.clip(q.astype(object) @ x.T.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
 class Best:
@@ -82,7 +88,7 @@ class Best:
         ok = np.hstack([self.filled[rows], alive[np.ix_(rows, cols)]])
         score = np.hstack([self.scores[rows], score])
         found = np.hstack([self.found[rows], np.broadcast_to(ids[cols], (len(rows), len(cols)))])
-        order = np.lexsort((found, -score.astype(float) if np.abs(score[ok]).max(initial=0) < 2**53 else ~score, ~ok), axis=1)[:, : self.k]
+        order = np.lexsort((found, -score.astype(float) if np.abs(score[ok].astype(float)).max(initial=0) < 2**53 else ~score, ~ok), axis=1)[:, : self.k]
         self.scores[rows], self.found[rows], self.filled[rows] = (np.take_along_axis(v, order, 1) for v in (score, found, ok))
 
 
@@ -112,6 +118,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q, found.found[found.filled], found.scores[found.filled])], names=["query_id", "vec_id", "score"])
 
         part = vectors.select("vec_id", "v").mapInArrow(run, schema)
+        if blocks > 1:
+            part = keep(part, "best")
+            shared.destroy()
         out = part if out is None else out.union(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
