@@ -397,20 +397,37 @@ def test_token_store(spark, odd, none, tmp_path):
     path = vocab.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     assert token_store._encoder(path, 1).apart
-    folder = f"file://{tmp_path}/store"
-    placed = token_store.write(odd, folder, path)
-    shards = token_store.shard_table(placed)
-    rows = token_store.read(placed.select("doc_id", "occurrence"), folder, placed.index_files, shards).collect()
-    texts = sorted((i, t or "") for i, t in ODD if i is not None)
+    extra = documents()
+    frame = odd.select("doc_id", "text").union(spark.createDataFrame([(1000 + d["doc_id"], d["text"]) for d in extra] + [(None, None)], "doc_id bigint, text string"))
+    store = token_store.write(frame, f"file://{tmp_path}/store", path)
+    rows = token_store.read(store.placed, store).collect()
+    texts = sorted([(i, t or "") for i, t in ODD] + [(1000 + d["doc_id"], d["text"] or "") for d in extra] + [(None, "")], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     start = 0
-    for r, (i, t) in zip(sorted(rows, key=lambda r: (r.doc_id, r.occurrence)), texts, strict=True):
+    for r, (i, t) in zip(sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.occurrence)), texts, strict=True):
         ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     unknown = spark.createDataFrame([(10**9 + i, 0) for i in range(50)], "doc_id bigint, occurrence bigint")
-    assert token_store.read(unknown, folder, placed.index_files, shards).count() == 0
-    empty = token_store.write(none, folder + "2", path)
-    assert empty.count() == 0 and token_store.shard_table(empty) == []
+    assert token_store.read(unknown, store).count() == 0
+    empty = token_store.write(none, f"file://{tmp_path}/store2", path)
+    assert empty.placed.count() == 0 == token_store.read(empty.placed, empty).count()
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """With another normaliser, words can't be encoded apart."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    made = json.load(open(vocab.path("word_bpe_49k.json")))
+    made["normalizer"] = {"type": "Replace", "pattern": {"String": " "}, "content": "_"}
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(made, f)
+    texts = ["two words", "", "One, two  three"]
+    got, width = token_store.encode_texts(texts, path, 1)
+    tok = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, f"<u{width}").tolist() for x in got] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
 def test_minimal_perfect_hash():

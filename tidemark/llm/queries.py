@@ -78,10 +78,8 @@ def op4_katz(spark, table) -> DataFrame:
 def op5_token_store(spark, table) -> DataFrame:
     from . import token_store as ts
 
-    folder = scratch(spark, "store")
-    placed = ts.write(table("documents"), folder, vocabulary("word_bpe_49k.json"), end_id=1)
-    out = ts.read(placed.select("doc_id", "occurrence"), folder, placed.index_files, ts.shard_table(placed))
-    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+    store = ts.write(table("documents"), scratch(spark, "store"), vocabulary("word_bpe_49k.json"), end_id=1)
+    return ts.read(store.placed, store).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query

@@ -6,25 +6,27 @@ displacement: a first hash picks a bucket, the bucket's stored displacement make
 slot of its own, and the slot stores a 32-bit fingerprint with shard, offset and length. A look-up reads one
 displacement and one slot whatever the number of keys; an unknown key is told by its fingerprint (one in 2^32 is not).
 
-Null texts count as empty. Rows with a null key are left out of a store, since they can't be looked up. Rows that
-repeat a key are all kept, as occurrences 0, 1, ... of it in the order of their text. An empty table gives an empty
-store. Names of executors' attempts make file names unique, so a task that is run again leaves no half-written shard
-in use; every file is named by the rows that the finished stage returned.
+Null texts count as empty, and null keys are keys like others that come first. Rows that repeat a key are all kept, as
+occurrences 0, 1, ... of it in the order of their text. An empty table gives an empty store. Every attempt of a task
+writes files of its own names, shards and index files alike; the tables that the finished stages returned say which of
+them are the store, so a task that is run again or late leaves no half-written file in use and replaces none.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import keep
@@ -57,8 +59,15 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LEVEL = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(PRINTED))}
 
 
+#: The normaliser and the splitter for which words may be encoded apart.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
+
 class Words(dict):
-    """Words to their ids, by the library's tokenizer where they aren't known yet. White space ends tokens and is dropped, so words can be encoded apart.
+    """Words to their ids, by the library's tokenizer where they aren't known yet. Where white space ends tokens and is dropped, words can be encoded apart.
+
+    That is so for tokenizers of one kind (``apart``), by their normaliser and splitter; others get texts whole.
 
     A word of letters below U+0250, which composing leaves as they are, followed by marks is one token group of letters
     and one of marks: its letters go to the library's model in lower case, once for all marks and cases. Every other
@@ -73,8 +82,9 @@ class Words(dict):
         self.width = 2 if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.end = end_id.to_bytes(self.width, "little")
         self.cores: dict[str, bytes] = {}
-        plain = self.encode(["The", "été,", "x&&&"])
-        self.apart = plain == [self.by_parts(w) for w in ("The", "été,", "x&&&")]
+        made = json.loads(self.tok.to_str())
+        splits = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.apart = made["normalizer"] == NORMAL and splits[0].get("pattern") == SPLIT and splits[0].get("behavior") == "Removed" and [x["type"] for x in splits[1:]] == ["ByteLevel"] and made["post_processor"] is None
 
     def pack(self, ids) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -104,7 +114,7 @@ class Words(dict):
         return out + self.cores[marks]
 
     def __missing__(self, word: str) -> bytes:
-        ids = (self.by_parts(word) if self.apart else None) if word else b""
+        ids = self.by_parts(word) if word else b""
         if ids is None:
             ids = self.encode([word])[0]
         self[word] = ids
@@ -123,6 +133,8 @@ def encode_texts(texts: list[str], path: str, end_id: int) -> tuple[list[bytes],
     if len(enc) > MEMO:
         enc.clear()
     out = []
+    if not enc.apart:
+        return [enc.pack(x.ids) + enc.end for x in enc.tok.encode_batch(texts, add_special_tokens=False)], enc.width
     for t in texts:
         # lower case is what the tokenizer sees; without marks that compose, and special tokens, it may come first
         if "<|" not in t and (t.isascii() or not BEYOND.search(t)):
@@ -209,16 +221,32 @@ def look_up(keys: np.ndarray, disp: np.ndarray, table: np.ndarray) -> np.ndarray
     return np.where(table["fingerprint"][at] == fingerprints(keys), at, -1)
 
 
-def key_of(doc_id: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
-    """A 64-bit key: the id itself for occurrence 0, else a hash of both."""
-    k = doc_id.astype(np.int64).view(np.uint64)
-    return np.where(occurrence == 0, k, mix(k, occurrence.astype(np.uint64) + np.uint64(1 << 20)))
+def key_of(group: pa.Table) -> np.ndarray:
+    """A 64-bit key: the id itself for occurrence 0, else a hash of both; null ids hash apart."""
+    missing = group["doc_id"].is_null().to_numpy()
+    k, occurrence = group["doc_id"].fill_null(0).to_numpy().astype(np.int64).view(np.uint64), group["occurrence"].to_numpy().astype(np.uint64)
+    return np.where(missing | (occurrence > 0), mix(k, occurrence + np.uint64(1 << 20) + (missing.astype(np.uint64) << np.uint64(50))), k)
+
+
+@dataclass
+class Store:
+    """What a finished write left: placed(doc_id, occurrence, shard, file, width, offset, n_tokens), index(part, file, n), and the folder."""
+
+    folder: str
+    placed: DataFrame
+    index: DataFrame
+    parts: int
 
+    def shards(self) -> DataFrame:
+        """(shard, file, ids, before): ids of each shard and of all before it."""
+        each = self.placed.groupBy("shard", "file").agg(F.sum("n_tokens").alias("ids"))
+        before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row a shard
+        return each.withColumn("before", F.coalesce(before, F.lit(0)))
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Write docs' ids and index under ``folder``; returns (doc_id, occurrence, shard, file, width, offset, n_tokens) of what was written, offset in ids within the shard."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).where("doc_id is not null")
+
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> Store:
+    """Write docs' ids and index under ``folder``; offsets of what is placed are in ids within the shard."""
+    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     shards = max(1, rows.select("doc_id").count() // ROWS_PER_SHARD)
     dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -226,7 +254,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_colu
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        name, offset, last, seen, out, stream = f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}.bin", 0, None, 0, [], None
+        name, offset, last, seen, out, stream = f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}.bin", 0, run, 0, [], None
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 ids = part.column(0).to_pylist()
@@ -249,64 +277,56 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_colu
     files = max(1, placed.count() // KEYS_PER_INDEX)
 
     def index(group: pa.Table) -> pa.Table:
-        part = group["part"][0].as_py()
-        keys = key_of(group["doc_id"].to_numpy(), group["occurrence"].to_numpy())
+        part, keys = group["part"][0].as_py(), key_of(group)
+        name = f"index-{part:06d}-{uuid.uuid4().hex[:8]}.mph"
         system, base = _open(folder)
         system.create_dir(base)
-        write_index(f"{folder}/index-{part:06d}.mph", group["width"][0].as_py(), keys, group["shard"].to_numpy(), group["offset"].to_numpy(), group["n_tokens"].to_numpy())
-        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
+        write_index(f"{folder}/{name}", group["width"][0].as_py(), keys, group["shard"].to_numpy(), group["offset"].to_numpy(), group["n_tokens"].to_numpy())
+        return pa.table({"part": pa.array([part], pa.int32()), "file": pa.array([name]), "n": pa.array([len(keys)], pa.int64())})
 
-    keep(placed.withColumn("part", index_part(files)).groupBy("part").applyInArrow(index, "part int, n bigint"), "indexed")
-    placed.index_files = files
-    return placed
+    indexed = keep(placed.withColumn("part", index_part(files)).groupBy("part").applyInArrow(index, "part int, file string, n bigint"), "indexed")
+    return Store(folder, placed, indexed, files)
 
 
 def index_part(files: int):
     return F.pmod(F.xxhash64("doc_id", "occurrence"), F.lit(files)).cast("int")
 
 
-def shard_table(placed: DataFrame) -> list:
-    """One row a shard, in order: shard, file, ids, ids before it. As many rows as shards."""
-    rows = placed.groupBy("shard", "file").agg(F.sum("n_tokens").alias("ids")).orderBy("shard").collect()
-    out, before = [], 0
-    for r in rows:
-        out.append((r["shard"], r["file"], r["ids"], before))
-        before += r["ids"]
-    return out
-
-
-def read(keys: DataFrame, folder: str, index_files: int, shards: list) -> DataFrame:
+def read(keys: DataFrame, store: Store) -> DataFrame:
     """Look keys(doc_id, occurrence) up in the store and read their ids back from the payload.
 
     Returns doc_id, occurrence, start (ids of all documents before it), n_tokens, ids_crc32; unknown keys give no row.
     """
-    spark: SparkSession = keys.sparkSession
-
-    def find(group: pa.Table) -> pa.Table:
-        disp, table, width = read_index(f"{folder}/index-{group['part'][0].as_py():06d}.mph")
-        doc, occ = group["doc_id"].to_numpy(), group["occurrence"].to_numpy()
-        at = look_up(key_of(doc, occ), disp, table)
-        doc, occ, at = doc[at >= 0], occ[at >= 0], at[at >= 0]
-        cols = [doc, occ, table["shard"][at].astype(np.int32), table["offset"][at].astype(np.int64), table["length"][at].astype(np.int64), np.full(len(at), width, np.int32)]
-        return pa.table([pa.array(c) for c in cols], names=["doc_id", "occurrence", "shard", "offset", "n_tokens", "width"])
+    folder = store.folder
+    places = {"doc_id": pa.int64(), "occurrence": pa.int64(), "shard": pa.int32(), "offset": pa.int64(), "n_tokens": pa.int64(), "width": pa.int32()}
+
+    def find(group: pa.Table, indexed: pa.Table) -> pa.Table:
+        if not len(group) or not len(indexed):
+            return pa.table({n: pa.array([], k) for n, k in places.items()})
+        disp, table, width = read_index(f"{folder}/{indexed['file'][0].as_py()}")
+        at = look_up(key_of(group), disp, table)
+        group, at = group.filter(pa.array(at >= 0)), at[at >= 0]
+        cols = [table["shard"][at], table["offset"][at], table["length"][at], np.full(len(at), width)]
+        return pa.table([group["doc_id"], group["occurrence"], *(pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(cols, list(places.values())[2:]))], names=list(places))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, data = None, b""
         for batch in batches:
-            shard, offset, n, width = (batch.column(i).to_numpy() for i in (2, 3, 4, 5))
+            offset, n, width = (batch[c].to_numpy() for c in ("offset", "n_tokens", "width"))
             crc = np.empty(len(n), np.int64)
-            for i in range(len(n)):
-                if shard[i] != held:
+            for i, file in enumerate(batch["file"].to_pylist()):
+                if file != held:
                     system, base = _open(folder)
-                    with system.open_input_file(f"{base}/{names[shard[i]]}") as f:
-                        held, data = shard[i], memoryview(f.read())
+                    with system.open_input_file(f"{base}/{file}") as f:
+                        held, data = file, memoryview(f.read())
                 w = int(width[i])
                 crc[i] = zlib.crc32(np.frombuffer(data, f"<u{w}", n[i], w * offset[i]).astype("<u4").tobytes())
-            start = offset + np.array([before[s] for s in shard], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(start, pa.int64()), batch.column(4), pa.array(crc)], names=["doc_id", "occurrence", "start", "n_tokens", "ids_crc32"])
-
-    names, before = {s[0]: s[1] for s in shards}, {s[0]: s[3] for s in shards}
-    found = keys.withColumn("part", index_part(index_files)).groupBy("part").applyInArrow(find, "doc_id bigint, occurrence bigint, shard int, offset bigint, n_tokens bigint, width int")
-    parts = max(1, len(shards))
-    by_shard = found.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
+            start = offset + batch["before"].to_numpy()
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["occurrence"], pa.array(start, pa.int64()), batch["n_tokens"], pa.array(crc)], names=["doc_id", "occurrence", "start", "n_tokens", "ids_crc32"])
+
+    schema = "doc_id bigint, occurrence bigint, shard int, offset bigint, n_tokens bigint, width int"
+    wanted = keys.select("doc_id", "occurrence").withColumn("part", index_part(store.parts))
+    found = wanted.groupBy("part").cogroup(store.index.groupBy("part")).applyInArrow(find, schema)
+    shards = keep(store.shards().select("shard", "file", "before"), "shards")
+    by_shard = found.join(shards, "shard").repartitionByRange(max(1, shards.count()), "shard", "offset").sortWithinPartitions("shard", "offset")
     return by_shard.mapInArrow(fetch, "doc_id bigint, occurrence bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
