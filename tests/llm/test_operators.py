@@ -642,9 +642,7 @@ def near_pairs(docs, least=0.8):
     return [(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= least * len(s[a] | s[b])]
 
 
-@pytest.mark.parametrize("limit", [64, 3])
-def test_near_copies(spark, odd, none, monkeypatch, limit):
-    monkeypatch.setattr(near_copies, "LIST_LIMIT", limit)
+def test_near_copies(spark, odd, none):
     rng = np.random.default_rng(11)
     docs = []
     for g in range(8):
@@ -659,6 +657,8 @@ def test_near_copies(spark, odd, none, monkeypatch, limit):
     out = [r.doc_id for r in near_copies.without_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()]
     roots = brute_components([i for i, _ in docs], near_pairs(dict(docs).items()))
     assert sorted(out) == sorted(set(roots.values()))
+    clash = odd.withColumn("kid", odd.doc_id).withColumn("ld_d", odd.doc_id)
+    assert near_copies.without_near_copies(clash).columns == clash.columns == line_dedup.dedup_lines(clash, counts=("a", "b")).columns[:-2]
     assert near_copies.without_near_copies(odd).columns == odd.columns and near_copies.without_near_copies(none).count() == 0
 
 

@@ -10,11 +10,10 @@ parities of the sets over ``PARITIES`` buckets bound from below in how many shin
 every pair that is left. The order is from rare to frequent, as counted over a share of the documents, which keeps
 lists short and has no bearing on what is found.
 
-Two rounds compare the members of each list with two of them only, which is linear and puts most of a large group
+At first the members of each list are compared with two of them only, which is linear and puts most of a large group
 together: with the member that has the fewest rarer shingles, as it is the likeliest to be near all others, and with
-one of another group. The second round is for lists over ``LIST_LIMIT`` that are still in several groups. Then all
-members of a list that are not in one group by then are compared pair by pair. So work grows with the square of a list
-only where its members link to none of those, though neither bound tells them apart.
+one by hash. Then all members of a list that are not in one group by then are compared pair by pair. So work grows with
+the square of a list only where its members link to none of those, though neither bound tells them apart.
 
 Texts of equal shingle sets collapse before the index. Words are as in ``simhash``; a text without words is one with
 all others like it. Null ids sort first, null texts count as empty. Of each group the document of least id stays, of
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from ..session import drop, keep
 from .columns import spare
 from .components import components
-from .simhash import LIST_LIMIT, fingerprint, shingle_hashes
+from .simhash import fingerprint, shingle_hashes
 from .simhash import links as simhash_links
 
 SIMILARITY = 0.8
@@ -135,12 +134,8 @@ class Verifier:
         chosen = self.docs.select(key_of().alias("id"), "text").join(F.broadcast(ids) if few else ids, "id")
         return chosen.mapInArrow(run, "id bigint, set array<bigint>").dropDuplicates(["id"])
 
-    def __call__(self, pairs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-        """Those of pairs(a, b) that link; with roots(node, root), of those that are in two groups."""
-        if roots is not None:
-            for c in "ab":
-                pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias("of_" + c)), c, "left")
-            pairs = pairs.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b) that link."""
         pairs = keep(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             return pairs
@@ -176,24 +171,15 @@ def links(distinct: DataFrame, verified: Verifier) -> DataFrame:
     postings = distinct.select("id", "n", F.posexplode("prefix").alias("at", "key")).repartition("key")
     more = postings.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     lists = keep(postings.join(more, "key"), "lists")
-    edges = verified(by_fingerprint(distinct))
-    for round_ in range(3):
-        roots = components(edges)
-        rooted = keep(lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-        apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-        now = keep(rooted.join(apart, "key"), "apart")
-        drop(lists, rooted)
-        lists = now.drop("root", "r0", "r1")
-        if round_ == 2:
-            break
-        now = now if round_ == 0 else now.where(F.col("many") > LIST_LIMIT)
-        own = F.struct("at", F.xxhash64("id", F.lit(round_)).alias("order"), "id", "n")
-        heads = now.groupBy("key").agg(F.min(F.when(F.col("root") == F.col("r0"), own)).alias("h0"), F.min(F.when(F.col("root") == F.col("r1"), own)).alias("h1"), F.min(own).alias("h"))
-        heads = heads.select("key", "h", F.when(F.col("h.id") == F.col("h0.id"), F.col("h1")).otherwise(F.col("h0")).alias("other"))
-        dealt = now.join(heads, "key")
-        ends = [dealt.where(can(F.col("n"), F.col("at"), F.col(f"{e}.n"), F.col(f"{e}.at"))).select(F.greatest("id", f"{e}.id").alias("a"), F.least("id", f"{e}.id").alias("b")) for e in ("h", "other")]
-        edges = edges.union(verified(ends[0].union(ends[1]).where("a <> b"), roots))
-    now = now.select("key", "id", "n", "at", "root").join(distinct.select("id", "bits"), "id")
+    order = F.xxhash64("id").alias("order")
+    heads = lists.groupBy("key").agg(F.min(F.struct("at", order, "id", "n")).alias("least"), F.max(F.struct(order, "id", "n", "at")).alias("other"))
+    dealt = lists.join(heads, "key")
+    ends = [dealt.where(can(F.col("n"), F.col("at"), F.col(f"{e}.n"), F.col(f"{e}.at"))).select(F.greatest("id", f"{e}.id").alias("a"), F.least("id", f"{e}.id").alias("b")) for e in ("least", "other")]
+    edges = verified(by_fingerprint(distinct).union(ends[0]).union(ends[1]).where("a <> b"))
+    rooted = keep(lists.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    now = keep(rooted.join(apart, "key", "left_semi").join(distinct.select("id", "bits"), "id"), "apart")
+    drop(lists, rooted)
     x, y = (now.select("key", *(F.col(c).alias(c + k) for c in ("id", "n", "at", "root", "bits"))) for k in "xy")
     near = differ(F.col("bitsx"), F.col("bitsy")) <= F.lit((1 - s) / (1 + s)) * (F.col("nx") + F.col("ny")) + 1e-6
     across = (F.col("rootx") != F.col("rooty")) & (F.col("idx") > F.col("idy")) & can(F.col("nx"), F.col("atx"), F.col("ny"), F.col("aty")) & near
