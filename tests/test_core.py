@@ -183,8 +183,10 @@ def test_transfer(spark):
     blobs = spark.createDataFrame([("x", i, n) for i, n in enumerate([6, 3, 3, 20, 1, 9, 1])] + [("y", 0, 50), ("y", 1, 1)], "pool string, ord int, n int")
     got = transfer.next_fit(blobs, "pool", ["ord"], "n", 10).orderBy("pool", "ord").collect()
     assert [r.bin for r in got] == [0, 0, 1, 2, 3, 3, 4, 0, 1]
-    pull = spark.createDataFrame([("r", "r", False, False, True), ("r", "s", False, True, True), ("r", "s", True, False, True), ("r", "s", False, False, True), ("r", None, False, False, True)], "a string, b string, x boolean, y boolean, n boolean")
-    assert [r[0] for r in pull.select(transfer.pull(*map(F.col, "abxyn"))).collect()] == ["keep", "keep", "adopt", "converge", "nothing"]
+    pull = spark.createDataFrame([("r", "r", True), ("r", "r", False), ("r", "e", True), ("e", "s", True), ("e", "e", True), ("r", "s", False), ("r", None, True), ("r", "0" * 64, True)], "a string, b string, n boolean")
+    assert [r[0] for r in pull.select(transfer.pull(F.col("a"), F.col("b"), F.lit("e"), F.col("n"))).collect()] == ["adopt", "keep", "keep", "converge", "adopt", "converge", "nothing", "nothing"]
+    after = spark.createDataFrame([(0, False), (0, True), (2, True), (2, False)], "held int, diverged boolean")
+    assert [r[0] for r in after.select(transfer.settled(F.col("held"), F.col("diverged"))).collect()] == ["adopt", "keep", "store_manifest", "store_manifest"]
 
 
 def test_ledgers(spark):
@@ -248,10 +250,11 @@ def test_blobs(spark):
     import hashlib
 
     ids = [hashlib.sha256(x).hexdigest() for x in (b"abc", b"de")]
-    packs = spark.createDataFrame([("p", b"abcde")], "pack string, body binary")
-    index = spark.createDataFrame([("data", ids[0], "p", 0, 3), ("data", ids[1], "p", 3, 2)], "kind string, id string, pack string, plain_off bigint, plain_len bigint")
-    got = files.get(index.select("id"), index, packs).collect()
-    assert {(r.id, bytes(r.body), r.ok) for r in got} == {(ids[0], b"abc", True), (ids[1], b"de", True)}
+    packs = spark.createDataFrame([("p", b"abcde"), ("q", b"xxxde"), ("bad", b"?????")], "pack string, body binary")
+    places = [(ids[0], "gone", 0, 3, 0), (ids[0], "bad", 0, 3, 1), (ids[0], "p", 0, 3, 2), (ids[1], "q", 3, 2, 0), (ids[1], "p", 3, 2, 1), ("f" * 64, "bad", 0, 2, 0), ("e" * 64, "gone", 0, 2, 0)]
+    index = spark.createDataFrame([("data", *x) for x in places], "kind string, id string, pack string, plain_off bigint, plain_len bigint, ord int")
+    got = files.get(index.select("id").distinct().union(spark.createDataFrame([("d" * 64,)], "id string")), index, packs).collect()
+    assert {(r.id, r.pack, r.body and bytes(r.body), r.error) for r in got} == {(ids[0], "p", b"abc", None), (ids[1], "q", b"de", None), ("f" * 64, None, None, "hash_mismatch"), ("e" * 64, None, None, "not_found"), ("d" * 64, None, None, "not_found")}
     new = spark.createDataFrame([("data", ids[0], b"abc"), ("data", "n", b"n"), ("data", "n", b"n"), ("data", "e", b"")], "kind string, id string, body binary")
     assert [r.id for r in files.put(new, index).collect()] == ["n"] and files.verify(new).count() == 3
 

@@ -94,8 +94,8 @@ def test_small_tables(spark):
     assert sorted(r.copy for r in store.numbered_copies(wanted, existing).collect()) == ["m", "n-2", "n-4"]
     found, more = store.shown_findings(spark.range(25), ["id"])
     assert found.count() == 20 and more == 5
-    conflicts, copies = spark.createDataFrame([("a",), ("b",)], "path_str string"), spark.createDataFrame([("a", "a.2"), ("a", "a.1")], "path_str string, copy string")
-    assert {tuple(r) for r in store.quarantine_of(conflicts, copies).collect()} == {("a", "a.1"), ("b", None)}
+    conflicts, copies = spark.createDataFrame([("a",), ("b",)], "path_str string"), spark.createDataFrame([("a", "a.2", 0), ("a", "a.1", 1)], "path_str string, copy string, ord int")
+    assert {tuple(r) for r in store.quarantine_of(conflicts, copies).collect()} == {("a", "a.2"), ("b", None)}
     manifests = spark.createDataFrame([("m", "f", True), ("n", "f", False), ("o", "g", True)], "id string, folder_id string, parsed boolean")
     assert [r.id for r in store.usable_parent(manifests, manifests.select("id", F.lit("f").alias("folder_id"))).collect()] == ["m"]
     assert [r.path for r in store.deepest_first(spark.createDataFrame([(["a"],), (["a", "b"],), (["b"],)], "path array<string>")).collect()] == [["a", "b"], ["a"], ["b"]]

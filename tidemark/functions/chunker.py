@@ -70,15 +70,24 @@ def tables(p: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=8)
+def pair_tables(p: int) -> np.ndarray:
+    """WINDOW / 2 x 65536: low 32 bits of the remainder of two bytes at once, the newer one in the low half of the place."""
+    t = tables(p).astype(np.uint32)
+    values = np.arange(1 << 16)
+    return np.stack([t[2 * k][values & 255] ^ t[2 * k + 1][values >> 8] for k in range(WINDOW // 2)])
+
+
 def low_bits(data: bytes, p: int, block: int = 1 << 16) -> Iterator[tuple[int, np.ndarray]]:
     """(position, low 32 bits of the fingerprints of the windows that end there and after) in blocks; positions start at WINDOW - 1."""
-    x, t = np.frombuffer(data, np.uint8), tables(p).astype(np.uint32)
+    x, t = np.frombuffer(data, np.uint8), pair_tables(p)
     for i in range(WINDOW - 1, len(x), block):
         j = min(len(x), i + block)
         part, out, one = x[i - WINDOW + 1 : j].astype(np.intp), np.zeros(j - i, np.uint32), np.empty(j - i, np.uint32)
-        for place in range(WINDOW):
-            at = WINDOW - 1 - place
-            np.take(t[place], part[at : at + j - i], out=one, mode="clip")
+        pairs = part[:-1] << 8 | part[1:]
+        for k in range(WINDOW // 2):
+            at = WINDOW - 2 - 2 * k
+            np.take(t[k], pairs[at : at + j - i], out=one, mode="clip")
             out ^= one
         yield i, out
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -136,9 +136,10 @@ class Policy:
         policy = self
 
         @F.pandas_udf("boolean")
-        def run(paths: pd.Series, dirs: pd.Series) -> pd.Series:
-            decide = policy.matcher().decide
-            return pd.Series([p is not None and decide(p, bool(d)) for p, d in zip(paths, dirs)], dtype="bool")
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            decide = policy.matcher().decide  # once for all batches of a task
+            for paths, dirs in batches:
+                yield pd.Series([p is not None and decide(p, bool(d)) for p, d in zip(paths, dirs)], dtype="bool")
 
         return run(path, is_dir)
 
@@ -149,7 +150,7 @@ class _Layer:
     def __init__(self, rules: list[Rule]):
         self.rules, self.names, self.endings, self.rest = rules, {}, {}, []
         for i, r in enumerate(rules):
-            body = r.pattern.lstrip("!").rstrip("/")
+            body = r.pattern.removeprefix("!").rstrip("/")
             if re.fullmatch(r"[\w .-]+", body):
                 self.names.setdefault(body, []).append(i)
             elif re.fullmatch(r"\*\.[\w-]+", body):

@@ -74,8 +74,9 @@ class Plan:
 
 
 def chunk_rows(states: DataFrame, column: str) -> DataFrame:
-    """Distinct (id, len) of the chunks of a state column; an id met with several lengths keeps the largest."""
-    return states.select(F.explode(F.col(f"{column}.chunks")).alias("c")).groupBy("c.id").agg(F.max("c.len").alias("len"))
+    """Distinct (id, len) of the chunks of states(path, column); of several lengths of an id the last in order of path and place counts."""
+    each = states.select("path", F.posexplode(F.col(f"{column}.chunks")).alias("at", "c"))
+    return each.groupBy("c.id").agg(F.max_by("c.len", F.struct("path", "at")).alias("len"))
 
 
 def references(snapshot: DataFrame) -> DataFrame:
@@ -94,8 +95,8 @@ def reconcile(base: DataFrame, local: DataFrame, remote: DataFrame, local_device
     dir_losers = lost.where("state.kind = 'dir'").select(F.col("path_str").alias("ancestor"), "path_str")
 
     kept_local = d.where("decision = 'keep_local' and l is not null")
-    send = chunk_rows(kept_local.select("l").union(d.where("winner = 'local'").select("l")), "l")
-    fetched = d.where("decision = 'apply_remote' or winner = 'remote'").select("r").union(quarantine.where("side = 'remote'").select("state"))
+    send = chunk_rows(kept_local.select("path", "l").union(d.where("winner = 'local'").select("path", "l")), "l")
+    fetched = d.where("decision = 'apply_remote' or winner = 'remote'").select("path", "r").union(quarantine.where("side = 'remote'").select("path", "state"))
     send, fetch = send.join(references(remote), "id", "left_anti"), chunk_rows(fetched, "r").join(references(local), "id", "left_anti")
 
     # a directory stays while anything below it survives

@@ -110,7 +110,7 @@ def canonical_ids(entries: DataFrame) -> DataFrame:
     parent = F.array_join(F.slice("path", 1, F.size("path") - 1), "/")
     what = [c for c in STATE if not c.startswith("mtime")]
     own = F.sha2(F.to_json(F.struct(*what), {"ignoreNullFields": "false"}), 256)
-    rows = entries.select("path_str", F.size("path").alias("depth"), parent.alias("parent"), F.element_at("path", -1).alias("name"), "kind", own.alias("own"))
+    rows = keep(entries.select("path_str", F.size("path").alias("depth"), parent.alias("parent"), F.element_at("path", -1).alias("name"), "kind", own.alias("own")), "hashed")
     deepest = rows.agg(F.max("depth")).first()[0] or 0
     out, below = None, None
     for depth in range(deepest, -1, -1):
@@ -196,25 +196,27 @@ def usable_parent(manifests: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def quarantine_of(conflicts: DataFrame, quarantine: DataFrame) -> DataFrame:
-    """conflicts(path_str, ...) with the copy that was kept, if any; the first of several."""
-    return conflicts.join(quarantine.groupBy("path_str").agg(F.min("copy").alias("copy")), "path_str", "left")
+    """conflicts(path_str, ...) with the copy that was kept, if any, of quarantine(path_str, ord, copy); the first by ord of several."""
+    return conflicts.join(quarantine.groupBy("path_str").agg(F.min_by("copy", "ord").alias("copy")), "path_str", "left")
 
 
 def numbered_copies(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """wanted(dir, name) with ``copy``: the name, or the first of name-2, name-3, ... that nothing has, several wanted in turn.
 
-    Numbers in use are found once for each name; of the free ones each wanted row takes its own.
+    Of the numbers in use the j-th, k, has k - j free ones before it; the i-th wanted row takes i plus as many as have
+    fewer than i, which one window over both counts.
     """
     used = existing.select("dir", F.regexp_extract("name", r"^(.*?)(?:-(\d+))?$", 1).alias("base"), F.col("name").alias("taken"))
     names = wanted.select("dir", "name").distinct()
     as_is = names.join(existing, ["dir", "name"], "left_semi").select("dir", "name", F.lit(1).cast("bigint").alias("k"))
     numbers = names.join(used, (names["dir"] == used["dir"]) & (names["name"] == used["base"])).select(names["dir"], names["name"], F.expr("try_cast(substring(taken, length(name) + 2) as bigint)").alias("k")).where("k >= 2")
-    taken = as_is.union(numbers).groupBy("dir", "name").agg(F.array_sort(F.collect_set("k")).alias("ks"))
-    rows = wanted.withColumn("i", F.row_number().over(Window.partitionBy("dir", "name").orderBy("name"))).join(taken, ["dir", "name"], "left")
-    ks = F.coalesce("ks", F.array().cast("array<bigint>"))
-    free = F.array_except(F.sequence(F.lit(1).cast("bigint"), F.size(ks) + F.col("i").cast("bigint")), ks)
-    number = F.element_at(free, F.col("i").cast("int"))
-    return rows.select("dir", "name", F.when(number == 1, F.col("name")).otherwise(F.concat("name", F.lit("-"), number.cast("string"))).alias("copy"))
+    name = Window.partitionBy("dir", "name")
+    taken = as_is.union(numbers).distinct().select("dir", "name", (F.col("k") - F.row_number().over(name.orderBy("k"))).alias("at"), F.lit(1).alias("used"))
+    rows = wanted.select("dir", "name", F.row_number().over(name.orderBy("name")).cast("bigint").alias("at"), F.lit(0).alias("used"))
+    # those in use with as many free ones before them as a wanted row's place stand behind it
+    both = rows.union(taken).withColumn("before", F.sum("used").over(name.orderBy("at", "used").rowsBetween(Window.unboundedPreceding, 0)))
+    number = F.col("at") + F.col("before")
+    return both.where("used = 0").select("dir", "name", F.when(number == 1, F.col("name")).otherwise(F.concat("name", F.lit("-"), number.cast("string"))).alias("copy"))
 
 
 def picked(rows: DataFrame, column: str, typed: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Wanted blobs of a pack from which the whole pack is moved; null never.
 WHOLE_PACK = {"auto": 2, "packs_only": 1, "items_only": None}
+#: Id of no manifest.
+ZERO = "0" * 64
 ITEMS_PER_BATCH, PACKS_PER_BATCH, ADVERTS_PER_BATCH = 512, 128, 2048
 PACK_TARGET = 16 << 20
 
@@ -71,9 +73,18 @@ def first_index_rows(index: DataFrame) -> DataFrame:
     return index.groupBy("kind", "id").agg(F.min_by(F.struct(*[c for c in index.columns if c not in ("kind", "id")]), "ord").alias("r")).select("kind", "id", "r.*")
 
 
-def pull(mine: Column, theirs: Column, mine_empty: Column, theirs_empty: Column, mine_newer: Column) -> Column:
-    """What a session does with a peer's manifest, from root ids and emptiness."""
-    return F.when(theirs.isNull(), "nothing").when(mine == theirs, F.when(mine_newer, "keep").otherwise("adopt")).when(theirs_empty, "keep").when(mine_empty, "adopt").otherwise("converge")
+def pull(mine: Column, theirs: Column, empty: Column, theirs_newer: Column) -> Column:
+    """What a session does with a peer's manifest, from root ids: ``empty`` is that of the empty tree, a zero or null id no offer.
+
+    Equal roots settle on the manifest that is later in lineage; an empty peer is not followed unless this side is empty, too.
+    """
+    offered = theirs.isNotNull() & (theirs != ZERO)
+    return F.when(~F.coalesce(offered, F.lit(False)), "nothing").when(mine == theirs, F.when(theirs_newer, "adopt").otherwise("keep")).when((theirs == empty) & (mine != empty), "keep").otherwise("converge")
+
+
+def settled(held: Column, diverged: Column) -> Column:
+    """What a session does after it converged: the peer's manifest is adopted only if nothing was held and no side left the other."""
+    return F.when((held == 0) & ~diverged, "adopt").when(held > 0, "store_manifest").otherwise("keep")
 
 
 def lineage_order() -> Column:

@@ -70,7 +70,7 @@ SQL = (
       when a.kind = 'file' then case when a.chunks <> b.chunks then 'content_modified' when a.exec <> b.exec or a.mtime_sec <> b.mtime_sec or a.mtime_nsec <> b.mtime_nsec then 'metadata_modified' end
       when a.kind = 'link' then case when a.target <> b.target then 'content_modified' when a.mtime_sec <> b.mtime_sec or a.mtime_nsec <> b.mtime_nsec then 'metadata_modified' end end as bucket
   from {x} a full join {y} b on a.path_str = b.path_str),
-{name} as (select * from {name}_all d where bucket is not null and not (bucket in ('added', 'removed') and exists (select 1 from {name}_all t where t.bucket = 'type_changed' and starts_with(d.path_str, t.path_str || '/'))))"""
+{name} as (select * from {name}_all d where bucket is not null and not (bucket in ('added', 'removed') and exists (select 1 from {name}_all t where t.bucket = 'type_changed' and contains(d.path_str, '/') and t.path_str = split_part(d.path_str, '/', 1))))"""
         for name, x, y in (("d_local", "base", "local"), ("d_remote", "base", "remote"), ("d_sides", "local", "remote"))
     )
 )

@@ -5,17 +5,28 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Put the folder of this package on the workers' import path."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
+    """Give the workers this package, as an archive that Spark distributes; once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        with tempfile.TemporaryDirectory() as d:
+            made = os.path.join(d, "tidemark.zip")
+            with zipfile.ZipFile(made, "w") as z:
+                for folder, _, names in os.walk(package):
+                    for name in sorted(x for x in names if x.endswith(".py")):
+                        z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(package)))
+            local, path = (sc._jvm.org.apache.hadoop.fs.Path(x) for x in (f"file://{made}", scratch(spark, "tidemark.zip")))
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).copyFromLocalFile(local, path)
+        sc.addPyFile(path.toString())
+        _shipped.add(sc.applicationId)
     return spark
 
 
@@ -26,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)

@@ -75,9 +75,17 @@ def put(blobs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def get(wanted: DataFrame, index: DataFrame, packs: DataFrame) -> DataFrame:
-    """wanted(id) read from packs(pack, body) at index(id, pack, plain_off, plain_len): id, body, ok (the hash fits)."""
+    """wanted(id) read from packs(pack, body) at index(id, pack, plain_off, plain_len, ord): id, pack, body, error.
+
+    Of an id's places, in their order, the first whose pack exists and whose bytes hash to the id is read; an id that has
+    none has a null body and ``not_found`` (no such place or pack) or ``hash_mismatch`` as its error.
+    """
     body = F.expr("substring(body, cast(plain_off + 1 as int), cast(plain_len as int))")
-    return wanted.join(index, "id").join(packs, "pack").select("id", body.alias("body")).withColumn("ok", F.sha2("body", 256) == F.col("id"))
+    read = wanted.select("id").distinct().join(index, "id").join(packs, "pack").select("id", "pack", "ord", body.alias("body")).withColumn("ok", F.sha2("body", 256) == F.col("id"))
+    first = read.groupBy("id").agg(F.min_by(F.when(F.col("ok"), F.struct("pack", "body")), F.when(F.col("ok"), F.struct("ord", "pack"))).alias("r"))
+    out = wanted.join(first.withColumn("met", F.lit(True)), "id", "left")
+    error = F.when(F.col("r").isNotNull(), None).when(F.col("met"), "hash_mismatch").otherwise("not_found")
+    return out.select("id", "r.pack", "r.body", error.alias("error"))
 
 
 def verify(regions: DataFrame) -> DataFrame:
