@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import fold_key
 from ..functions.paths import proper_ancestors
+from ..session import keep
 from .diff import state
 
 
@@ -71,6 +72,22 @@ def steps(desired: DataFrame, live: DataFrame, removed: DataFrame | None = None,
 
 def order(plan: DataFrame) -> DataFrame:
     """Removals deepest first, then upserts from the root down, as positions in a sorted table."""
+    return plan.orderBy(*_order())
+
+
+def _order() -> list[Column]:
     path = F.split("path_str", "/")
     depth = F.when(F.col("action") == "remove", -F.size(path)).otherwise(F.size(path))
-    return plan.orderBy((F.col("action") != "remove"), depth, path)
+    return [F.col("action") != "remove", depth, path]
+
+
+def order_position(plan: DataFrame) -> DataFrame:
+    """plan(path_str, action) with ``position``, from 0: the order of applying as a column.
+
+    Positions count the rows of earlier ranges of the sorted table, so no task holds more than its range.
+    """
+    sorted_ = keep(plan.repartitionByRange(*_order()).sortWithinPartitions(*_order()).withColumn("m", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftrightunsigned("m", 33)
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = sorted_.groupBy(part.alias("p")).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("p", "before")
+    return sorted_.withColumn("p", part).join(F.broadcast(starts), "p").select(*plan.columns, (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"))

@@ -28,16 +28,21 @@ def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def lineage(manifests: DataFrame, of: DataFrame, limit: int = 256) -> DataFrame:
-    """(start, id, depth): the manifests from which each of of(id) descends, itself at depth 0, over at most ``limit`` parents."""
-    now = of.select(F.col("id").alias("start"), "id").join(manifests.select("id"), "id", "left_semi").withColumn("depth", F.lit(0)).select("start", "id", "depth")
-    now = out = keep(now, "lineage")
-    for depth in range(1, limit + 1):
-        up = now.join(manifests.select("id", "parent_manifest_id"), "id").where("parent_manifest_id is not null").select("start", F.col("parent_manifest_id").alias("id"))
-        now = keep(up.join(manifests.select("id"), "id", "left_semi").select("start", "id", F.lit(depth).alias("depth")), "lineage")
-        if now.isEmpty():
-            drop(now)
+    """(start, id, depth): the manifests from which each of of(id) descends, itself at depth 0, over at most ``limit`` parents.
+
+    By pointer doubling: with steps of 1, 2, 4, ... parents what is known grows to twice the depth each round.
+    """
+    ids = manifests.select("id").distinct()
+    jump = keep(manifests.where("parent_manifest_id is not null").select("id", F.col("parent_manifest_id").alias("up")).join(ids.withColumnRenamed("id", "up"), "up", "left_semi"), "jump")
+    out, step = keep(of.select(F.col("id").alias("start"), "id").join(ids, "id", "left_semi").select("start", "id", F.lit(0).alias("depth")), "lineage"), 1
+    while step <= limit:
+        further = out.join(jump, "id").select("start", F.col("up").alias("id"), (F.col("depth") + step).alias("depth")).where(F.col("depth") <= limit)
+        wider = keep(out.union(further), "lineage")
+        twice = keep(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up")), "jump")
+        drop(out, jump)
+        out, jump, step = wider, twice, 2 * step
+        if jump.isEmpty():
             break
-        out = out.union(now)
     return out
 
 
@@ -47,6 +52,13 @@ def safe_base(local_lines: DataFrame, remote_lines: DataFrame, base_id: str) ->
     return not local_lines.where(is_base).isEmpty() and not remote_lines.where(is_base).isEmpty()
 
 
+def proven(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """wanted(local_id, remote_id, base_id) with ``proven``: whether the base is an ancestor of both by rows of ``lineage``."""
+    of = lambda side: wanted.join(lines.select(F.col("start").alias(side), F.col("id").alias("base_id")), [side, "base_id"], "left_semi").select(*wanted.columns)
+    both = of("local_id").intersect(of("remote_id")).withColumn("proven", F.lit(True))
+    return wanted.join(both, wanted.columns, "left").withColumn("proven", F.coalesce("proven", F.lit(False)))
+
+
 def gc_roots(agreed: DataFrame, held: DataFrame) -> DataFrame:
     """Manifests that agreements and held entries name: distinct manifest ids as (kind, id)."""
     return agreed.select("manifest_id").union(held.select(F.col("remote_manifest_id"))).distinct().select(F.lit("manifest").alias("kind"), F.col("manifest_id").alias("id"))

@@ -28,6 +28,16 @@ def recorded(agreements: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return agreements.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def forgotten(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """A ledger without the rows of these keys."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def ensured(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """A registry with a row for each wanted key: the one that it has, else the wanted one."""
+    return rows.unionByName(wanted.join(rows.select(*keys).distinct(), keys, "left_anti"))
+
+
 def not_on_current(agreements: DataFrame, current: Column) -> DataFrame:
     """How many peers have not agreed to the current manifest."""
     return agreements.agg(F.count_if(~F.col("manifest_id").eqNullSafe(current)).alias("behind"))

@@ -9,7 +9,7 @@ from ..functions import formats, names, paths
 from ..operators import apply, gc, ignore, ledger, store, transfer
 from ..operators import diff as d
 from ..operators import reconcile as rc
-from ..session import keep, ship
+from ..session import is_kept, keep, ship
 from ..sources import files
 from ..streaming import watch
 from . import snapshots as sn
@@ -18,10 +18,29 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+class Tables:
+    """The tables of a folder by name, and the snapshots that were written from them."""
+
+    stored: dict = {}
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def version(self, name: str) -> DataFrame:
+        """A snapshot as the written table that snapshots are: one write serves all queries of an application."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in self.stored or not is_kept(self.stored[key]):
+            self.stored[key] = keep(sn.snapshot(self, name), name)
+        return self.stored[key]
+
+
 def query(sql: str | None = None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(ship(spark), lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(ship(spark), Tables(spark, sf_dir))
 
         QUERIES[f.__name__] = run
         if sql:
@@ -32,8 +51,8 @@ def query(sql: str | None = None):
 
 
 def versions(table, *names: str) -> tuple[DataFrame, ...]:
-    """These snapshots, all three if none is named, as the written tables that snapshots are."""
-    return tuple(keep(sn.snapshot(table, v), v) for v in names or sn.VERSIONS)
+    """These snapshots, all three if none is named."""
+    return tuple(table.version(v) for v in names or sn.VERSIONS)
 
 
 def plan(table) -> rc.Plan:
@@ -475,7 +494,16 @@ def incremental_snapshot(spark, table):
     return files.incremental(base, found.select(*base.columns), dirty).select("path_str", "kind")
 
 
-@query()
+def _secret(of: str) -> str:
+    cases = {c: "regexp_matches(s, '{0}')".format(r.replace("'", "''")) for c, r in files.SECRET_LINES.items()}
+    if of == "class":
+        return "case " + " ".join(f"when {hit} then '{c}'" for c, hit in cases.items()) + " end"
+    return "case " + " ".join("when {0} then regexp_extract(s, '({1})', 1)".format(hit, files.SECRET_LINES[c].replace("'", "''")) for c, hit in cases.items()) + " end"
+
+
+@query(f"""with l as (select doc_id as path, unnest(string_split(text, chr(10))) as s, unnest(range(len(string_split(text, chr(10))))) as i from documents),
+h as (select path, cast(i + 1 as int) as line, {_secret("class")} as class, {_secret("hit")} as hit from l)
+select path, line, class, substr(hit, 1, 4) || '… (' || length(hit) || ' chars)' as preview from h where class is not null""")
 def secret_lines(spark, table):
     return files.secret_lines(table("documents").select(F.col("doc_id").alias("path"), "text"))
 

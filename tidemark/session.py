@@ -60,6 +60,13 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def is_kept(df: DataFrame) -> bool:
+    """Whether a table made by ``keep`` is still there."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``keep`` that nothing reads any more."""
     for df in tables:
