@@ -107,6 +107,13 @@ def cuts(data: bytes, p: int, least: int = LEAST, most: int = MOST, bits: int =
     return out
 
 
+def spread(files: DataFrame, key: str, row_group: int = 128 << 20) -> DataFrame:
+    """Small tables dealt over all cores: a row group is read by one task, and fewer of them than cores leave cores idle."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return files.repartition(cores, key) if size < cores * row_group else files
+
+
 def chunks(files: DataFrame, polynomial: int, key: str = "path", content: str = "content", least: int = LEAST, most: int = MOST, bits: int = BITS) -> DataFrame:
     """(key, ord, off, len, id) of every chunk of each file; empty and null contents have none. Ids are SHA-256."""
 

@@ -510,13 +510,10 @@ def secret_lines(spark, table):
 
 @query()
 def cdc_chunks(spark, table):
-    from ..functions.chunker import chunks
+    from ..functions.chunker import chunks, spread
 
     docs = table("documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:  # few row groups would leave cores idle
-        docs = docs.repartition(cores, "doc_id")
-    return chunks(docs, POLYNOMIAL, "doc_id", "content", least=256, most=4096, bits=9)
+    return chunks(spread(docs, "doc_id"), POLYNOMIAL, "doc_id", "content", least=256, most=4096, bits=9)
 
 
 _size = lambda x: f"coalesce(list_sum(list_transform(string_split({x}.chunks, ','), lambda c: try_cast(split_part(c, ':', 2) as bigint))), 0)"
