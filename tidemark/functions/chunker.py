@@ -110,7 +110,7 @@ def cuts(data: bytes, p: int, least: int = LEAST, most: int = MOST, bits: int =
 def spread(files: DataFrame, key: str, row_group: int = 128 << 20) -> DataFrame:
     """Small tables dealt over all cores: a row group is read by one task, and fewer of them than cores leave cores idle."""
     cores = files.sparkSession.sparkContext.defaultParallelism
-    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return files.repartition(cores, key) if size < cores * row_group else files
 
 
