@@ -56,6 +56,10 @@ def is_valid(p: int) -> bool:
     return x == 2
 
 
+#: Bytes of files that are chunked in one pass.
+PASS = 4 << 20
+
+
 @lru_cache(maxsize=8)
 def tables(p: int) -> np.ndarray:
     """WINDOW x 256: the remainder of each byte at each place of a window, the newest byte first."""
@@ -94,16 +98,25 @@ def low_bits(data: bytes, p: int, block: int = 1 << 16) -> Iterator[tuple[int, n
 
 def cuts(data: bytes, p: int, least: int = LEAST, most: int = MOST, bits: int = BITS) -> list[tuple[int, int]]:
     """(offset, length) of each chunk."""
+    return cuts_of([data], p, least, most, bits)[0]
+
+
+def cuts_of(files: list[bytes], p: int, least: int = LEAST, most: int = MOST, bits: int = BITS) -> list[list[tuple[int, int]]]:
+    """The chunks of each file, (offset, length), from one pass over all of them: no chunk is shorter than a window, so none ends by a window that began in another file."""
     if least < WINDOW or bits > 32:
         raise ValueError("a chunk has a window at least, and the mask 32 bits at most")
-    mask = np.uint32((1 << bits) - 1)
+    mask, data = np.uint32((1 << bits) - 1), files[0] if len(files) == 1 else b"".join(files)
     ends = np.concatenate([i + 1 + np.flatnonzero((f & mask) == 0) for i, f in low_bits(data, p)] or [np.empty(0, np.int64)])
-    out, start = [], 0
-    while start < len(data):
-        at = np.searchsorted(ends, start + least)
-        end = min(int(ends[at]) if at < len(ends) else len(data), start + most, len(data))
-        out.append((start, end - start))
-        start = end
+    out, base = [], 0
+    for body in files:
+        own, start = [], 0
+        while start < len(body):
+            at = np.searchsorted(ends, base + start + least)
+            end = min(int(ends[at]) - base if at < len(ends) else len(body), start + most, len(body))
+            own.append((start, end - start))
+            start = end
+        out.append(own)
+        base += len(body)
     return out
 
 
@@ -117,16 +130,27 @@ def spread(files: DataFrame, key: str, row_group: int = 128 << 20) -> DataFrame:
 def chunks(files: DataFrame, polynomial: int, key: str = "path", content: str = "content", least: int = LEAST, most: int = MOST, bits: int = BITS) -> DataFrame:
     """(key, ord, off, len, id) of every chunk of each file; empty and null contents have none. Ids are SHA-256."""
 
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+        """Files of a batch, as many at a time as have PASS bytes or so."""
+        keys, bodies, size = [], [], 0
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            keys.append(k)
+            bodies.append(data.as_py() or b"")
+            size += len(bodies[-1])
+            if size >= PASS:
+                yield keys, bodies
+                keys, bodies, size = [], [], 0
+        if keys:
+            yield keys, bodies
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                body = data.as_py() or b""
-                found = cuts(body, polynomial, least, most, bits)
-                if found:
-                    ids = [hashlib.sha256(body[o : o + n]).hexdigest() for o, n in found]
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(ids), kind), pa.array(range(len(ids)), pa.int32()), pa.array([o for o, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()), pa.array(ids)], names=[key, "ord", "off", "len", "id"])
+            for keys, bodies in parts(batch):
+                rows = [(k, i, o, n, hashlib.sha256(body[o : o + n]).hexdigest()) for k, body, found in zip(keys, bodies, cuts_of(bodies, polynomial, least, most, bits)) for i, (o, n) in enumerate(found)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (kind, pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=[key, "ord", "off", "len", "id"])
 
     sql = dict(files.dtypes)[key]
     kind = pa.string() if sql == "string" else pa.int64()
