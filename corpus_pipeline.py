@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, crf_quality, decontaminate, line_dedup, near_copies
+from tidemark.llm.columns import spare
 from tidemark.session import keep, ship
 
 #: Least quality score that stays.
@@ -17,13 +18,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines the random field finds good."""
     ship(spark)
     model = crf_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return crf_quality.score(docs, model, "_quality").where(F.col("_quality") >= QUALITY).select(*docs.columns)
+    name = spare(docs.columns, "quality")
+    return crf_quality.score(docs, model, name).where(F.col(name) >= QUALITY).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated lines; those of which nothing stays go."""
-    out = line_dedup.dedup_lines(docs, counts=("_lines", "_deleted"))
-    return out.where("_deleted = 0 or _deleted < _lines").select(*docs.columns)
+    n_lines, n_deleted = (spare(docs.columns, c) for c in ("n_lines", "n_deleted"))
+    out = line_dedup.dedup_lines(docs, counts=(n_lines, n_deleted))
+    return out.where((F.col(n_deleted) == 0) | (F.col(n_deleted) < F.col(n_lines))).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
