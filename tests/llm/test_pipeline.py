@@ -46,3 +46,16 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_odd_tables(spark):
+    """Null ids and texts, repeated rows, a very long text, columns named as those that operators add; and an empty table."""
+    rows = [(1, "one two three four"), (1, "one two three four"), (2, None), (3, ""), (None, "lost id"), (6, "word " * 60_000), (7, " \n\n \t"), (8, "\n".join(f"line {i}" for i in range(9000)))]
+    docs = spark.createDataFrame([(i, t, 1.5, 7, i, t, 0, i) for i, t in rows], "doc_id bigint, text string, quality double, n_lines int, kid bigint, ld_t string, n_deleted int, bucket bigint")
+    for (name, stage), n in zip(corpus_pipeline.STAGES[1:4], (7, 5, 7)):  # texts without words are near copies
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert len({tuple(r) for r in got.collect()}) == n, name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.STAGES[0][1](spark, docs, SF).columns == docs.columns
+    assert len(corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()) == len(rows)
