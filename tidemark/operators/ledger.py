@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import with_previous
+
 CONFLICTS_KEPT, CONFLICTS_MOST, LOG_KEPT, FINDINGS_SHOWN, SUGGESTIONS = 1024, 4096, 100, 20, 8
 
 
@@ -77,25 +76,14 @@ def changes(states: DataFrame, key: str, order: list[str], watched: list[str]) -
 def activity_log(events: DataFrame, key: str, order: list[str], kept: int = LOG_KEPT) -> DataFrame:
     """events(key, level, message, disconnect, ...) without what repeats the last kept row of its key, the last ``kept`` of each.
 
-    A row is dropped if its level and message are those of the last row kept, or if both tell of a disconnect. What was
-    kept depends on all before, so the fold streams over sorted partitions with one row of state.
+    A row repeats one of its level and message, and a disconnect repeats any disconnect; level and message tell what is
+    one. Rows between the last kept row and a row that repeats the one before it repeat that kept row, too, so each
+    row has to look at the row before only.
     """
-    dealt = events.repartition(key).sortWithinPartitions(key, *order)
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = None, None
-        for pdf in parts:
-            keep = []
-            for k, level, message, off in zip(pdf[key].tolist(), pdf["level"].tolist(), pdf["message"].tolist(), pdf["disconnect"].tolist()):
-                if k != now:
-                    now, last = k, None
-                new = last is None or (last[0], last[1]) != (level, message) and not (last[2] and off)
-                if new:
-                    last = (level, message, off)
-                keep.append(new)
-            yield pdf[keep]
-
-    return keep_last(dealt.mapInPandas(fold, events.schema), [key], [F.desc(c) for c in order], kept)
+    seen = with_previous(events, key, order, F.struct("level", "message", "disconnect"), "_before")
+    now = F.struct("level", "message")
+    same = F.struct("_before.level", "_before.message").eqNullSafe(now) | F.coalesce(F.col("_before.disconnect") & F.col("disconnect"), F.lit(False))
+    return keep_last(seen.where(F.col("_before").isNull() | ~same).drop("_before"), [key], [F.desc(c) for c in order], kept)
 
 
 def suggestions(paths: DataFrame, typed: str, n: int = SUGGESTIONS) -> DataFrame:

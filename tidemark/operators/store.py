@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from ..functions.formats import parse_rfc3339
 from ..functions.paths import nested_pairs
 from ..session import keep
 from .diff import STATE
+from .ordered import Cut, in_bins
 
 COMPACT_FROM, BATCH_ITEMS, BATCH_BYTES, CONFLICT_FINDINGS = 512, 512, 8 << 20, 20
 #: Children that are hashed as one string.
@@ -52,26 +50,8 @@ def distinct_packs(index: DataFrame) -> DataFrame:
 
 
 def item_batches(items: DataFrame, session: str, order: list[str], length: str, most: int = BATCH_ITEMS, flush: int = BATCH_BYTES) -> DataFrame:
-    """items with a column ``batch``: of each session in order, a batch ends at ``most`` items or with the item that reaches ``flush`` bytes.
-
-    The size starts anew with each batch, so this streams over the sorted rows of a session.
-    """
-    dealt = items.repartition(session).sortWithinPartitions(session, *order)
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, n, size, number = None, 0, 0, 0
-        for pdf in parts:
-            out = []
-            for s, b in zip(pdf[session].tolist(), pdf[length].tolist()):
-                if s != now:
-                    now, n, size, number = s, 0, 0, 0
-                out.append(number)
-                n, size = n + 1, size + b
-                if n >= most or size >= flush:
-                    n, size, number = 0, 0, number + 1
-            yield pdf.assign(batch=pd.Series(out, index=pdf.index, dtype="int64"))
-
-    return dealt.mapInPandas(fold, f"{', '.join(f'`{c}` {k}' for c, k in items.dtypes)}, batch bigint")
+    """items with a column ``batch``: of each session in order, a batch ends at ``most`` items or with the item that reaches ``flush`` bytes."""
+    return in_bins(items, session, order, length, Cut(most, flush), "batch")
 
 
 def scan_counts(entries: DataFrame, rescanned: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import Fit, in_bins
+
 #: Wanted blobs of a pack from which the whole pack is moved; null never.
 WHOLE_PACK = {"auto": 2, "packs_only": 1, "items_only": None}
 #: Id of no manifest.
@@ -43,29 +42,13 @@ def batches(rows: DataFrame, keys: list[str], order: list, size: int) -> DataFra
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / F.lit(size)))
 
 
-def next_fit(blobs: DataFrame, pool: str, order: list[str], length: str, target: int = PACK_TARGET, parts: int | None = None) -> DataFrame:
+def next_fit(blobs: DataFrame, pool: str, order: list[str], length: str, target: int = PACK_TARGET) -> DataFrame:
     """blobs with a column ``bin``: greedy next-fit of each pool in arrival order.
 
-    A bin is sealed when the next blob would overflow it and it isn't empty; a larger blob has a bin of its own. The
-    fold depends on all that came before, so it streams over the sorted rows of a partition, with one bin in memory;
-    a pool is the unit of order, so give large stores as many pools as they have writers.
+    A bin is sealed when the next blob would overflow it and it isn't empty; a larger blob has a bin of its own. A
+    pool's blobs are packed in blocks, so a store of one pool is no single task.
     """
-    dealt = (blobs.repartition(parts, pool) if parts else blobs.repartition(pool)).sortWithinPartitions(pool, *order)
-
-    def fold(parts_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used, number = None, 0, 0
-        for pdf in parts_:
-            out = []
-            for p, n in zip(pdf[pool].tolist(), pdf[length].tolist()):
-                if p != now:
-                    now, used, number = p, 0, 0
-                elif used and used + n > target:
-                    used, number = 0, number + 1
-                used += n
-                out.append(number)
-            yield pdf.assign(bin=pd.Series(out, index=pdf.index, dtype="int64"))
-
-    return dealt.mapInPandas(fold, f"{', '.join(f'`{n}` {k}' for n, k in blobs.dtypes)}, bin bigint")
+    return in_bins(blobs, pool, order, length, Fit(target), "bin")
 
 
 def first_index_rows(index: DataFrame) -> DataFrame:
