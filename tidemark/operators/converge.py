@@ -65,3 +65,33 @@ def converge(base: DataFrame, local: DataFrame, remote: DataFrame, local_device:
     odd = None if live is None else keep(guarded(todo.select("path_str", "action"), local, live), "divergences")
     n = back.count()
     return Outcome(free, back, todo, odd, n, not plan.send.isEmpty() or plan.has_local_wins(), agreed(plan, back))
+
+
+PEER = "device_id string, held_entries bigint, ops_applied bigint, quarantined bigint, conflicts_recorded bigint"
+
+
+@dataclass
+class Released:
+    """peers: a row of ``PEER`` each; what is materialized of each; totals over peers; whether a pin ended."""
+
+    peers: DataFrame
+    outcomes: dict[str, Outcome]
+    total_quarantined: int
+    total_conflicts: int
+    total_ops: int
+    pin_ended: bool
+
+
+def release(local: DataFrame, peers: dict[str, tuple[DataFrame, DataFrame, int]], local_device: str, pinned: bool = True) -> Released:
+    """Converge with each peer of which entries are held: {device: (base, its last held manifest's entries, held entries)}.
+
+    Nothing is held this time, all start from the same local side, and peers without held entries are passed over. The
+    pin ends in any case.
+    """
+    rows, outcomes = [], {}
+    for device, (base, remote, held) in sorted(peers.items()):
+        if held:
+            out = outcomes[device] = converge(base, local, remote, local_device, device)
+            rows.append((device, held, out.mutations.count(), out.plan.quarantine.count(), out.plan.conflicts.count()))
+    total = lambda i: sum(r[i] for r in rows)
+    return Released(local.sparkSession.createDataFrame(rows, PEER), outcomes, total(3), total(4), total(2), pinned)

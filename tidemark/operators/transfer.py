@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import drop, keep
 from .ordered import Fit, in_bins
 
 #: Wanted blobs of a pack from which the whole pack is moved; null never.
@@ -13,6 +14,7 @@ WHOLE_PACK = {"auto": 2, "packs_only": 1, "items_only": None}
 ZERO = "0" * 64
 ITEMS_PER_BATCH, PACKS_PER_BATCH, ADVERTS_PER_BATCH = 512, 128, 2048
 PACK_TARGET = 16 << 20
+ROUNDS = 1024
 
 
 def missing(wanted: DataFrame, present: DataFrame) -> DataFrame:
@@ -51,6 +53,47 @@ def next_fit(blobs: DataFrame, pool: str, order: list[str], length: str, target:
     return in_bins(blobs, pool, order, length, Fit(target), "bin")
 
 
+def written_packs(blobs: DataFrame, pool: str, order: list[str], flush: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(packs: pack, body; their index rows: kind, id, pack, plain_off, plain_len) of blobs(pool, bin, kind, id, body).
+
+    A pack is the bytes of one bin in order, named by their hash; the last bin of each pool is still open, so it is
+    written by a flush only. A bin holds ``PACK_TARGET`` bytes or one larger blob.
+    """
+    if not flush:
+        last = blobs.groupBy(pool).agg(F.max("bin").alias("bin"))
+        blobs = blobs.join(last, [pool, "bin"], "left_anti")
+    length = F.length("body").cast("bigint")
+    before = Window.partitionBy(pool, "bin").orderBy(*order)
+    placed = blobs.select(pool, "bin", "kind", "id", "body", length.alias("plain_len"), F.row_number().over(before).alias("_at"), (F.sum(length).over(before.rowsBetween(Window.unboundedPreceding, 0)) - length).alias("plain_off"))
+    bodies = placed.groupBy(pool, "bin").agg(F.expr("listagg(body) within group (order by _at)").alias("body")).withColumn("pack", F.sha2("body", 256))
+    bodies = keep(bodies, "packs")
+    return bodies.select("pack", "body"), placed.join(bodies.select(pool, "bin", "pack"), [pool, "bin"]).select("kind", "id", "pack", "plain_off", "plain_len")
+
+
+def pull_rounds(roots: DataFrame, children: DataFrame, limit: int = ROUNDS) -> tuple[DataFrame, int]:
+    """(id, round) of the tree nodes that are fetched from roots(id) over children(id, child), and how many the rounds don't reach.
+
+    Each round asks for the children of the one before that no round asked for, the roots in round 1.
+    """
+    front = keep(roots.select("id").distinct().withColumn("round", F.lit(1)), "round")
+    seen, n = front, 1
+    while True:
+        found = front.select("id").join(children, "id").select(F.col("child").alias("id")).distinct().join(seen, "id", "left_anti")
+        front = keep(found.withColumn("round", F.lit(n + 1)), "round")
+        left = front.count()
+        if not left or n == limit:
+            drop(front)
+            return seen, left
+        seen, n = seen.union(front), n + 1
+
+
+def referenced(entries: DataFrame, trees: DataFrame) -> DataFrame:
+    """Distinct (kind, id) that entries(path_str, kind, chunks) name: chunks of files, and of directories their trees(path_str, tree_id)."""
+    data = entries.where("kind = 'file'").select(F.lit("data").alias("kind"), F.explode("chunks.id").alias("id"))
+    below = entries.where("kind = 'dir'").join(trees, "path_str").select(F.lit("tree").alias("kind"), F.col("tree_id").alias("id"))
+    return data.union(below).distinct()
+
+
 def first_index_rows(index: DataFrame) -> DataFrame:
     """The first row, by ord, of each (kind, id)."""
     return index.groupBy("kind", "id").agg(F.min_by(F.struct(*[c for c in index.columns if c not in ("kind", "id")]), "ord").alias("r")).select("kind", "id", "r.*")

@@ -308,3 +308,78 @@ def signal_actions(spark, table):
 def root_edges(spark, table):
     seen = table("orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") != "F").alias("present"))
     return watch.root_edges(seen, "o_custkey", ["o_orderkey"]).select("o_custkey", "o_orderkey", "signal")
+
+
+# sessions' pulls, packs and releases
+PULLED = "n as (select n_nationkey from nation where n_regionkey in (0, 3)), c as (select c_custkey from customer join n on n_nationkey = c_nationkey), o as (select distinct o_orderkey from orders join c on c_custkey = o_custkey)"
+
+
+def tree_nodes(table):
+    pair = lambda name, up, down, a, b: table(name).select(F.concat(F.lit(a), up).alias("id"), F.concat(F.lit(b), down).alias("child"))
+    return pair("nation", "n_regionkey", "n_nationkey", "r", "n").union(pair("customer", "c_nationkey", "c_custkey", "n", "c")).union(pair("orders", "o_custkey", "o_orderkey", "c", "o"))
+
+
+@query(f"with {PULLED} select 'r' || r_regionkey as id, 1 as round from region where r_regionkey in (0, 3) union all select 'n' || n_nationkey, 2 from n union all select 'c' || c_custkey, 3 from c union all select 'o' || o_orderkey, 4 from o")
+def pull_rounds(spark, table):
+    return transfer.pull_rounds(table("region").where("r_regionkey in (0, 3)").select(F.concat(F.lit("r"), "r_regionkey").alias("id")), tree_nodes(table))[0]
+
+
+@query(f"with {PULLED} select (select count(*) from region where r_regionkey in (0, 3)) + (select count(*) from n) as fetched, (select count(*) from c) as beyond")
+def pull_round_limit(spark, table):
+    got, left = transfer.pull_rounds(table("region").where("r_regionkey in (0, 3)").select(F.concat(F.lit("r"), "r_regionkey").alias("id")), tree_nodes(table), 2)
+    return got.agg(F.count("*").alias("fetched")).withColumn("beyond", F.lit(left).cast("bigint"))
+
+
+@query(sn.SQL + " select distinct 'data' as kind, split_part(c, ':', 1) as id from (select unnest(string_split(chunks, ',')) as c from local where kind = 'file' and chunks <> '') union all select 'tree', sha256(path_str) from local where kind = 'dir'")
+def referenced_blobs(spark, table):
+    (local,) = versions(table, "local")
+    return transfer.referenced(local, local.select("path_str", F.sha2("path_str", 256).alias("tree_id")))
+
+
+# the orders of a customer in a year are a bin
+BINS = "b as (select o_custkey as pool, year(o_orderdate) as bin, o_orderkey, o_orderpriority || '/' || o_orderkey as body from orders)"
+
+
+def bins(table):
+    return blobs(table).join(table("orders").select("o_orderkey", F.year("o_orderdate").alias("bin")), "o_orderkey").select(F.col("o_custkey").alias("pool"), "bin", "o_orderkey", F.lit("data").alias("kind"), "id", "body")
+
+
+@query(f"with {BINS} select sha256(string_agg(body, '' order by o_orderkey)) as pack, string_agg(body, '' order by o_orderkey) as body from b group by pool, bin")
+def pack_flush(spark, table):
+    return transfer.written_packs(bins(table), "pool", ["o_orderkey"])[0].withColumn("body", F.col("body").cast("string"))
+
+
+@query(f"""with {BINS}, l as (select pool, max(bin) as bin from b group by pool), s as (select * from b anti join l using (pool, bin)), p as (select pool, bin, sha256(string_agg(body, '' order by o_orderkey)) as pack from s group by pool, bin)
+select 'data' as kind, sha256(body) as id, pack, cast(coalesce(sum(length(body)) over (partition by pool, bin order by o_orderkey rows between unbounded preceding and 1 preceding), 0) as bigint) as plain_off, length(body) as plain_len from s join p using (pool, bin)""")
+def pack_index(spark, table):
+    """Index rows of the packs that are sealed; the last bin of each pool is still open."""
+    return transfer.written_packs(bins(table), "pool", ["o_orderkey"], flush=False)[1]
+
+
+@query(sn.SQL + f" select '{sn.REMOTE_DEVICE}' as device_id, cast(3 as bigint) as held_entries, (select count(*) from d_remote) as ops_applied, cast(0 as bigint) as quarantined, cast(0 as bigint) as conflicts_recorded")
+def release_peers(spark, table):
+    """Two peers of one device that changed nothing since the base; only one has held entries."""
+    base, remote = versions(table, "base", "remote")
+    return converge.release(base, {sn.REMOTE_DEVICE: (base, remote, 3), "c3" * 32: (base, remote, 0)}, sn.LOCAL_DEVICE).peers
+
+
+@query("""select '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","big":' || case when n_regionkey > 2 then 'true' else 'null' end || '}' as document from nation""")
+def json_documents(spark, table):
+    return files.json_documents(table("nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") > 2, True).alias("big")))
+
+
+@query("select distinct user_id, 'd' || event_id % 3 as dir from events where event_type = 'error'")
+def polling_set(spark, table):
+    e = table("events").select("user_id", F.concat(F.lit("d"), F.col("event_id") % 3).alias("dir"), F.when(F.col("event_type") == "error", "unwatchable").otherwise("changed").alias("signal"))
+    return watch.polling(e, ["user_id"])
+
+
+@query("with s as (select o_orderkey as s from orders) select s, 'polled_tick' as signal from s where s % 10 = 0 union all select s, 'audit_due' from s where s % 700 = 0")
+def periodic_signals(spark, table):
+    ticks = table("orders").select(F.timestamp_seconds("o_orderkey").alias("ts"))
+    return watch.periodic(ticks, audit=700).select(F.unix_seconds("ts").alias("s"), "signal")
+
+
+@query("select user_id, max(struct_pack(t := ts, e := event_id)).e as event_id from events group by user_id")
+def latest_offers(spark, table):
+    return watch.latest_offers(table("events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"]).select("user_id", "event_id")

@@ -110,6 +110,11 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def json_documents(rows: DataFrame, column: str = "document") -> DataFrame:
+    """Each row as one JSON document, nulls included; ``.write.text`` puts them out."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias(column))
+
+
 def stale_temps(files: DataFrame, now_sec: int, pattern: str = r"(^|/)\.tmp-[^/]*$", age: int = 86_400) -> DataFrame:
     """Temporary files older than a day."""
     return files.where(F.col("path_str").rlike(pattern) & (F.col("mtime_sec") < now_sec - age)).orderBy("path_str")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import CONFLICT
+
 QUIET = "500 milliseconds"
+POLL_SECONDS, AUDIT_SECONDS = 10, 86_400
 SIGNALS = "changed polled_changed overflow unwatchable polled_tick audit_due root_vanished root_returned".split()
 
 
@@ -75,3 +78,26 @@ def root_edges(seen: DataFrame, key: str, order: list[str]) -> DataFrame:
     before = F.lag("present").over(Window.partitionBy(key).orderBy(*order))
     edge = F.when(before & ~F.col("present"), "root_vanished").when(~before & F.col("present"), "root_returned")
     return seen.withColumn("signal", edge).where("signal is not null")
+
+
+def polling(signals: DataFrame, keys: list[str]) -> DataFrame:
+    """The directories (keys, dir) that are polled: each that was unwatchable once, on a stream or a table."""
+    return signals.where("signal = 'unwatchable'").select(*keys, "dir").dropDuplicates()
+
+
+def periodic(ticks: DataFrame, ts: str = "ts", poll: int = POLL_SECONDS, audit: int = AUDIT_SECONDS) -> DataFrame:
+    """(ts, signal) of ticks, one a second, as of Spark's rate source: polls and audits when they are due."""
+    at = F.unix_seconds(F.col(ts).cast("timestamp"))
+    due = F.array_compact(F.array(F.when(at % poll == 0, "polled_tick"), F.when(at % audit == 0, "audit_due")))
+    return ticks.select(F.col(ts).alias("ts"), F.explode(due).alias("signal"))
+
+
+def latest_offers(events: DataFrame, subscriber: str, order: list[str]) -> DataFrame:
+    """What a slow subscriber gets: its newest event only, in update mode on a stream."""
+    rest = [c for c in events.columns if c != subscriber]
+    return events.groupBy(subscriber).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(subscriber, "r.*")
+
+
+def conflict_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Conflicts as they are appended to a folder of JSON lines."""
+    return spark.readStream.schema(CONFLICT).json(folder)
