@@ -14,7 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udtf
 
 # fixed values: the format's window, bounds and mask
 WINDOW, DEGREE, LEAST, MOST, BITS = 64, 53, 524_288, 8_388_608, 20
@@ -155,3 +156,17 @@ def chunks(files: DataFrame, polynomial: int, key: str = "path", content: str =
     sql = dict(files.dtypes)[key]
     kind = pa.string() if sql == "string" else pa.int64()
     return files.select(key, content).mapInArrow(run, f"`{key}` {'string' if sql == 'string' else 'bigint'}, ord int, off bigint, len bigint, id string")
+
+
+def register_chunker(spark: SparkSession, polynomial: int, name: str = "cdc_chunks", least: int = LEAST, most: int = MOST, bits: int = BITS) -> None:
+    """``name(content)`` as a table function of SQL: (ord, off, len, id) of each chunk; a null content has none."""
+
+    class Chunker:
+        def eval(self, content: bytes):
+            import hashlib
+
+            body = bytes(content or b"")
+            for i, (o, n) in enumerate(cuts(body, polynomial, least, most, bits)):
+                yield i, o, n, hashlib.sha256(body[o : o + n]).hexdigest()
+
+    spark.udtf.register(name, udtf(Chunker, returnType="ord int, off bigint, len bigint, id string"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chunker import BITS, LEAST, MOST, chunks
@@ -139,3 +139,9 @@ def secret_lines(texts: DataFrame, path: str = "path", text: str = "text") -> Da
     cls = F.coalesce(*(F.when(F.col("s").rlike(r), F.lit(c)) for c, r in SECRET_LINES.items()))
     hit = F.coalesce(*(F.when(F.col("s").rlike(r), F.regexp_extract("s", f"({r})", 1)) for r in SECRET_LINES.values()))
     return lines.select("path", (F.col("i") + 1).alias("line"), cls.alias("class"), redacted(hit).alias("preview")).where("class is not null")
+
+
+def shared_secrets(texts: DataFrame, ignored: Column, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, line, class, preview) by name and by line, of the files that no rule ignores (a column such as of ``Policy``)."""
+    shared = texts.where(~ignored)
+    return secret_names(shared.select(F.col(path).alias("path"))).union(secret_lines(shared, path, text))
