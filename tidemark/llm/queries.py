@@ -156,3 +156,33 @@ def op10_simhash(spark, table) -> DataFrame:
 
     prints = keep(fingerprints(table("documents"), size=3, seed=42), "prints")
     return near_duplicates(prints, max_bits=2).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op11_filter_audit(spark, table) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(table("documents"), table("labels"))
+
+
+ORACLE["op11_filter_audit"] = r"""
+with t as (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as part from documents),
+w as (select *, list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') as ws, min(doc_id) over (partition by text) as least from t),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+f as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] as fails
+  from w left join l using (doc_id)),
+letters(x, k) as (values ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order, [a.k, b.k, c.k, d.k, e.k] as ks from letters a, letters b, letters c, letters d, letters e
+  where b.k <> a.k and c.k not in (a.k, b.k) and d.k not in (a.k, b.k, c.k) and e.k not in (a.k, b.k, c.k, d.k)),
+steps as (select filter_order, cast(s as int) as step, ks[s] as k, ks[1:s - 1] as before from orders, range(1, 6) r(s)),
+g as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, fails),
+j as (select g.*, filter_order, step, k, fails[k] as own, len(list_filter(before, lambda b: fails[b])) > 0 as earlier,
+    len(list_filter(fails, lambda b: b)) as many from g, steps),
+r as (select part, filter_order, step, k, sum(case when not own and not earlier then n else 0 end) as kept, sum(case when own and not earlier then n else 0 end) as removed,
+    sum(case when own and earlier then n else 0 end) as redundant, sum(case when own and many = 1 then n else 0 end) as unique_fails,
+    sum(case when own and not earlier then good else 0 end) as good_lost, sum(case when own and not earlier then toxic else 0 end) as toxic_lost
+  from j group by part, filter_order, step, k)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, k) as bigint) as shapley from r
+"""
