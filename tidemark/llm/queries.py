@@ -186,3 +186,49 @@ r as (select part, filter_order, step, k, sum(case when not own and not earlier
 select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
   cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, k) as bigint) as shapley from r
 """
+
+
+@query
+def op13_prefix_trie(spark, table) -> DataFrame:
+    from .prefix_trie import trie
+
+    return trie(table("conversations")).drop("path")
+
+
+#: DuckDB has no crc32: bits are shifted through the polynomial, eight for each byte of the id's digits.
+ORACLE["op13_prefix_trie"] = r"""
+with recursive own as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place
+  from conversations where conv_id is not null),
+sizes as (select conv_id, count(*) as n from own group by conv_id),
+crc(conv_id, i, v) as (
+  select conv_id, 0, cast(4294967295 as bigint) from sizes
+  union all
+  select conv_id, i + 1, list_reduce(list_prepend(xor(v, ascii(substr(cast(conv_id as varchar), i + 1, 1))), range(8)),
+      lambda a, k: case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end)
+  from crc where i < length(cast(conv_id as varchar))),
+convs as (
+  select s.conv_id, s.conv_id - s.conv_id % 100 as base, xor(v, 4294967295) % 6 as h, s.n, least(xor(v, 4294967295) % 6, coalesce(b.n, 0)) as head
+  from sizes s join crc c on c.conv_id = s.conv_id and c.i = length(cast(s.conv_id as varchar)) left join sizes b on b.conv_id = s.conv_id - s.conv_id % 100),
+turns as (
+  select c.conv_id, o.place as depth, o.role, o.text from convs c join own o on o.conv_id = c.base and o.place <= c.head
+  union all
+  select c.conv_id, o.place - c.h + c.head, o.role, o.text from convs c join own o on o.conv_id = c.conv_id and o.place > c.h),
+pre as (
+  select conv_id, depth, list(struct_pack(r := role, t := text)) over (partition by conv_id order by depth) as key, length(text) as chars from turns
+  union all
+  select conv_id, 0, [], 0 from convs),
+lens as (select conv_id, head + greatest(n - h, 0) as n_turns from convs),
+node as (
+  select key, p.depth, min(p.conv_id) as conv_id, count(*) as n_convs, max(chars) as chars,
+    sha256(coalesce(string_agg(case when n_turns = p.depth then cast(p.conv_id as varchar) end, ',' order by p.conv_id), '')) as ends_sha256
+  from pre p join lens using (conv_id) group by key, p.depth),
+up as (select p.conv_id, p.depth, n.conv_id as node from pre p join node n on p.key = n.key and p.depth = n.depth),
+kid as (select n.conv_id, n.depth, u.node as parent from node n join up u on u.conv_id = n.conv_id and u.depth = n.depth - 1),
+fan as (select parent as conv_id, depth - 1 as depth, count(*) as n_children from kid group by 1, 2),
+own_sums as (select n.conv_id, n.depth, (n.n_convs - 1) * chars as saved, case when n_children is null then 1 else 0 end as leaf from node n left join fan using (conv_id, depth)),
+sums as (select u.node as conv_id, u.depth, sum(leaf) as n_leaves, sum(saved) as saved_tokens from own_sums o join up u on u.conv_id = o.conv_id and u.depth <= o.depth group by 1, 2)
+select n.conv_id, n.depth, parent as parent_conv_id, n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, ends_sha256
+from node n left join kid using (conv_id, depth) left join fan using (conv_id, depth) join sums using (conv_id, depth)
+"""
