@@ -232,3 +232,10 @@ sums as (select u.node as conv_id, u.depth, sum(leaf) as n_leaves, sum(saved) as
 select n.conv_id, n.depth, parent as parent_conv_id, n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, ends_sha256
 from node n left join kid using (conv_id, depth) left join fan using (conv_id, depth) join sums using (conv_id, depth)
 """
+
+
+@query
+def op12_packing(spark, table) -> DataFrame:
+    from .packing import packed
+
+    return packed(table("documents"), vocabulary("word_bpe_49k.json"), end_id=1)
