@@ -5,27 +5,31 @@ segments of length * ((mx - mq)^2 + (sx - sq)^2). As x.q = (|x|^2 + |q|^2 - |x -
 distance is an upper bound of the score. Bounds go from one segment to many; a candidate that can't reach a query's
 k-th best score so far is dropped for that query, and what survives all of them is scored exactly in integers.
 
-Queries are taken in blocks of bounded size, each broadcast to a pass over all rows; each task returns its best k for
-each query, and a window picks the best of these. Of several blocks, one at a time is in memory: its best are a written
-table before the next is read. Components are held to 64 bits, scores too (those beyond count as the nearest number that
+Queries are taken in blocks of bounded size, files of the shared folder that tasks read; no vector passes the driver. A
+task takes one block to one share of the rows, so all blocks are at work at once, ``AT_ONCE`` in one job at most. It
+returns its best k for each query, and a window picks the best of these. Components are held to 64 bits, scores too (those beyond count as the nearest number that
 fits, so they tie). Vectors that are null, empty, or hold null or non-finite components
-take no part; vectors meet those of their own length. A repeated id is one query (its least vector) and as many
+take no part, nor do rows without an id, neither as candidates nor as queries; vectors meet those of their own length. A repeated id is one query (its least vector) and as many
 candidates as it has rows. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import keep, scratch
 
 #: Numbers in a block of queries: 4 million are 32 MB.
 BLOCK_NUMBERS = 4_000_000
+#: Blocks in one job.
+AT_ONCE = 64
 STRIDE = 1_024
 
 
@@ -92,20 +96,40 @@ class Best:
         self.scores[rows], self.found[rows], self.filled[rows] = (np.take_along_axis(v, order, 1) for v in (score, found, ok))
 
 
+def read_block(folder: str, block: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a block of queries, by the vectors' length."""
+    import pyarrow.parquet as pq
+
+    system, path = fs.FileSystem.from_uri(folder)
+    names = [f.path for f in system.get_file_info(fs.FileSelector(f"{path}/block={block}", allow_not_found=True)) if f.path.endswith(".parquet")]
+    out: dict[int, list] = {}
+    for name in names:
+        with system.open_input_file(name) as f:
+            table = pq.ParquetFile(f).read().combine_chunks()
+        ids, lists = table["vec_id"].to_numpy(), table["v"].combine_chunks()
+        sizes = np.asarray(lists.value_lengths())
+        for d in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == d)
+            out.setdefault(d, []).append((ids[at], np.asarray(lists.take(pa.array(at)).flatten()).reshape(-1, d)))
+    return {d: tuple(np.concatenate(x) for x in zip(*parts)) for d, parts in out.items()}
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """vectors and queries: (vec_id, v) with v array<bigint>; returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    queries = keep(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    queries = keep(queries.where("vec_id is not null and size(v) > 0").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     n, width = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, -(-n * (width or 1) // BLOCK_NUMBERS))
-    schema, out = "query_id bigint, vec_id bigint, score bigint", None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # BLOCK_NUMBERS numbers on average
-        shared = spark.sparkContext.broadcast({d: (np.array([r[0] for r in rows if len(r[1]) == d], np.int64), np.array([r[1] for r in rows if len(r[1]) == d], np.int64)) for d in {len(r[1]) for r in rows}})
+    folder = scratch(spark, "blocks")
+    queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition(min(blocks, 1_000), "block").write.partitionBy("block").parquet(folder)
+    candidates = vectors.where("vec_id is not null").select("vec_id", "v")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best = {d: Best(*pair, k) for d, pair in shared.value.items()}
+    def best_of(block: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
             for batch in batches:
+                if best is None:
+                    best = {d: Best(*pair, k) for d, pair in read_block(folder, block).items()}
                 ids, lists = batch.column(0).to_numpy(), batch.column(1)
                 sizes = np.asarray(lists.value_lengths())
                 for d, found in best.items():
@@ -113,14 +137,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     for i in range(0, len(at), STRIDE):
                         part = at[i : i + STRIDE]
                         found.add(ids[part], np.asarray(lists.take(pa.array(part)).flatten()).reshape(-1, d))
-            for found in best.values():
+            for found in (best or {}).values():
                 q = np.broadcast_to(found.ids[:, None], found.filled.shape)[found.filled]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q, found.found[found.filled], found.scores[found.filled])], names=["query_id", "vec_id", "score"])
 
-        part = vectors.select("vec_id", "v").mapInArrow(run, schema)
-        if blocks > 1:
-            part = keep(part, "best")
-            shared.destroy()
-        out = part if out is None else out.union(part)
+        return candidates.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+
+    jobs = []
+    for first in range(0, blocks, AT_ONCE):
+        job = reduce(DataFrame.unionByName, map(best_of, range(first, min(blocks, first + AT_ONCE))))
+        jobs.append(job if blocks <= AT_ONCE else keep(job, "best"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, jobs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
