@@ -10,12 +10,21 @@ parities of the sets over ``PARITIES`` buckets bound from below in how many shin
 every pair that is left. The order is from rare to frequent, as counted over a share of the documents, which keeps
 lists short and has no bearing on what is found.
 
+Of two sets that link the smaller one, of n shingles, has the first shared shingle even earlier: it shares 2 s n / (1 + s)
+at least, so among its first n - ceil(2 s n / (1 + s)) + 1. Only a member that has a list's shingle so early is compared
+with members as large or larger. So texts of one template that don't link, as their own words are too many, have no such
+member in the lists of the template's shingles, and these lists are no lists at all.
+
 At first the members of each list are compared with two of them only, which is linear and puts most of a large group
 together: with the member that has the fewest rarer shingles, as it is the likeliest to be near all others, and with
-one by hash. Then all members of a list that are not in one group by then are compared pair by pair. So work grows with
-the square of a list only where its members link to none of those, though neither bound tells them apart.
-
-Texts of equal shingle sets collapse before the index. Words are as in ``simhash``; a text without words is one with
+one by hash. What is not in one group by then is compared class by class: a list's members are classed by size and place
+of the shingle, classes that can't reach the similarity from there on, whichever members are taken, are told apart
+unseen, and the members of the others are dealt in blocks of ``BLOCK``, a pair of blocks a unit of work, so that a long
+list is many units. Work grows with the square of a list only for members that neither link nor differ in any of these
+bounds.
+
+Rows are known by a hash of id and text of 128 bits, sets by one of their shingles, and get numbers of their own once they
+are written. Texts of equal shingle sets collapse before the index. Words are as in ``simhash``; a text without words is one with
 all others like it. Null ids sort first, null texts count as empty. Of each group the document of least id stays, of
 rows that repeat id and text one. An empty table stays empty; extra columns may have any names.
 """
@@ -46,16 +55,24 @@ PARITIES = 256
 BROADCAST_IDS = 200_000
 #: One document in so many is counted for the order; frequent shingles that are told apart, and their least count.
 COUNTED, FREQUENT, LEAST = 8, 300_000, 3
+#: Members of a class that meet those of another at once.
+BLOCK = 1_000
 
 
-def key_of() -> Column:
-    return F.xxhash64("doc_id", "text")
+def key_of() -> list[Column]:
+    """Two hashes of 64 bits of id and text."""
+    return [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(3), "text", F.lit(5), "doc_id")]
 
 
 def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
+def early(n: Column, similarity: float) -> Column:
+    """Places at which the smaller set of a pair can have the first shared shingle."""
+    return n - F.ceil(F.lit(2 * similarity / (1 + similarity)) * n - 1e-9) + 1
+
+
 def frequent(docs: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are frequent in a share of the documents, sorted, and their counts; at most FREQUENT."""
 
@@ -90,7 +107,7 @@ def parities(own: np.ndarray) -> np.ndarray:
 
 
 def prefixes_of(docs: DataFrame, size: int, seed: int, similarity: float) -> DataFrame:
-    """(kid, doc_id, c0, c1, n, fp, bits, prefix): a hash of id and text, one of the shingle set in two parts, its size, fingerprint, parities and prefix."""
+    """(k0, k1, doc_id, c0, c1, n, fp, bits, prefix): hashes of id and text, and of the shingle set, its size, fingerprint, parities and prefix."""
     import xxhash
 
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, size, seed))
@@ -108,18 +125,19 @@ def prefixes_of(docs: DataFrame, size: int, seed: int, similarity: float) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                cols = [pa.array(c, k) for c, k in zip(zip(*(one(t.as_py()) for t in part.column(2))), kinds.values())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], names=["kid", "doc_id", *kinds])
+                cols = [pa.array(c, k) for c, k in zip(zip(*(one(t.as_py()) for t in part.column(3))), kinds.values())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *cols], names=["k0", "k1", "doc_id", *kinds])
 
-    rows = docs.select(key_of().alias("kid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "kid bigint, doc_id bigint, c0 bigint, c1 bigint, n int, fp bigint, bits array<bigint>, prefix array<bigint>")
+    k0, k1 = key_of()
+    rows = docs.select(k0.alias("k0"), k1.alias("k1"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "k0 bigint, k1 bigint, doc_id bigint, c0 bigint, c1 bigint, n int, fp bigint, bits array<bigint>, prefix array<bigint>")
 
 
 class Verifier:
-    """Which pairs of ids link. An id is the key of a document that stands for its shingle set."""
+    """Which pairs of ids link; rows(id, k0, k1) has the document that stands for each id's shingle set."""
 
-    def __init__(self, docs: DataFrame, size: int, seed: int, similarity: float):
-        self.docs, self.size, self.seed, self.similarity = docs, size, seed, similarity
+    def __init__(self, docs: DataFrame, rows: DataFrame, size: int, seed: int, similarity: float):
+        self.docs, self.rows, self.size, self.seed, self.similarity = docs, rows.select("id", "k0", "k1"), size, seed, similarity
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, set): the distinct shingles of these documents."""
@@ -130,9 +148,11 @@ class Verifier:
                 found = [np.unique(shingle_hashes(t.as_py(), size, seed)).view(np.int64) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
 
-        few = ids.count() <= BROADCAST_IDS
-        chosen = self.docs.select(key_of().alias("id"), "text").join(F.broadcast(ids) if few else ids, "id")
-        return chosen.mapInArrow(run, "id bigint, set array<bigint>").dropDuplicates(["id"])
+        wanted = keep(ids.join(self.rows, "id"), "wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        k0, k1 = key_of()
+        chosen = self.docs.select(k0.alias("k0"), k1.alias("k1"), "text").join(F.broadcast(wanted) if few else wanted, ["k0", "k1"])
+        return chosen.select("id", "text").mapInArrow(run, "id bigint, set array<bigint>").dropDuplicates(["id"])
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs(a, b) that link."""
@@ -168,8 +188,8 @@ def links(distinct: DataFrame, verified: Verifier) -> DataFrame:
         return reduce(Column.__add__, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITIES // 64)))
 
     # one exchange serves the count and the join
-    postings = distinct.select("id", "n", F.posexplode("prefix").alias("at", "key")).repartition("key")
-    more = postings.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    postings = distinct.select("id", "n", F.posexplode("prefix").alias("at", "key")).withColumn("first", F.col("at") < early(F.col("n"), s)).repartition("key")
+    more = postings.groupBy("key").agg(F.count("*").alias("many"), F.max("first").alias("any")).where("many > 1 and any").drop("any")
     lists = keep(postings.join(more, "key"), "lists")
     order = F.xxhash64("id").alias("order")
     heads = lists.groupBy("key").agg(F.min(F.struct("at", order, "id", "n")).alias("least"), F.max(F.struct(order, "id", "n", "at")).alias("other"))
@@ -178,22 +198,44 @@ def links(distinct: DataFrame, verified: Verifier) -> DataFrame:
     edges = verified(by_fingerprint(distinct).union(ends[0]).union(ends[1]).where("a <> b"))
     rooted = keep(lists.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    now = keep(rooted.join(apart, "key", "left_semi").join(distinct.select("id", "bits"), "id"), "apart")
+    split = rooted.join(apart.select("key"), "key", "left_semi").withColumn("class", size_class(F.col("n"), F.col("at")))
+    classes = split.groupBy("key", "class").agg(*(f("n").alias(f"n{k}") for k, f in enumerate((F.min, F.max))), F.max(F.col("n") - F.col("at")).alias("left"), F.max("first").alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("many"))
+    classes = keep(classes.withColumn("blocks", F.ceil(F.col("many") / BLOCK)), "classes")
+    now = keep(split.join(classes.select("key", "class", "blocks"), ["key", "class"]).join(distinct.select("id", "bits"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "apart")
     drop(lists, rooted)
-    x, y = (now.select("key", *(F.col(c).alias(c + k) for c in ("id", "n", "at", "root", "bits"))) for k in "xy")
+    # x is the smaller one of each pair, or as large
+    cx, cy = (classes.select("key", *(F.col(c).alias(c + k) for c in classes.columns[1:])) for k in "xy")
+    fit = F.least("leftx", "lefty") >= F.lit(s / (1 + s)) * (F.col("n0x") + F.greatest("n0x", "n0y")) - 1e-6
+    one_root = (F.col("r0x") == F.col("r1x")) & (F.col("r0x") == F.col("r0y")) & (F.col("r0x") == F.col("r1y"))
+    units = cx.where("firstx").join(cy, "key").where(F.col("n0x") <= F.col("n1y")).where(fit & ~one_root)
+    span = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    units = units.select("key", "classx", "classy", "blocksy", span("blocksx").alias("blockx")).select("key", "classx", "classy", "blockx", span("blocksy").alias("blocky"))
+    x, y = (now.select("key", *(F.col(c).alias(c + k) for c in ("class", "block", "id", "n", "at", "first", "root", "bits"))) for k in "xy")
+    met = units.join(x.where("firstx"), ["key", "classx", "blockx"]).join(y, ["key", "classy", "blocky"])
+    across = (F.col("rootx") != F.col("rooty")) & (F.struct("nx", "idx") < F.struct("ny", "idy")) & can(F.col("nx"), F.col("atx"), F.col("ny"), F.col("aty"))
     near = differ(F.col("bitsx"), F.col("bitsy")) <= F.lit((1 - s) / (1 + s)) * (F.col("nx") + F.col("ny")) + 1e-6
-    across = (F.col("rootx") != F.col("rooty")) & (F.col("idx") > F.col("idy")) & can(F.col("nx"), F.col("atx"), F.col("ny"), F.col("aty")) & near
-    return edges.union(verified(x.join(y, "key").where(across).select(F.col("idx").alias("a"), F.col("idy").alias("b"))))
+    out = edges.union(verified(met.where(across & near).select(F.col("idx").alias("a"), F.col("idy").alias("b"))))
+    drop(now, classes)
+    return out
+
+
+def size_class(n: Column, at: Column) -> Column:
+    """Sets of like size in which a list's shingle has like places: exact below 64, then sixteen sizes an octave."""
+    fine = F.floor(16 * F.log2(n / 64)) + 64
+    size, place = F.when(n < 64, n).otherwise(fine), F.when(n < 64, at).otherwise(F.floor(at * 64 / n))
+    return (size * 64 + place).cast("int")
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY, seed: int = 42) -> DataFrame:
     """docs(doc_id, text, ...) with one document of each group, all columns as they were."""
     prints = keep(prefixes_of(docs, size, seed, similarity), "prints")
     first = {c: F.first(c).alias(c) for c in ("n", "fp", "bits", "prefix")}
-    distinct = keep(prints.groupBy("c0", "c1").agg(F.min_by("kid", F.struct("doc_id", "kid")).alias("id"), F.min("doc_id").alias("doc_id"), *first.values()), "distinct")
+    grouped = prints.groupBy("c0", "c1").agg(F.min(F.struct("doc_id", "k0", "k1")).alias("least"), *first.values())
+    distinct = keep(grouped.select(F.monotonically_increasing_id().alias("id"), "least.*", *first), "distinct")
     drop(prints)
-    roots = components(links(distinct, Verifier(docs, size, seed, similarity)))
-    grouped = distinct.select("id", "doc_id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    kid = spare(docs.columns, "kid")
-    keepers = grouped.groupBy("root").agg(F.min_by("id", F.struct("doc_id", "id")).alias(kid)).select(kid)
-    return docs.withColumn(kid, key_of()).join(keepers, kid, "left_semi").dropDuplicates([kid]).select(*docs.columns)
+    roots = components(links(distinct, Verifier(docs, distinct, size, seed, similarity)))
+    rooted = distinct.select("id", "doc_id", "k0", "k1").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    n0, n1 = spare(docs.columns, "k0"), spare(docs.columns, "k1")
+    keepers = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "k0", "k1")).alias("least")).select(F.col("least.k0").alias(n0), F.col("least.k1").alias(n1))
+    k0, k1 = key_of()
+    return docs.withColumns({n0: k0, n1: k1}).join(keepers, [n0, n1], "left_semi").dropDuplicates([n0, n1]).select(*docs.columns)
