@@ -12,6 +12,7 @@ those of ``chunker.cuts`` of the whole content, ids are SHA-256. Empty contents
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ def candidates(before: bytes, data: bytes, at: int, polynomial: int, bits: int =
 
 
 def opened(path: str):
-    system, plain = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, plain = fs.FileSystem.from_uri(path) if re.match("[a-z][a-z0-9+.-]*:/", path) else (fs.LocalFileSystem(), path)
     return system.open_input_file(plain)
 
 

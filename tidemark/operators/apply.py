@@ -26,11 +26,23 @@ def mismatch(expected: Column, live: Column) -> Column:
     return F.when(expected["kind"] != live["kind"], "kind_mismatch").when(live["kind"] == "file", of_file).when(live["kind"] == "link", of_link)
 
 
-def guarded(plan: DataFrame, expected: DataFrame, live: DataFrame) -> DataFrame:
+def needless(desired: DataFrame, live: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """(path_str) of desired entries that are live already: equal with their times, or directories whatever their times."""
+    same = steps(desired, live, removed).where("action <> 'write'")
+    dirs = desired.where("kind = 'dir'").select("path_str").withColumn("is_dir", F.lit(True))
+    return same.join(dirs, "path_str", "left").where("action = 'skip' or is_dir").select("path_str")
+
+
+def guarded(plan: DataFrame, expected: DataFrame, live: DataFrame, desired: DataFrame | None = None) -> DataFrame:
     """plan(path_str, action: remove or upsert) against the base it was made for and the live tree: (path_str, reason) of each divergence.
 
-    An upsert over an expected directory is free; a removed directory must have below it exactly what the base has.
+    An upsert over an expected directory is free, and so is one of a ``desired`` entry that is live already; a removed
+    directory must have below it exactly what the base has.
     """
+    if desired is not None:
+        gone = plan.where("action = 'remove'").select("path_str")
+        free = needless(desired, live, gone).withColumn("action", F.lit("upsert"))
+        plan = plan.join(free, ["path_str", "action"], "left_anti")
     e, v = F.col("e"), F.col("v")
     sides = lambda df, name: df.select("path_str", state().alias(name))
     rows = plan.join(sides(expected, "e"), "path_str", "left").join(sides(live, "v"), "path_str", "left")
@@ -70,6 +82,28 @@ def steps(desired: DataFrame, live: DataFrame, removed: DataFrame | None = None,
     return rows.select("path_str", action.alias("action"))
 
 
+def phases(plan: DataFrame, desired: DataFrame, live: DataFrame) -> DataFrame:
+    """plan(path_str, action: remove or upsert) as it is carried out: (path_str, action, position), action one of remove, write, touch.
+
+    Removals go first, in descending order of paths, so what is inside goes before what holds it; writes follow in
+    ascending order; times are set last, in descending order, as writing inside a directory changes its own. What is
+    live as desired is left out, and a name that only differs by case from a removed one is written anew.
+    """
+    removed = plan.where("action = 'remove'").select("path_str")
+    wanted = desired.join(plan.where("action = 'upsert'").select("path_str"), "path_str", "left_semi")
+    each = steps(wanted, live, removed).join(wanted.select("path_str", F.col("kind") == "dir"), "path_str").toDF("path_str", "action", "is_dir")
+    writes = each.where("action = 'write'").select("path_str", F.lit("write").alias("action"))
+    touches = each.where("action = 'touch' or action = 'write' and is_dir").select("path_str", F.lit("touch").alias("action"))
+    todo = removed.select("path_str", F.lit("remove").alias("action")).union(writes).union(touches)
+    return positions(todo, [F.when(F.col("action") == "remove", 0).when(F.col("action") == "write", 1).otherwise(2), *_by_path(F.col("action") != "write")])
+
+
+def _by_path(down: Column) -> list[Column]:
+    """Paths by their components; descending where ``down`` says so."""
+    path = F.split("path_str", "/")
+    return [F.when(down, path).desc_nulls_first(), F.when(~down, path).asc_nulls_first()]
+
+
 def order(plan: DataFrame) -> DataFrame:
     """Removals deepest first, then upserts from the root down, as positions in a sorted table."""
     return plan.orderBy(*_order())
@@ -82,12 +116,17 @@ def _order() -> list[Column]:
 
 
 def order_position(plan: DataFrame) -> DataFrame:
-    """plan(path_str, action) with ``position``, from 0: the order of applying as a column.
+    """plan(path_str, action) with ``position``, from 0: the order of applying as a column."""
+    return positions(plan, _order())
+
+
+def positions(rows: DataFrame, by: list[Column]) -> DataFrame:
+    """rows with ``position``, from 0, in this order.
 
     Positions count the rows of earlier ranges of the sorted table, so no task holds more than its range.
     """
-    sorted_ = keep(plan.repartitionByRange(*_order()).sortWithinPartitions(*_order()).withColumn("m", F.monotonically_increasing_id()), "ordered")
+    sorted_ = keep(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("m", F.monotonically_increasing_id()), "ordered")
     part = F.shiftrightunsigned("m", 33)
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = sorted_.groupBy(part.alias("p")).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("p", "before")
-    return sorted_.withColumn("p", part).join(F.broadcast(starts), "p").select(*plan.columns, (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"))
+    return sorted_.withColumn("p", part).join(F.broadcast(starts), "p").select(*rows.columns, (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"))

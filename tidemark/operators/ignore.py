@@ -129,7 +129,7 @@ class Policy:
 
     def matcher(self):
         """decide(path, is_dir) with memos of directories; made where it runs."""
-        return _Matcher(self)
+        return Matcher(self)
 
     def ignored(self, path: Column, is_dir: Column) -> Column:
         """A boolean column, by an Arrow UDF."""
@@ -144,7 +144,7 @@ class Policy:
         return run(path, is_dir)
 
 
-class _Layer:
+class Layer:
     """Rules of one layer: the last that matches, found by name, by ending, or by expression."""
 
     def __init__(self, rules: list[Rule]):
@@ -166,11 +166,11 @@ class _Layer:
         return None if last is None else not self.rules[last].negated
 
 
-class _Matcher:
+class Matcher:
     def __init__(self, policy: Policy):
         self.marker = policy.marker
-        self.chain = _Layer(policy.chain)
-        self.overlays = {d: _Layer(r) for d, r in policy.overlays.items()}
+        self.chain = Layer(policy.chain)
+        self.overlays = {d: Layer(r) for d, r in policy.overlays.items()}
         self.dir_ignored = lru_cache(maxsize=100_000)(self._dir_ignored)
 
     def verdict(self, path: str, is_dir: bool) -> bool:

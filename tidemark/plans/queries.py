@@ -527,14 +527,16 @@ def _mismatch(e: str, v: str) -> str:
 @query(sn.SQL + f""", gone as (select path_str from d_local where bucket in ('removed', 'type_changed')),
 plan as (select path_str, 'remove' as action from gone union select b.path_str, 'remove' from base b join gone g on contains(b.path_str, '/') and split_part(b.path_str, '/', 1) = g.path_str union all select path_str, 'upsert' from d_local where bucket <> 'removed'),
 own as (select p.path_str, case when action = 'remove' then case when e.path_str is null then 'not_in_base' when v.path_str is null then 'expected_present' else {_mismatch('e', 'v')} end
+    when w.kind = 'dir' and v.kind = 'dir' or {_same('w', 'v')} then null
     else case when e.path_str is null then case when v.path_str is not null then 'expected_absent' end when v.path_str is null then 'expected_present' when e.kind <> 'dir' then {_mismatch('e', 'v')} end end as reason
-  from plan p left join base e on e.path_str = p.path_str left join remote v on v.path_str = p.path_str),
+  from plan p left join base e on e.path_str = p.path_str left join remote v on v.path_str = p.path_str left join local w on w.path_str = p.path_str),
 deep as (select coalesce(e.path_str, v.path_str) as path_str, case when e.path_str is null then 'expected_absent' when v.path_str is null then 'expected_present' else {_mismatch('e', 'v')} end as reason from base e full join remote v on e.path_str = v.path_str)
 select path_str, reason from own where reason is not null union all
 select path_str, reason from deep where reason is not null and contains(path_str, '/') and split_part(path_str, '/', 1) in (select path_str from plan where action = 'remove') and path_str not in (select path_str from plan where action = 'remove')""")
 def apply_guard(spark, table):
+    """Local's changes to a tree that is as remote has it: what is live as local has it needs nothing."""
     base, local, remote = versions(table)
-    return apply.guarded(d.applied(base, d.diff(base, local)), base, remote)
+    return apply.guarded(d.applied(base, d.diff(base, local)), base, remote, local)
 
 
 @query(sn.SQL + f" select e.path_str, case when v.path_str is null or ({_mismatch('e', 'v')}) is not null then 'write' when e.mtime_sec = v.mtime_sec and e.mtime_nsec = v.mtime_nsec then 'skip' else 'touch' end as action from remote e left join local v on e.path_str = v.path_str")

@@ -49,11 +49,14 @@ def chunk_text(chunks) -> F.Column:
 def snapshot_sql(version: str) -> str:
     """The same entries for the oracle: path_str, kind, exec, mtime_sec, mtime_nsec, chunks (as text), target."""
     v = VERSIONS[version]
+    one = "sha256(l_partkey || '/' || l_suppkey)"
     return f"""select 'c' || o_custkey || '/o' || o_orderkey as path_str, case when {v['link']} then 'link' else 'file' end as kind,
     ({v['exec']}) and not ({v['link']}) as exec, cast(epoch(o_orderdate) as bigint) + {v['time']} as mtime_sec, cast(o_orderkey % 1000 as int) as mtime_nsec,
-    case when {v['link']} then '' else coalesce((select string_agg(sha256(l_partkey || '/' || l_suppkey) || ':' || cast(l_quantity as bigint), ',' order by l_linenumber, sha256(l_partkey || '/' || l_suppkey), cast(l_quantity as bigint)) from lineitem where l_orderkey = o_orderkey and not ({v['drop']})), '') end as chunks,
-    case when {v['link']} then '../c' || o_custkey end as target
-  from orders left join customer on o_custkey = c_custkey where o_orderpriority <> '{v['absent']}' and not coalesce({v['flat']}, false)
+    case when {v['link']} then '' else coalesce(held, '') end as chunks, case when {v['link']} then '../c' || o_custkey end as target
+  from orders left join customer on o_custkey = c_custkey
+    left join (select l_orderkey, string_agg({one} || ':' || cast(l_quantity as bigint), ',' order by l_linenumber, {one}, cast(l_quantity as bigint)) as held
+      from lineitem join orders on o_orderkey = l_orderkey where not ({v['drop']}) group by l_orderkey) h on h.l_orderkey = o_orderkey
+  where o_orderpriority <> '{v['absent']}' and not coalesce({v['flat']}, false)
   union all
   select 'c' || o_custkey, case when bool_or(coalesce({v['flat']}, false)) then 'file' else 'dir' end, false, cast(max(epoch(o_orderdate)) as bigint), 0, '', null
   from orders left join customer on o_custkey = c_custkey where o_orderpriority <> '{v['absent']}' group by o_custkey"""

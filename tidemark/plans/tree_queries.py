@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.ranges import part_chunks
 from ..operators import diff as d
-from ..operators import store, trees
+from ..operators import regions, store, trees
+from ..session import scratch
+from ..sources import packs
 from . import snapshots as sn
+from .host_queries import BLOBS, blobs
 from .queries import POLYNOMIAL, query, versions
 
 
@@ -97,3 +100,36 @@ select files, dirs, links, cast((select coalesce(sum(try_cast(split_part(c, ':',
 def scan_pass(spark, table):
     base, local = versions(table, "base", "local")
     return store.scan_counts(local, d.diff(base, local).where("bucket <> 'removed'").select("after.*"), kept_up(table)[1])
+
+
+@query(
+    f"""with {BLOBS} select id, case when pr in ('1-URGENT', '5-LOW') then 'q' || o_custkey // 20 when pr = '3-MEDIUM' then 'p' || o_custkey // 20 end as pack,
+  case when pr in ('1-URGENT', '5-LOW', '4-NOT SPECIFIED') then body end as body, case pr when '2-HIGH' then 'hash_mismatch' when '3-MEDIUM' then 'disagreement' end as error from b"""
+)
+def blob_get_rounds(spark, table):
+    """Urgent orders' first pack is missing, low ones' is damaged there, high ones' everywhere; medium ones' index is wrong; the others are staged."""
+    b, folder = blobs(table).withColumn("group", F.floor(F.col("o_custkey") / 20).cast("string")), scratch(spark, "packs")
+    bad = lambda *kinds: F.when(F.col("pr").isin(*kinds), F.concat(F.lit(b"!"), "body")).otherwise(F.col("body"))
+    kept = b.where("pr <> '4-NOT SPECIFIED'")
+    first = kept.where("pr <> '1-URGENT'").select(F.concat(F.lit("p"), "group").alias("pack"), "id", bad("2-HIGH", "5-LOW").alias("body"))
+    second = kept.select(F.concat(F.lit("q"), "group").alias("pack"), "id", bad("2-HIGH").alias("body"))
+    index = packs.write(first.union(second), folder).withColumn("ord", F.when(F.startswith("pack", F.lit("p")), 0).otherwise(1))
+    moved = kept.where("pr = '3-MEDIUM'").select("id", F.lit(1).alias("by"))
+    index = index.join(moved, "id", "left").withColumn("plain_off", F.col("plain_off") + F.when(F.col("ord") == 0, F.coalesce("by", F.lit(0))).otherwise(0)).drop("by")
+    gone = kept.where("pr = '1-URGENT'").select("id", F.concat(F.lit("gone"), "group").alias("pack"), F.lit(0).cast("bigint").alias("plain_off"), F.lit(1).cast("bigint").alias("plain_len"), F.lit(0).alias("ord"))
+    out = packs.get(b.select("id"), index.unionByName(gone), folder, b.where("pr = '4-NOT SPECIFIED'").select("id", "body"))
+    return out.withColumn("body", F.col("body").cast("string"))
+
+
+@query("""with d as (select doc_id, octet_length(encode(coalesce(text, ''))) as n from documents)
+select doc_id, cast(case when n > 0 and doc_id % 3 = 1 then doc_id % n // 100 when n > 0 and doc_id % 3 = 2 then n // 2 // 100 end as int) as mismatch from d""")
+def region_mismatch(spark, table):
+    """Regions of a hundred bytes; every third document has another byte somewhere, every third is cut in the middle."""
+    docs = table("documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("was"))
+    n = F.length("was")
+    body = lambda i: F.substring("was", (i * 100 + 1).cast("int"), F.lit(100))
+    listed = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 100)), lambda i: F.struct(F.sha2(body(i), 256).alias("id"), F.length(body(i)).cast("bigint").alias("len"))))
+    at, none = (F.col("doc_id") % F.greatest(n, F.lit(1))).cast("int"), F.array().cast("array<struct<id:string,len:bigint>>")
+    other = F.concat(F.substring("was", F.lit(1), at), F.lit(b"\x00"), F.substring("was", at + 2, n))
+    live = F.when(F.col("doc_id") % 3 == 1, other).when(F.col("doc_id") % 3 == 2, F.substring("was", F.lit(1), F.floor(n / 2).cast("int"))).otherwise(F.col("was"))
+    return docs.select("doc_id", regions.first_mismatch(live, F.coalesce(listed, none)).alias("mismatch"))

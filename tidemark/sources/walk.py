@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import stat
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.chunker import BITS, LEAST, MOST
 from ..functions.names import nfc
 from ..functions.paths import components
+from ..operators.ignore import Policy, Layer, compile_rules, layers
 from ..session import keep, ship
 from .files import snapshot
 
@@ -84,6 +88,109 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     return out.select(components(name).alias("path"), name.alias("path_str"), *out.columns)
 
 
+#: Names of files whose lines are rules for the directory they are in; those of the root hold for the whole tree.
+RULE_FILES = (".gitignore", "tidemark.ignore")
+RULES = "array<struct<dir:string,lines:array<string>>>"
+
+
+@dataclass(frozen=True)
+class RuleSet:
+    """What a walk obeys: rule files by name, in the order in which they hold, presets, and rules that override all."""
+
+    names: tuple[str, ...] = RULE_FILES
+    presets: tuple[str, ...] = ()
+    overrides: tuple[str, ...] = ()
+
+
+def rule_lines(folder: str, names: tuple[str, ...]) -> list[list[str]]:
+    """The lines of each of a directory's rule files; none of one that isn't there or isn't text."""
+    out = []
+    for name in names:
+        try:
+            with open(os.path.join(folder, name), encoding="utf-8") as f:
+                out.append(f.read().splitlines())
+        except (FileNotFoundError, IsADirectoryError, PermissionError, UnicodeDecodeError):
+            out.append([])
+    return out
+
+
+class Decider:
+    """Decisions for the entries of directories whose rules came with them; layers are compiled once."""
+
+    def __init__(self, chain: list[str]):
+        self.matcher, self.layer = Policy(chain).matcher(), lru_cache(maxsize=10_000)(lambda lines: Layer(compile_rules(lines)))
+
+    def ignored(self, path: str, is_dir: bool, rules: list[tuple[str, tuple[str, ...]]]) -> bool:
+        self.matcher.overlays = {d: self.layer(lines) for d, lines in rules}
+        return self.matcher.decide(path, is_dir)
+
+
+def admitted_below(dirs: DataFrame, root: str, chain: list[str], rules: RuleSet) -> DataFrame:
+    """``FOUND`` and ``rules`` of the children of dirs(raw, rules) that no rule ignores.
+
+    A directory's own rule files are read with it, and handed down with those of the directories above.
+    """
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decider = Decider(chain)
+        for pdf in parts:
+            rows = []
+            for up, above in zip(pdf["raw"], pdf["rules"]):
+                folder = os.path.join(root, up) if up else root
+                here = [(r["dir"], tuple(r["lines"])) for r in above]
+                if up and (own := [x for lines in rule_lines(folder, rules.names) for x in lines]):
+                    here.append((unicodedata.normalize("NFC", up), tuple(own)))
+                down = [{"dir": d, "lines": list(x)} for d, x in here]
+                try:
+                    children = os.scandir(folder)
+                except FileNotFoundError:
+                    continue
+                with children:
+                    for e in children:
+                        try:
+                            row = None if not up and e.name == STORE else entry(f"{up}/{e.name}" if up else e.name, e)
+                        except FileNotFoundError:
+                            continue
+                        if row and not decider.ignored(row[0], row[1] == "dir", here):
+                            rows.append((*row, down if row[1] == "dir" else None))
+                        if len(rows) >= LISTED:
+                            yield pd.DataFrame(rows, columns=[*names, "rules"])
+                            rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=[*names, "rules"])
+
+    return dirs.select("raw", "rules").mapInPandas(run, f"{FOUND}, rules {RULES}")
+
+
+def walk_admitted(spark: SparkSession, root: str, rules: RuleSet | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``walk`` gives of all that no rule ignores, and the directories that were listed for it: raw.
+
+    Rules are read on the way down: each level reads the rule files of its directories, hands their lines on as a column,
+    and doesn't go into what they ignore. Only the root's own files are read first, as they hold for the whole tree.
+    """
+    ship(spark)
+    rules = rules or RuleSet()
+
+    def read_root(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame([(lines,) for _ in pdf["raw"] for lines in rule_lines(root, rules.names)], columns=["lines"])
+
+    own = [r.lines for r in spark.createDataFrame([("",)], "raw string").repartition(1).mapInPandas(read_root, "lines array<string>").collect()]
+    chain = layers(rules.presets, [], [x for lines in own for x in lines], rules.overrides)
+    here, levels, listed_dirs = spark.createDataFrame([("", [])], f"raw string, rules {RULES}"), [], []
+    while True:
+        listed_dirs.append(here.select("raw"))
+        levels.append(keep(admitted_below(here, root, chain, rules), "level"))
+        here = levels[-1].where("kind = 'dir'").select("raw", "rules")
+        if here.isEmpty():
+            break
+        here = here.repartition("raw")
+    out, seen = reduce(DataFrame.union, levels), reduce(DataFrame.union, listed_dirs)
+    name = nfc(F.col("raw"))
+    return out.select(components(name).alias("path"), name.alias("path_str"), *[c.split()[0] for c in FOUND.split(", ")]), seen
+
+
 def contents(files: DataFrame, root: str) -> DataFrame:
     """files(raw, ...) with ``content``, read one by one; a file that vanished meanwhile is left out."""
 
@@ -102,9 +209,9 @@ def contents(files: DataFrame, root: str) -> DataFrame:
     return files.mapInArrow(run, f"{', '.join(f'`{c}` {k}' for c, k in files.dtypes)}, content binary")
 
 
-def full_snapshot(spark: SparkSession, root: str, polynomial: int, prior: DataFrame | None = None, least: int = LEAST, most: int = MOST, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """(entries, refused: path_str) of a walk; files whose size, times and flag are those of ``prior`` keep its chunks and aren't read."""
-    found = keep(walk(spark, root), "walked")
+def full_snapshot(spark: SparkSession, root: str, polynomial: int, prior: DataFrame | None = None, least: int = LEAST, most: int = MOST, bits: int = BITS, rules: RuleSet | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, refused: path_str) of a walk, of all or of what ``rules`` admit; files whose size, times and flag are those of ``prior`` keep its chunks and aren't read."""
+    found = keep(walk(spark, root) if rules is None else walk_admitted(spark, root, rules)[0], "walked")
     files = found.where("kind = 'file'")
     fresh = files if prior is None else files.join(prior.where("kind = 'file'").select("path_str", *STAT), ["path_str", *STAT], "left_anti").select(files.columns)
     out = snapshot(contents(fresh, root), polynomial, None, least, most, bits).where("kind = 'file'")
