@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import unicodedata
 
 import pandas as pd
@@ -74,3 +76,11 @@ def case_collisions(entries: DataFrame, composed: bool = False) -> DataFrame:
     name = F.col("name") if composed else nfc(F.col("name"))
     named = entries.select("parent", name.alias("name")).distinct()
     return named.groupBy("parent", fold_key(F.col("name"), True).alias("fold")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def spare(taken: Iterable[str], name: str) -> str:
+    """``name`` for a column that is added for a while, with as many underscores before it as make it none of ``taken``, whatever their case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name

@@ -12,8 +12,10 @@ def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (kind, id) reachable from roots(kind, id) over edges(parent, kind, id), roots included.
 
     Level by level: each round joins only what the last one found. Every level is a written table, so lineage stays
-    short whatever the depth; shared subtrees are met once.
+    short whatever the depth; shared subtrees are met once. Edges are written once, so a level reads them, not what they
+    were made of.
     """
+    edges = keep(edges.select("parent", "kind", "id"), "edges")
     seen = keep(roots.select("kind", "id").distinct(), "level")
     levels = [seen]
     frontier = seen
@@ -21,7 +23,7 @@ def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
         found = frontier.select(F.col("id").alias("parent")).distinct().join(edges, "parent").select("kind", "id").distinct()
         frontier = keep(found.join(seen, ["kind", "id"], "left_anti"), "level")
         if frontier.isEmpty():
-            drop(frontier)
+            drop(frontier, edges)
             return seen
         levels.append(frontier)
         seen = seen.union(frontier)

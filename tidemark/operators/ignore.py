@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import proper_ancestors
@@ -115,6 +115,30 @@ def bad_lines(lines: Iterable[str]) -> int:
     return sum(1 for x in lines if x.rstrip() and not x.startswith("#") and compile_line(x) is None)
 
 
+class BadPattern(ValueError):
+    """A pin's pattern that is no glob."""
+
+
+def validated_pins(patterns: list[str]) -> list[str]:
+    """The patterns of a pin, if all can be compiled; a pin on everything needs no other."""
+    if "*" not in patterns:
+        for line in patterns:
+            if bad_lines([line]):
+                raise BadPattern(f"bad pattern: {line}")
+    return patterns
+
+
+def bad_pins(pins: DataFrame, pin: str, pattern: str) -> DataFrame:
+    """(pin, pattern) of pins that are refused: each pattern that can't be compiled, of pins that don't hold everything."""
+
+    @F.pandas_udf("boolean")
+    def bad(lines: pd.Series) -> pd.Series:
+        return pd.Series([x is not None and bad_lines([x]) > 0 for x in lines], dtype="bool")
+
+    every = pins.where(F.col(pattern) == "*").select(pin).distinct()
+    return pins.join(every, pin, "left_anti").where(bad(F.col(pattern))).select(pin, pattern)
+
+
 def layers(config_presets: Iterable[str] = (), root_git: Iterable[str] = (), root_rules: Iterable[str] = (), overrides: Iterable[str] = ()) -> list[str]:
     """All lines that hold for the whole tree, weakest first."""
     return [*DEFAULT_RULES, *root_git, *root_rules, *(x for p in config_presets for x in preset_lines(p)), *overrides]
@@ -219,7 +243,7 @@ def event_dropped(path: Column, rules: list[Rule], store: str = ".store") -> Col
 
 def held_column(path: Column, patterns: list[str]) -> Column:
     """Whether a pin holds a path: '*' holds all; else a match of it or of an ancestor, or a pattern below it."""
-    if "*" in patterns:
+    if "*" in validated_pins(patterns):
         return F.lit(True)
     rules = compile_rules(patterns)
     match = verdict_column(path, F.lit(False), rules) | F.exists(proper_ancestors(F.split(path, "/")), lambda p: verdict_column(p, F.lit(True), rules))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import spare
 from .ordered import with_previous
 
 CONFLICTS_KEPT, CONFLICTS_MOST, LOG_KEPT, FINDINGS_SHOWN, SUGGESTIONS = 1024, 4096, 100, 20, 8
@@ -55,8 +56,9 @@ def held_summary(held: DataFrame) -> DataFrame:
 
 def keep_last(log: DataFrame, keys: list[str], order: list[Column], n: int = CONFLICTS_KEPT) -> DataFrame:
     """The last n rows of each key."""
+    rn = spare(log.columns, "rn")
     back = Window.partitionBy(*keys).orderBy(*order)
-    return log.withColumn("_rn", F.row_number().over(back)).where(F.col("_rn") <= n).drop("_rn")
+    return log.withColumn(rn, F.row_number().over(back)).where(F.col(rn) <= n).drop(rn)
 
 
 def compacted(log: DataFrame, keys: list[str], order: list[Column], most: int = CONFLICTS_MOST, kept: int = CONFLICTS_KEPT) -> DataFrame:
@@ -68,9 +70,9 @@ def compacted(log: DataFrame, keys: list[str], order: list[Column], most: int =
 
 def changes(states: DataFrame, key: str, order: list[str], watched: list[str]) -> DataFrame:
     """The rows at which any watched column differs from the row before of its key, the first included."""
-    w = Window.partitionBy(key).orderBy(*order)
-    now = F.struct(*watched)
-    return states.withColumn("_before", F.lag(now).over(w)).where(~F.col("_before").eqNullSafe(now)).drop("_before")
+    before = spare(states.columns, "before")
+    seen = with_previous(states, key, order, F.struct(F.struct(*watched).alias("s")), before)
+    return seen.where(~F.col(before)["s"].eqNullSafe(F.struct(*watched))).drop(before)
 
 
 def activity_log(events: DataFrame, key: str, order: list[str], kept: int = LOG_KEPT) -> DataFrame:

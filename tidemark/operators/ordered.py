@@ -86,17 +86,20 @@ class Cut:
 
 
 def exits(rule: Fit | Cut, before: np.ndarray) -> list[tuple[int, int, int]]:
-    """Of a bin that starts at each item: items and size of the last bin at the end of the block, and the bins begun since."""
-    nxt, m, total = rule.next_starts(before).tolist(), len(before) - 1, int(before[-1])
-    out: list = [None] * (m + 1)
-    for k in range(m, -1, -1):
-        j = nxt[k]
-        if j <= m and j != k:
-            n, size, bins = out[j]
-            out[k] = n, size, bins + 1
-        else:
-            out[k] = m - k, total - int(before[k]), 0
-    return out
+    """Of a bin that starts at each item: items and size of the last bin at the end of the block, and the bins begun since.
+
+    Where the next bin of the next bin starts, and of four, of eight: by doubling all bins reach their last one at once.
+    """
+    m, total = len(before) - 1, int(before[-1])
+    at = np.arange(m + 1)
+    nxt = rule.next_starts(before)
+    leap, begun = np.where((nxt <= m) & (nxt != at), nxt, at), ((nxt <= m) & (nxt != at)).astype(np.int64)
+    while True:
+        further = leap[leap]
+        if (further == leap).all():
+            break
+        begun, leap = begun + begun[leap], further
+    return list(zip((m - leap).tolist(), (total - before[leap]).tolist(), begun.tolist()))
 
 
 def segments(pdf: pd.DataFrame, key: str, length: str):

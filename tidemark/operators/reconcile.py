@@ -17,13 +17,16 @@ from ..session import keep
 from .diff import bucket, diff
 
 
-def newer_is_local(l: Column, r: Column, local_device: str, remote_device: str) -> Column:
-    """Whether the local state has the larger time; the larger device id decides a tie, and remote a tie of those."""
+def newer_is_local(l: Column, r: Column, local_device: str, remote_device: str | Column) -> Column:
+    """Whether the local state has the larger time; the larger device id decides a tie, and remote a tie of those.
+
+    The remote device may be a column, where rows are of several peers.
+    """
     a, b = F.struct(l["mtime_sec"], l["mtime_nsec"]), F.struct(r["mtime_sec"], r["mtime_nsec"])
-    return F.when(a == b, F.lit(local_device > remote_device)).otherwise(a > b)
+    return F.when(a == b, F.lit(local_device) > (F.lit(remote_device) if isinstance(remote_device, str) else remote_device)).otherwise(a > b)
 
 
-def decide(base: DataFrame, local: DataFrame, remote: DataFrame, local_device: str, remote_device: str) -> DataFrame:
+def decide(base: DataFrame, local: DataFrame, remote: DataFrame, local_device: str, remote_device: str | Column) -> DataFrame:
     """path, path_str, b, l, r, decision (nothing, keep_local, apply_remote, conflict), conflict, winner."""
     mine = diff(base, local).select("path_str", F.col("path").alias("p1"), F.struct("before", "after").alias("m"))
     theirs = diff(base, remote).select("path_str", F.col("path").alias("p2"), F.struct("before", "after").alias("t"))
@@ -45,7 +48,7 @@ def decide(base: DataFrame, local: DataFrame, remote: DataFrame, local_device: s
     )
     conflict = F.when(~present, "delete_vs_edit").when(b.isNull(), "add_vs_add").otherwise("both_changed")
     winner = F.when(r.isNull(), "local").when(l.isNull(), "remote").when(local_newer, "local").otherwise("remote")
-    rows = views.withColumn("decision", decision)
+    rows = views.withColumn("decision", decision)  # views have ``path``, of which a column of the remote device may be made
     is_conflict = F.col("decision") == "conflict"
     return rows.withColumns({"conflict": F.when(is_conflict, conflict), "winner": F.when(is_conflict, winner)})
 
@@ -84,7 +87,7 @@ def references(snapshot: DataFrame) -> DataFrame:
     return snapshot.select(F.explode("chunks").alias("c")).select("c.id").distinct()
 
 
-def reconcile(base: DataFrame, local: DataFrame, remote: DataFrame, local_device: str, remote_device: str) -> Plan:
+def reconcile(base: DataFrame, local: DataFrame, remote: DataFrame, local_device: str, remote_device: str | Column) -> Plan:
     d = keep(decide(base, local, remote, local_device, remote_device), "decisions")  # all tables below read it
     won = F.col("winner")
     writes = d.where((F.col("decision") == "apply_remote") | (won == "remote")).select("path", "path_str", F.col("b").alias("base"), F.col("r").alias("result"))

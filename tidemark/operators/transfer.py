@@ -75,6 +75,7 @@ def pull_rounds(roots: DataFrame, children: DataFrame, limit: int = ROUNDS) -> t
 
     Each round asks for the children of the one before that no round asked for, the roots in round 1.
     """
+    children = keep(children.select("id", "child"), "children")
     front = keep(roots.select("id").distinct().withColumn("round", F.lit(1)), "round")
     seen, n = front, 1
     while True:
@@ -82,7 +83,7 @@ def pull_rounds(roots: DataFrame, children: DataFrame, limit: int = ROUNDS) -> t
         front = keep(found.withColumn("round", F.lit(n + 1)), "round")
         left = front.count()
         if not left or n == limit:
-            drop(front)
+            drop(front, children)
             return seen, left
         seen, n = seen.union(front), n + 1
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import spare
+from ..operators.ordered import with_previous
 from ..sources.files import CONFLICT
 
 QUIET = "500 milliseconds"
@@ -73,11 +75,11 @@ def ui_states(events: DataFrame, key: str = "folder_id") -> DataFrame:
 
 def root_edges(seen: DataFrame, key: str, order: list[str]) -> DataFrame:
     """seen(key, ..., present): the rows at which a root vanished or returned; a return asks for a full rescan."""
-    from pyspark.sql import Window
-
-    before = F.lag("present").over(Window.partitionBy(key).orderBy(*order))
+    was = spare(seen.columns, "was")
+    rows = with_previous(seen, key, order, F.struct("present"), was)
+    before = F.col(was)["present"]
     edge = F.when(before & ~F.col("present"), "root_vanished").when(~before & F.col("present"), "root_returned")
-    return seen.withColumn("signal", edge).where("signal is not null")
+    return rows.withColumn("signal", edge).where("signal is not null").drop(was)
 
 
 def polling(signals: DataFrame, keys: list[str]) -> DataFrame:
