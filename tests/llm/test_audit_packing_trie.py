@@ -273,3 +273,46 @@ def test_top_k_without_ids(spark, monkeypatch):
         assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == want
     monkeypatch.setattr(topk, "AT_ONCE", 2)
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in topk.top_k(frame, frame.where("vec_id % 10 = 0"), 3).collect()) == want
+
+
+# pages: wrappers, attributes and menus without an end
+
+from tidemark.llm import html_text  # noqa: E402
+
+
+def texts(body):
+    return [t for t, level in html_text.lines_of(f"<html><body>{body}</body></html>") if level != html_text.FURNISHED]
+
+
+@pytest.mark.parametrize(
+    "body, lines",
+    [
+        ("<form><input><article><p>Body</p></article><p>after</p></form>", ["Body", "after"]),
+        ("<form><p>search</p></form><main><p>Body</p></main>", ["Body"]),
+        ("<form><article class='comments'><p>nice</p></article></form><p>Body</p>", ["Body"]),
+        ("<article><p data-x='is hidden here'>One</p><p title=\"the hidden cost\">two</p><p hidden>three</p><p hidden=''>four</p><p data-hidden>five</p></article>", ["One", "two", "five"]),
+        ("<article><p aria-hidden=true>a</p><p aria-hidden='false'>b</p><p style='display : none'>c</p><p title='display:none'>d</p></article>", ["b", "d"]),
+        ("<article><section class='search'><p>About search</p></section><div role=search>box</div><div class='comments'><p>x</p></div></article>", ["About search"]),
+        ("<section class='search'><p>box</p></section><p>Body</p>", ["Body"]),
+        ("<nav><a>Home</a><a>More</a><div><p>Body</p></div><p>end</p>", ["Body", "end"]),
+        ("<nav><div><p>menu</p></div></nav><p>Body</p>", ["Body"]),
+        ("<nav><ul><li>menu</ul><div class='sidebar'><p>side</p></div><p>Body</p>", ["Body"]),
+        ("<footer><p>imprint</p><div>address", []),
+        ("<aside><article><p>teaser</p></article></aside><p>Body</p>", ["Body"]),
+    ],
+)
+def test_wrappers_attributes_and_open_menus(body, lines):
+    assert texts(body) == lines
+
+
+def test_pages_of_many_open_tags_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<nav>" * n + "<div hidden class=" + "x " * n + "<p>" * n
+        began = time.perf_counter()
+        html_text.lines_of(page)
+        return time.perf_counter() - began
+
+    seconds(1_000)
+    assert seconds(40_000) < 12 * seconds(10_000) + 0.5

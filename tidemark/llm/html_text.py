@@ -44,8 +44,12 @@ FURNISHED, OPEN, CONTENT = 0, 1, 2
 
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"""[>"']""")
-MARKED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
+UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
+#: Elements that give way where content begins inside, as pages may be one form.
+WRAPPERS = frozenset("form header dialog".split())
+#: What a menu doesn't hold: where one of these begins, a menu that is closed nowhere has ended.
+BODIES = frozenset("div h1 h2 h3 h4 h5 h6 p section table".split())
 
 
 def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -97,17 +101,28 @@ def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
             yield start, at, bool(m[1]), name, attrs
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Names, lower-cased, and values of a tag's attributes; the first of several of one name counts."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), value.strip("\"'"))
+    return out
+
+
 def is_furniture(name: str, attrs: str, level: int) -> bool:
     if name in FURNITURE or name == "header" and level == OPEN:
         return True
     if not attrs.strip() or name in ("html", "body", "main") or name in HEADINGS or name == "article" and level == OPEN:
         return False
-    if HIDDEN.search(attrs):
+    own = attributes(attrs)
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or UNSHOWN.search(own.get("style", "")):
         return True
-    for value in MARKED.findall(attrs):
-        for mark in value.strip("\"'").lower().split():
+    for key in ("class", "id", "role"):
+        for mark in own.get(key, "").lower().split():
             words = {w for w in re.split(r"[^a-z0-9]+", mark) if w}
-            if words & MARKS and words <= MARKS | NEUTRAL or level == OPEN and words <= {"header", "masthead", *NEUTRAL} and words - NEUTRAL:
+            # an article's own section may be about a search
+            marks = words & MARKS if level == OPEN or key == "role" else words & MARKS - {"search"}
+            if marks and words <= MARKS | NEUTRAL or level == OPEN and words <= {"header", "masthead", *NEUTRAL} and words - NEUTRAL:
                 return True
     return False
 
@@ -118,6 +133,13 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
     buffer: list[str] = []
     at, inside, skip, depth = 0, {"article": 0, "main": 0}, "", 0
     page = page or ""
+    closings: dict[str, int] = {}
+
+    def is_closed(name: str, start: int) -> bool:
+        """Whether the element is closed anywhere from here on."""
+        if name not in closings:
+            closings[name] = max((m.start() for m in re.finditer(rf"</{name}\b", page, re.I)), default=-1)
+        return closings[name] >= start
 
     def level() -> int:
         return FURNISHED if skip else CONTENT if any(inside.values()) else OPEN
@@ -136,7 +158,14 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         elif not close and not skip and name and name not in VOID and is_furniture(name, attrs, level()):
             flush()
             if not attrs.endswith("/"):
-                skip, depth = name, 1
+                skip, depth, endless = name, 1, name == "nav" and not is_closed(name, end)
+        elif skip and not close and (skip in WRAPPERS and name in inside and not any(inside.values()) and not is_furniture(name, attrs, CONTENT) or endless and name in BODIES):
+            flush()
+            skip, depth = "", 0
+            if name in inside:
+                inside[name] += 1
+            elif is_furniture(name, attrs, OPEN) and not attrs.endswith("/"):
+                skip, depth, endless = name, 1, False
         elif skip and (name == skip or close and name in ("article", "main", "body", "html")):
             depth += -1 if close else 0 if attrs.endswith("/") else 1
             if name != skip or not depth:
