@@ -12,9 +12,10 @@ How it runs: texts are coded in batches of about ``BATCH_TOKENS`` tokens, each w
 hash. A batch asks for every distinct word and word pair once, in one row for each bucket, so a frequent word or pair
 is one entry a batch and no bucket gets hot by it; contexts so frequent that their pairs would fill a bucket are dealt
 over all buckets by pair. A bucket sums what its batches counted, keeps its part of the count tables, and answers each
-batch in the order of its question. Counts of counts and the (at most ``4 * buckets``) frequent contexts are all that
-reaches the driver. Buckets grow in number with the documents, not in size, and exchanges have as many partitions as
-there are buckets or batches, so a task holds one or a few of them. Words are known by a hash of 64 bits: two words of
+batch in the order of its question. What the buckets know of a frequent context is summed where its word is, and goes
+from there to the batches that have it. Counts of counts, a row a bucket, are all that reaches the driver. Buckets grow in
+number with the documents, not in size; exchanges have a partition for each bucket or batch, ``PARTITIONS`` at most, and a
+task has one bucket or batch in memory at a time. Words are known by a hash of 64 bits: two words of
 one hash, which 10^9 distinct words make likely once in 40 corpora, count as one.
 
 Null texts count as empty; an empty text is one end token. Rows with a null id are taken as id text ''. Repeated rows
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ from .simhash import LOWER
 K = 5
 BATCH_TOKENS = 2_000_000
 ROWS_PER_BUCKET = 2_000
+#: Partitions of an exchange at most.
+PARTITIONS = 10_000
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -232,7 +236,7 @@ def score(docs: DataFrame, train_where=None) -> DataFrame:
     learn = ~held_out(F.col("doc_id"), 7) if train_where is None else train_where
     coded = code(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", learn.alias("train")), buckets)
     batches = max(1, coded.where("kind = 'd'").count())
-    words = keep(coded.where("kind = 'w'").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count_words, ANSWER), "words")
+    words = keep(coded.where("kind = 'w'").repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(count_words, ANSWER), "words")
     stats = np.zeros(K + 4, np.int64)
     stride = 1
     for r in words.where("kind = 'stats'").select("a").toLocalIterator():
@@ -260,9 +264,16 @@ def score(docs: DataFrame, train_where=None) -> DataFrame:
             if i < j:
                 at = np.flatnonzero(np.concatenate([[True], batch.u[i + 1 : j] != batch.u[i : j - 1]]))
                 rows.append({"kind": "p", "batch": batch.row["batch"], "bucket": b, "a": pack(np.stack([ids[batch.u[i:j][at]], np.diff(np.append(at, j - i)), counts[batch.u[i:j][at]] > limit]).astype("<i8")), "b": pack(ids[batch.w[i:j]].astype(wide)), "c": pack(np.stack([seen[i:j], counts[batch.w[i:j]]]).astype("<u4"))})
+        often = np.flatnonzero(counts > limit)
+        for b in np.unique(batch.word_bucket[often]).tolist():
+            rows.append({"kind": "wants", "batch": batch.row["batch"], "bucket": b, "a": pack(ids[often][batch.word_bucket[often] == b].astype("<i8"))})
         return table(ANSWER, rows)
 
     def count_pairs(group: pa.Table) -> pa.Table:
+        bucket, rows = group["bucket"][0].as_py(), [r for r in group.to_pylist() if r["kind"] == "wants"]
+        group = group.filter(pa.compute.equal(group["kind"], "p"))
+        if not len(group):
+            return table(ANSWER, rows)
         asked = [unpack(a, "<i8").reshape(3, -1) for a in group["a"].to_pylist()]
         w = np.concatenate([unpack(b, wide) for b in group["b"].to_pylist()]).astype(np.int64)
         seen, of_w = np.concatenate([unpack(c, "<u4").reshape(2, -1) for c in group["c"].to_pylist()], 1).astype(np.int64)
@@ -277,7 +288,7 @@ def score(docs: DataFrame, train_where=None) -> DataFrame:
         p[at] = uni.p(of_w)
         u_of, there = key // max(1, len(followers)), count > 0
         info = np.stack([*(np.bincount(u_of[count == c], minlength=len(contexts)) for c in range(1, K + 1)), np.bincount(u_of[there], weights=p[there], minlength=len(contexts))]).astype(float)
-        bucket, rows, i, k = group["bucket"][0].as_py(), [], 0, 0
+        i = k = 0
         for batch, a in zip(group["batch"].to_pylist(), asked):
             n = int(a[1].sum())
             few, mass = info[:K, u_at[k : k + a.shape[1]]].astype("<u4"), info[K, u_at[k : k + a.shape[1]]]
@@ -285,25 +296,36 @@ def score(docs: DataFrame, train_where=None) -> DataFrame:
             i, k = i + n, k + a.shape[1]
         kept = key[there]
         rows.append({"kind": "table", "bucket": bucket, "a": pack(np.stack([contexts, np.bincount(u_of[there], minlength=len(contexts))]).astype("<i8")), "b": pack(followers[kept % max(1, len(followers))].astype(wide)), "c": pack(count[there].astype("<u4"))})
-        rows.append({"kind": "heavy", "bucket": bucket, "a": pack(contexts[is_heavy].astype("<i8")), "b": pack(info[:, is_heavy])})
+        home = contexts // stride
+        for b in np.unique(home[is_heavy]).tolist():
+            here = is_heavy & (home == b)
+            rows.append({"kind": "heavy", "bucket": b, "a": pack(contexts[here].astype("<i8")), "b": pack(info[:, here])})
         rows.append({"kind": "stats", "bucket": bucket, "a": counts_of_counts(count).astype("<i8").tobytes()})
         return table(ANSWER, rows)
 
     texts, told = coded.where("kind = 'd'").select("batch", "ids", "train", "sizes", "tokens", "hashes", "counts", "end"), words.where("kind = 'words'")
-    by_batch = lambda df: df.repartition(batches, "batch").groupBy("batch")
+    by_batch = lambda df: df.repartition(min(batches, PARTITIONS), "batch").groupBy("batch")
     asked = by_batch(texts).cogroup(by_batch(told)).applyInArrow(ask, ANSWER)
-    pairs = keep(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count_pairs, ANSWER), "pairs")
+    pairs = keep(asked.repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(count_pairs, ANSWER), "pairs")
     n_pairs = np.zeros(K + 2, np.int64)
     for r in pairs.where("kind = 'stats'").select("a").toLocalIterator():
         n_pairs += np.frombuffer(r["a"], "<i8")
     d = discounts(n_pairs)
     d[0] = 1
-    frequent: dict[int, np.ndarray] = {}
-    for r in pairs.where("kind = 'heavy'").select("a", "b").toLocalIterator():
-        ids = unpack(r["a"], "<i8")
-        for i, x in zip(ids.tolist(), unpack(r["b"], "<f8").reshape(K + 1, -1).T):
-            frequent[i] = frequent.get(i, 0) + x
-    names = spark.sparkContext.broadcast(frequent)  # at most 4 * buckets of K + 1 numbers
+
+    def summed(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        """What is known of the frequent contexts of a bucket, to each batch that has some of them."""
+        known: dict[int, np.ndarray] = {}
+        for r in left.to_pylist():
+            for i, x in zip(unpack(r["a"], "<i8").tolist(), unpack(r["b"], "<f8").reshape(K + 1, -1).T):
+                known[i] = known.get(i, 0) + x
+        out = []
+        for r in right.to_pylist():
+            out.append({"kind": "names", "batch": r["batch"], "bucket": r["bucket"], "a": r["a"], "b": pack(np.stack([known[i] for i in unpack(r["a"], "<i8").tolist()]).astype("<f8"))})
+        return table(ANSWER, out)
+
+    by_home = lambda kind: pairs.where(F.col("kind") == kind).repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket")
+    names = by_home("heavy").cogroup(by_home("wants")).applyInArrow(summed, ANSWER)
     result = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
     def evaluate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -316,8 +338,12 @@ def score(docs: DataFrame, train_where=None) -> DataFrame:
                 c_pair[i:j] = unpack(r["a"], "<u4")
                 here = batch.u[i:j][np.concatenate([[True], batch.u[i + 1 : j] != batch.u[i : j - 1]])]
                 info[:K, here], info[K, here] = unpack(r["b"], "<u4").reshape(K, -1), unpack(r["c"], "<f8")
-        for i in np.flatnonzero(counts > limit):
-            info[:, i] = names.value[int(ids[i])]
+        often = np.flatnonzero(counts > limit)
+        place = often[np.argsort(ids[often])]
+        for r in rows:
+            if r["kind"] == "names":
+                asked = unpack(r["a"], "<i8")
+                info[:, place[np.searchsorted(ids[place], asked)]] = unpack(r["b"], "<f8").reshape(-1, K + 1).T
         c_u = np.maximum(counts, 1)
         freed = sum(info[c - 1] * c * (1 - d[c]) for c in range(1, K + 1))
         bare = (counts > 0) & (freed <= 0)
@@ -333,5 +359,5 @@ def score(docs: DataFrame, train_where=None) -> DataFrame:
         cols = [doc, (flags & 1) == 0, batch.sizes, add((counts[batch.tokens] > 0).astype(np.int64)), np.full(len(flags), total), add(log_base[batch.tokens]), add(log_p[batch.inverse])]
         return pa.table([pa.array(c) if not isinstance(c, pa.Array) else c for c in cols], names=[x.split()[0] for x in result.split(", ")])
 
-    told = told.union(pairs.where("kind = 'pairs'"))
+    told = told.unionByName(pairs.where("kind = 'pairs'")).unionByName(names)
     return by_batch(texts).cogroup(by_batch(told)).applyInArrow(evaluate, result)
