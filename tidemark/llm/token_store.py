@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from ..session import keep
 
-#: Keys for each index file, on average; one file is built in one task's memory.
-KEYS_PER_INDEX = 50_000
+#: Keys for each index file, on average, and for each of more files than INDEX_FILES; one file is built in one task's memory.
+KEYS_PER_INDEX, KEYS_AT_MOST, INDEX_FILES = 50_000, 1_000_000, 10_000
 #: Keys for each displacement, on average.
 PER_BUCKET = 4
-#: Rows for each payload shard, on average.
-ROWS_PER_SHARD = 4_000
+#: Rows for each payload shard, on average, as long as this makes no more than SHARDS; a shard is streamed, and so of any size.
+ROWS_PER_SHARD, SHARDS = 4_000, 20_000
 #: Words whose ids a worker remembers; a full memo is emptied.
 MEMO = 700_000
 #: Marks that may follow a word's letters.
@@ -247,17 +247,18 @@ class Store:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> Store:
     """Write docs' ids and index under ``folder``; offsets of what is placed are in ids within the shard."""
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    shards = max(1, rows.select("doc_id").count() // ROWS_PER_SHARD)
+    shards = min(SHARDS, max(1, rows.select("doc_id").count() // ROWS_PER_SHARD))
     dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        name, offset, last, seen, out, stream = f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}.bin", 0, run, 0, [], None
+        name, offset, last, seen, stream = f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}.bin", 0, run, 0, None
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64())
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                ids = part.column(0).to_pylist()
+                ids, out = part.column(0).to_pylist(), []
                 payload, width = encode_texts(part.column(1).to_pylist(), tokenizer, end_id)
                 if stream is None:
                     system, base = _open(folder)
@@ -268,13 +269,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_colu
                     out.append((i, seen, shard, name, width, offset, len(p) // width))
                     offset, last = offset + len(p) // width, i
                 stream.write(b"".join(payload))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "occurrence", "shard", "file", "width", "offset", "n_tokens"])
         if stream is not None:
             stream.close()
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "occurrence", "shard", "file", "width", "offset", "n_tokens"])
 
     placed = keep(dealt.mapInArrow(run, "doc_id bigint, occurrence bigint, shard int, file string, width int, offset bigint, n_tokens bigint"), "placed")
-    files = max(1, placed.count() // KEYS_PER_INDEX)
+    n = placed.count()
+    files = max(1, min(n // KEYS_PER_INDEX, max(INDEX_FILES, n // KEYS_AT_MOST)))
 
     def index(group: pa.Table) -> pa.Table:
         part, keys = group["part"][0].as_py(), key_of(group)
@@ -310,17 +311,18 @@ def read(keys: DataFrame, store: Store) -> DataFrame:
         return pa.table([group["doc_id"], group["occurrence"], *(pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(cols, list(places.values())[2:]))], names=list(places))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, data = None, b""
+        held = f = None
         for batch in batches:
             offset, n, width = (batch[c].to_numpy() for c in ("offset", "n_tokens", "width"))
             crc = np.empty(len(n), np.int64)
             for i, file in enumerate(batch["file"].to_pylist()):
                 if file != held:
+                    if f:
+                        f.close()
                     system, base = _open(folder)
-                    with system.open_input_file(f"{base}/{file}") as f:
-                        held, data = file, memoryview(f.read())
+                    held, f = file, system.open_input_file(f"{base}/{file}")
                 w = int(width[i])
-                crc[i] = zlib.crc32(np.frombuffer(data, f"<u{w}", n[i], w * offset[i]).astype("<u4").tobytes())
+                crc[i] = zlib.crc32(np.frombuffer(f.read_at(w * int(n[i]), w * int(offset[i])), f"<u{w}").astype("<u4").tobytes())
             start = offset + batch["before"].to_numpy()
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["occurrence"], pa.array(start, pa.int64()), batch["n_tokens"], pa.array(crc)], names=["doc_id", "occurrence", "start", "n_tokens", "ids_crc32"])
 
