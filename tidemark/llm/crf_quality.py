@@ -159,8 +159,8 @@ class Model:
         for step in range(1, STEPS + 1):
             slope, counts = np.zeros(FEATURES), np.zeros((2, 2))
             for flat, there, y in groups:
-                good, joint = forward_backward(spread(flat @ self.w, there), self.pair, there, pairs=True)
-                slope += (y[there] - good[there]) @ flat
+                good, joint = forward_backward(spread(flat @ self.w.astype(np.float32), there), self.pair, there, pairs=True)
+                slope += (y[there] - good[there]).astype(np.float32) @ flat
                 counts += joint
             g = np.concatenate([slope / n - L2 * self.w, ((given - counts) / n - L2 * self.pair).ravel()])
             state[0], state[1] = 0.9 * state[0] + 0.1 * g, 0.999 * state[1] + 0.001 * g * g
@@ -191,16 +191,19 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     groups = []
     for part in like_lengths(lengths):
         there = present([lengths[i] for i in part])
-        groups.append((np.vstack([with_neighbours(docs[i][0]) for i in part]), there, np.repeat(labels[part][:, None], there.shape[1], 1).astype(float)))
+        groups.append((np.vstack([with_neighbours(docs[i][0]) for i in part]).astype(np.float32), there, np.repeat(labels[part][:, None], there.shape[1], 1).astype(float)))
     n = sum(lengths)
-    m.mean = sum(x.sum(0) for x, _, _ in groups) / n
-    m.scale = np.sqrt(sum(((x - m.mean) ** 2).sum(0) for x, _, _ in groups) / n) + 1e-6
+    m.mean = sum(x.sum(0, dtype=float) for x, _, _ in groups) / n
+    parts = lambda x: np.array_split(x, 1 + len(x) // 4_096)
+    m.scale = np.sqrt(sum(((p - m.mean) ** 2).sum(0) for x, _, _ in groups for p in parts(x)) / n) + 1e-6
     m.mean[-1], m.scale[-1] = 0, 1
-    groups = [((x - m.mean) / m.scale, there, y) for x, there, y in groups]
+    for x, _, _ in groups:  # in place: the sample is in memory once
+        x -= m.mean.astype(np.float32)
+        x /= m.scale.astype(np.float32)
     m.fit_chain(groups)
     again = []
     for x, there, y in groups:
-        good, _ = forward_backward(spread(x @ m.w, there), m.pair, there)
+        good, _ = forward_backward(spread(x @ m.w.astype(np.float32), there), m.pair, there)
         sure = good >= 0.9
         sure[(good * there).sum(1) >= 0.9 * there.sum(1)] = False  # a bad document keeps some bad line
         again.append((x, there, np.where(sure, 1.0, y)))
@@ -235,15 +238,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pack(0), pack(1), pa.array([len(x[1]) for x in got])], names=["doc_id", "quality", "x", "w", "lines"])
 
     rows = keep(chosen.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(features, "doc_id bigint, quality int, x binary, w binary, lines bigint"), "sample")
+    # of rows that repeat an id the shortest count, so no more than MAX_DOCS numbers are gathered
+    one = rows.groupBy("doc_id").agg(F.min("lines").alias("lines")).select("doc_id", "lines", rank.alias("rank"))
     total, taken = 0, set()
-    for r in sorted(rows.select("doc_id", "lines", rank.alias("rank")).collect(), key=lambda r: (r["rank"], r["doc_id"], r["lines"])):
+    for r in sorted(one.collect(), key=lambda r: (r["rank"], r["doc_id"])):
         if total + r["lines"] <= MAX_LINES:
             taken.add((r["doc_id"], r["lines"]))
             total += r["lines"]
     few = docs.sparkSession.createDataFrame(sorted(taken), "doc_id bigint, lines bigint")
     got = rows.join(F.broadcast(few), ["doc_id", "lines"], "left_semi").orderBy("doc_id", "x").limit(MAX_DOCS).collect()
     drop(rows)
-    data = [(np.frombuffer(r["x"], "<f4").reshape(-1, WIDTH).astype(float), np.frombuffer(r["w"], "<f4").astype(float)) for r in got]
+    data = [(np.frombuffer(r["x"], "<f4").reshape(-1, WIDTH), np.frombuffer(r["w"], "<f4").astype(float)) for r in got]
     return fit(data, np.array([float(r["quality"]) for r in got]))
 
 
