@@ -133,3 +133,29 @@ def test_changes_of_one_key_in_blocks(spark, monkeypatch):
     out = ledger.changes(spark.createDataFrame(rows, "k int, at int, v string, before int"), "k", ["at"], ["v"])
     want = [(k, at) for j, (k, at, v, _) in enumerate(rows) if j == 0 or rows[j - 1][0] != k or rows[j - 1][2] != v]
     assert sorted(((r.k or 0, r["at"]) for r in out.collect())) == sorted((k or 0, at) for k, at in want) and out.columns == ["k", "at", "v", "before"]
+
+
+def test_long_rule_lists_drop_the_same_events(spark):
+    lines = [f"x{i}.txt" for i in range(40)] + ["*.log", "build/", "!keep.log", "a/**/z", "docs/*"] + [f"!y{i}" for i in range(20)]
+    rules = ignore.compile_rules(lines)
+    paths = ["x3.txt", "a/x3.txt", "k.log", "keep.log", "build", "build/x", "q/build/x", "a/b/z", "a/z/c", "docs/a", "docs/a/b", ".store/x", "q/.store", "", "plain", "docs", "y3"]
+    frame = spark.createDataFrame([(p,) for p in paths] + [(None,)], "path string")
+    assert len(rules) > ignore.LONG
+    long, short = (frame.select("path", ignore.event_dropped(F.col("path"), rules).alias("d")) for _ in range(2))
+    try:
+        ignore.LONG, kept = 10_000, ignore.LONG
+        short = frame.select("path", ignore.event_dropped(F.col("path"), rules).alias("d"))
+    finally:
+        ignore.LONG = kept
+    want = {r.path: r.d for r in short.where("path is not null").collect()}
+    assert {r.path: r.d for r in long.where("path is not null").collect()} == want and sum(want.values()) >= 10
+
+
+def test_tidy_keeps_what_is_asked_for(spark):
+    from tidemark.session import is_kept, keep, tidy
+
+    first = keep(spark.range(3), "first")
+    with tidy(spark) as stay:
+        gone, out = keep(spark.range(4), "gone"), keep(spark.range(5), "out")
+        stay.append(out)
+    assert is_kept(first) and is_kept(out) and not is_kept(gone)

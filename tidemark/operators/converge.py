@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import keep
 from .apply import guarded, order_position
 from .gc import lineage, safe_base
-from .reconcile import Plan, agreed, gate, reconcile
+from .reconcile import Plan, gate, reconcile, standing
 
 
 @dataclass
@@ -63,8 +63,8 @@ def converge(base: DataFrame, local: DataFrame, remote: DataFrame, local_device:
     back = keep(back, "held")
     todo = keep(mutations(free), "mutations")
     odd = None if live is None else keep(guarded(todo.select("path_str", "action"), local, live), "divergences")
-    n = back.count()
-    return Outcome(free, back, todo, odd, n, not plan.send.isEmpty() or plan.has_local_wins(), agreed(plan, back))
+    flags = standing(plan, back).first()  # one job for all that is asked of the plan
+    return Outcome(free, back, todo, odd, flags["held"], flags["to_send"] + flags["local_wins"] > 0, flags["agrees"])
 
 
 PEER = "device_id string, held_entries bigint, ops_applied bigint, quarantined bigint, conflicts_recorded bigint"

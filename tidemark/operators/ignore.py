@@ -168,6 +168,10 @@ class Policy:
         return run(path, is_dir)
 
 
+#: Rules beyond this number are looked up in a function instead of an expression each.
+LONG = 50
+
+
 class Layer:
     """Rules of one layer: the last that matches, found by name, by ending, or by expression."""
 
@@ -210,6 +214,14 @@ class Matcher:
         parent = path.rpartition("/")[0]
         return bool(parent) and self.dir_ignored(parent) or self.verdict(path, True)
 
+    def dropped(self, path: str, store: str) -> bool:
+        """Whether an event for the path says nothing: below the store, in an ignored directory, or ignored as file and as directory."""
+        parts = path.split("/")
+        if store in parts:
+            return True
+        above = any(self.chain.verdict("/".join(parts[:k]), True) for k in range(1, len(parts)))
+        return above or bool(self.chain.verdict(path, False)) and bool(self.chain.verdict(path, True))
+
     def decide(self, path: str, is_dir: bool) -> bool:
         path = unicodedata.normalize("NFC", path)
         if not path or self.marker in path.rpartition("/")[2]:
@@ -235,7 +247,21 @@ def ignored_column(path: Column, is_dir: Column, rules: list[Rule], marker: str
 
 
 def event_dropped(path: Column, rules: list[Rule], store: str = ".store") -> Column:
-    """Whether a watch event for the path is dropped: below the store, in an ignored directory, or ignored as file and as directory."""
+    """Whether a watch event for the path is dropped: below the store, in an ignored directory, or ignored as file and as directory.
+
+    Long lists of rules are looked up, as an expression for each of thousands is no plan.
+    """
+    if len(rules) > LONG:
+        policy = Policy([])
+        policy.chain = rules
+
+        @F.pandas_udf("boolean")
+        def drops(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            matcher = policy.matcher()
+            for paths in batches:
+                yield pd.Series([None if p is None else matcher.dropped(p, store) for p in paths], dtype="boolean")
+
+        return drops(path)
     inside = F.array_contains(F.split(path, "/"), store)
     above = F.exists(proper_ancestors(F.split(path, "/")), lambda p: verdict_column(p, F.lit(True), rules))
     return inside | above | (verdict_column(path, F.lit(False), rules) & verdict_column(path, F.lit(True), rules))

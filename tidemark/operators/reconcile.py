@@ -150,6 +150,15 @@ def agreed(plan: Plan, held: DataFrame) -> bool:
     return plan.conflicts.isEmpty() and held.isEmpty() and plan.send.isEmpty() and not plan.has_local_wins()
 
 
+def standing(plan: Plan, held: DataFrame) -> DataFrame:
+    """One row: conflicts, held, to_send, local_wins, agrees; both sides agree if all are zero."""
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+    wins = plan.decisions.where("decision = 'keep_local' or winner = 'local'")
+    rows = one(plan.conflicts, "conflicts").union(one(held, "held")).union(one(plan.send, "to_send")).union(one(wins, "local_wins"))
+    wide = rows.agg(*(F.sum(F.when(F.col("what") == k, F.col("n")).otherwise(0)).alias(k) for k in ("conflicts", "held", "to_send", "local_wins")))
+    return wide.withColumn("agrees", F.expr("conflicts + held + to_send + local_wins = 0"))
+
+
 def fold(plan: Plan) -> DataFrame:
     """The plan's writes as a change set: path_str, bucket."""
     base, result = F.col("base"), F.col("result")

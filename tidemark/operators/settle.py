@@ -11,6 +11,7 @@ every decision is that of a peer alone, and work is one set of joins however man
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from ..sources.files import CONFLICT, HELD
 from .apply import guarded, phases
 from .converge import base_of
 from .ledger import new_held
-from .reconcile import Plan, conflict_name, gate, reconcile
+from .reconcile import Plan, conflict_name, gate, reconcile, standing
 from .store import numbered_copies
 
 
@@ -35,17 +36,72 @@ class Side:
 
 @dataclass
 class Settled:
-    """missing(id, len) to fetch first; copies(path_str, side, state, copy) of losers; steps(path_str, action, position);
-    rows to append to the conflict, held and agreement ledgers; divergences(path_str, reason) of the live tree."""
+    """What a sync amounts to; each table is made when it is asked for."""
 
     plan: Plan
-    missing: DataFrame
-    copies: DataFrame
-    steps: DataFrame
-    conflicts: DataFrame
-    held: DataFrame
-    agreement: DataFrame
-    divergences: DataFrame
+    back: DataFrame
+    local: DataFrame
+    live: DataFrame
+    mine: Side
+    theirs: Side
+    folder_id: str
+    now: tuple[int, int]
+    stored: DataFrame | None
+    held_ledger: DataFrame | None
+
+    @cached_property
+    def missing(self) -> DataFrame:
+        """(id, len) of chunks that aren't here and must be fetched first."""
+        return self.plan.fetch if self.stored is None else self.plan.fetch.join(self.stored.select("id").distinct(), "id", "left_anti")
+
+    @cached_property
+    def copies(self) -> DataFrame:
+        """(path, path_str, side, state, copy) of losers that are kept."""
+        return keep(quarantine_copies(self.plan, {"local": self.mine.device, "remote": self.theirs.device}, self.live), "copies")
+
+    @cached_property
+    def _changed(self) -> DataFrame:
+        return self.plan.materialize.where("base is not null or result is not null")
+
+    @cached_property
+    def _todo(self) -> DataFrame:
+        return keep(self._changed.select("path_str", F.when(F.col("result").isNull(), "remove").otherwise("upsert").alias("action")), "todo")
+
+    @property
+    def _desired(self) -> DataFrame:
+        return self._changed.where("result is not null").select("path", "path_str", "result.*")
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        """(path_str, action: remove, write or touch, position) of what is done to the live tree."""
+        return phases(self._todo, self._desired, self.live)
+
+    @property
+    def divergences(self) -> DataFrame:
+        """(path_str, reason) of what the live tree has otherwise than the plan expects."""
+        return guarded(self._todo, self.local, self.live, self._desired)
+
+    @property
+    def conflicts(self) -> DataFrame:
+        """Rows to append to the ledger of conflicts."""
+        return conflict_rows(self.plan, self.copies, self.mine.device, self.theirs.device, self.folder_id, self.now[0])
+
+    @property
+    def held(self) -> DataFrame:
+        """Rows to append to the ledger of what is held."""
+        rows = held_rows(self.back, self.theirs, self.now)
+        return rows if self.held_ledger is None else new_held(rows, self.held_ledger)
+
+    @property
+    def standing(self) -> DataFrame:
+        """One row: conflicts, held, to_send, local_wins, agrees."""
+        return standing(self.plan, self.back)
+
+    @property
+    def agreement(self) -> DataFrame:
+        """The row to record, if both sides agree now."""
+        sec, nsec = self.now
+        return self.standing.where("agrees").select(F.lit(self.theirs.device).alias("peer"), F.lit(self.theirs.manifest_id).alias("manifest_id"), F.lit(sec).cast("bigint").alias("agreed_sec"), F.lit(nsec).alias("agreed_nsec"))
 
 
 def _split(path: Column) -> tuple[Column, Column]:
@@ -86,14 +142,6 @@ def held_rows(held: DataFrame, remote: Side, now: tuple[int, int]) -> DataFrame:
     return out.to(held.sparkSession.createDataFrame([], HELD).schema)
 
 
-def standing(plan: Plan, held: DataFrame) -> DataFrame:
-    """One row: conflicts, held, to_send, local_wins, agrees; both sides agree if all are zero."""
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
-    rows = one(plan.conflicts, "conflicts").union(one(held, "held")).union(one(plan.send, "to_send")).union(one(plan.decisions.where("decision = 'keep_local' or winner = 'local'"), "local_wins"))
-    wide = rows.agg(*(F.sum(F.when(F.col("what") == k, F.col("n")).otherwise(0)).alias(k) for k in ("conflicts", "held", "to_send", "local_wins")))
-    return wide.withColumn("agrees", F.expr("conflicts + held + to_send + local_wins = 0"))
-
-
 def settle(base: DataFrame, local: DataFrame, remote: DataFrame, mine: Side, theirs: Side, folder_id: str, now: tuple[int, int], held: Column | None = None, live: DataFrame | None = None, stored: DataFrame | None = None, held_ledger: DataFrame | None = None, **lines) -> Settled:
     """Bring the local side to what both sides' changes since the base amount to; ``now`` is (seconds, nanoseconds).
 
@@ -108,17 +156,8 @@ def settle(base: DataFrame, local: DataFrame, remote: DataFrame, mine: Side, the
     first = split.first()
     if first:
         raise ValueError(f"the pin splits {first[0]} and {first[1]}")
-    live, back = local if live is None else live, keep(back, "held")
-    send = keep(free.send, "send")
-    free.send = send
-    missing = free.fetch if stored is None else free.fetch.join(stored.select("id").distinct(), "id", "left_anti")
-    copies = keep(quarantine_copies(free, {"local": mine.device, "remote": theirs.device}, live), "copies")
-    changed = free.materialize.where("base is not null or result is not null")
-    todo = keep(changed.select("path_str", F.when(F.col("result").isNull(), "remove").otherwise("upsert").alias("action")), "todo")
-    desired = changed.where("result is not null").select("path", "path_str", "result.*")
-    rows = held_rows(back, theirs, now)
-    agreement = standing(free, back).where("agrees").select(F.lit(theirs.device).alias("peer"), F.lit(theirs.manifest_id).alias("manifest_id"), F.lit(now[0]).cast("bigint").alias("agreed_sec"), F.lit(now[1]).alias("agreed_nsec"))
-    return Settled(free, missing, copies, phases(todo, desired, live), conflict_rows(free, copies, mine.device, theirs.device, folder_id, now[0]), rows if held_ledger is None else new_held(rows, held_ledger), agreement, guarded(todo, local, live, desired))
+    free.send = keep(free.send, "send")
+    return Settled(free, keep(back, "held"), local, local if live is None else live, mine, theirs, folder_id, now, stored, held_ledger)
 
 
 def below(entries: DataFrame, device: Column) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import formats, names, paths
 from ..operators import apply, converge, gc, ignore, ledger, store, transfer
 from ..operators import diff as d
+from ..operators import reconcile as rc
+from ..session import scratch
 from ..sources import files
+from ..sources.index import Index
 from ..streaming import watch
 from . import snapshots as sn
 from .queries import PART_PATHS, part_paths, query, versions
@@ -78,7 +81,12 @@ def pack_adoption(spark, table):
 def index_compaction(spark, table):
     """More files than a compaction needs: all rows once, in one set."""
     rows = table("lineitem").select("l_partkey", "l_suppkey")
-    return store.compacted_index(spark.range(store.COMPACT_FROM), rows.union(rows.where("l_partkey % 2 = 0")))
+    index = Index(spark, scratch(spark, "index"))
+    for part in (rows, rows.where("l_partkey % 2 = 0")):
+        index.append(part.select(F.lit("data").alias("kind"), F.col("l_partkey").cast("string").alias("id"), F.col("l_suppkey").cast("string").alias("pack"), F.lit(0).cast("bigint").alias("plain_off"), F.lit(0).cast("bigint").alias("plain_len")))
+    files_ = index.load().select("part").distinct()
+    out = store.compacted_index(files_, index.load().select("id", "pack"), 2)
+    return out.select(F.col("id").cast("bigint").alias("l_partkey"), F.col("pack").cast("bigint").alias("l_suppkey"))
 
 
 @query("select distinct l_suppkey as pack, dense_rank() over (order by l_suppkey) - 1 as position from lineitem")
@@ -238,14 +246,15 @@ def converge_outcome(spark, table):
     """A peer that stayed at the base has nothing to give: no mutation, and no agreement while there is something to send."""
     base, local = versions(table, "base", "local")
     out = converge.converge(base, local, base, sn.LOCAL_DEVICE, sn.REMOTE_DEVICE, live=local)
-    return spark.createDataFrame([(out.diverged, out.agrees, out.is_noop())], "diverged boolean, agrees boolean, noop boolean")
+    noop = out.mutations.agg((F.count("*") == 0).alias("noop"))
+    told = rc.standing(out.plan, out.held).select((F.col("to_send") + F.col("local_wins") > 0).alias("diverged"), "agrees")
+    return told.unionByName(noop, allowMissingColumns=True).agg(*(F.bool_or(c).alias(c) for c in ("diverged", "agrees", "noop")))
 
 
 @query(sn.SQL + " select (select count(*) from d_local) as pending, cast(null as bigint) as without, cast(-1 as bigint) as unreadable")
 def pending_changes(spark, table):
     base, local = versions(table, "base", "local")
-    changes = d.diff(base, local)
-    return spark.createDataFrame([(d.pending(changes), d.pending(None), d.pending(changes, False))], "pending bigint, without bigint, unreadable bigint")
+    return d.diff(base, local).agg(F.count("*").alias("pending"), F.lit(d.pending(None)).cast("bigint").alias("without"), F.lit(d.pending(base, False)).cast("bigint").alias("unreadable"))
 
 
 # ignore rules in layers: presets under a user's own lines, and rules of one directory over those

@@ -92,7 +92,7 @@ def settle_agreements(spark, table):
     out = None
     for name, s in (("apart", settled(table)), ("behind", st.settle(base, base, remote, MINE, THEIRS, FOLDER, NOW))):
         recorded = s.agreement.agg(F.count("*").alias("recorded"))
-        told = st.standing(s.plan, s.held).withColumn("recorded", F.lit(0).cast("bigint")).unionByName(recorded, allowMissingColumns=True)
+        told = s.standing.withColumn("recorded", F.lit(0).cast("bigint")).unionByName(recorded, allowMissingColumns=True)
         row = told.agg(*(F.sum(c).alias(c) for c in ("conflicts", "held", "local_wins")), F.bool_or("agrees").alias("agrees"), F.sum("recorded").alias("recorded")).withColumn("pair", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out.select("pair", "conflicts", "held", "local_wins", "agrees", "recorded")

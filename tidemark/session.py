@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Paths of the tables that are kept, in the order of their writing.
+_kept: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -39,7 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)  # with its scheme, for those who don't know Spark's default
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
@@ -55,6 +63,7 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
+    _kept.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
@@ -70,8 +79,24 @@ def is_kept(df: DataFrame) -> bool:
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``keep`` that nothing reads any more."""
     for df in tables:
-        path = getattr(df, "kept_at", None)
-        if path:
-            spark = df.sparkSession
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+        if path := getattr(df, "kept_at", None):
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+    if path in _kept:
+        _kept.remove(path)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes all tables that were kept within the block, but those that are put into the list.
+
+    Operators leave the tables that their results still read; once a result is written, nothing does.
+    """
+    before, stay = set(_kept), []
+    yield stay
+    for path in [p for p in _kept if p not in before and p not in {getattr(df, "kept_at", None) for df in stay}]:
+        _delete(spark, path)

@@ -60,8 +60,12 @@ def incremental(prior: DataFrame, rescanned: DataFrame, dirty: DataFrame) -> Dat
     return kept.join(rescanned, "path_str", "left_anti").unionByName(rescanned)
 
 
-def stat_sweep(live: DataFrame, cache: DataFrame) -> DataFrame:
-    """Paths to rescan: new or changed files, links always, and the directory of what vanished."""
+def stat_sweep(live: DataFrame, cache: DataFrame, ignored: Column | None = None) -> DataFrame:
+    """Paths to rescan: new or changed files, links always, and the directory of what vanished.
+
+    What a rule ignores (a column of live, such as of ``Policy``) is as good as not there.
+    """
+    live = live if ignored is None else live.where(~ignored)
     stat = ["kind", "exec", "size", "mtime_sec", "mtime_nsec"]
     both = live.select("path_str", F.struct(*stat).alias("now")).join(cache.select("path_str", F.struct(*stat).alias("was")), "path_str", "full_outer")
     parent = F.when(F.contains("path_str", F.lit("/")), F.regexp_replace("path_str", r"/[^/]*$", "")).otherwise("")
