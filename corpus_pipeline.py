@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, crf_quality, decontaminate, line_dedup, near_copies
 from tidemark.llm.columns import spare
-from tidemark.session import keep, ship
+from tidemark.session import drop, keep, ship, tidy
 
 #: Least quality score that stays.
 QUALITY = 0.7
@@ -53,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; of a stage that is done its rows stay, until the next one has read them, and none of its own tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        before = docs
+        with tidy(spark) as stay:
+            docs = keep(stage(spark, before, sf_dir), name.replace(" ", "_"))
+            stay.append(docs)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
