@@ -130,6 +130,15 @@ def test_packing_over_several_regions(spark, name, most):
     assert n <= (space.least + 1 if name == "small" else most * best)
 
 
+def test_the_last_round_places_all(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROUNDS", 1)
+    monkeypatch.setattr(packing, "REGION", 50)
+    items = spark.createDataFrame([(i, 1 + i * 37 % 3000) for i in range(400)], "row bigint, length bigint")
+    out = packing.pack(items).join(items, "row").collect()
+    assert len(out) == 400
+    placed_well([r.asDict() for r in out], 4096)
+
+
 def test_breeding_keeps_what_is_good():
     space = packing.Region(np.random.default_rng(2).integers(1000, 1700, 600), 4096, 7)
     start = [space.fresh(0.02 * k) for k in range(4)]

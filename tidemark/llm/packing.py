@@ -12,8 +12,8 @@ once its best needs no more bins than the total asks for.
 
 What regions leave over goes on: bins filled under ``FULL`` are dealt into regions again, whole, and are the packing to
 start from there, so no round needs more bins than before. Regions become fewer each time, until one holds all that is
-left or they don't. So a thousandth of the bins and one more are lost overall at most where sizes allow it, and neither a task nor the driver ever holds
-more than a region.
+left or they don't. So a thousandth of the bins and one more are lost overall at most where sizes allow it, and neither
+a task nor the driver ever holds more than a region.
 
 Null texts count as empty (a piece of the end id), null ids are ids like others, repeated rows are documents each. A
 piece of the whole capacity is a sequence of its own. Random choices come from seeds of region, island and epoch, so
@@ -216,7 +216,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
         return run
 
-    for number in range(1, ROUNDS):
+    for number in range(1, ROUNDS + 1):
         regions = -(-n // REGION)
         if not regions:
             break
@@ -228,7 +228,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         drop(left, best)
         part = ["row", "sequence_id", "offset"]
         full = F.col("fill") >= FULL * capacity
-        rest = keep(put.where(~full).select("row", "length", F.col("sequence_id").alias("bin")), "items") if regions > 1 else None
+        more = regions > 1 and number < ROUNDS
+        rest = keep(put.where(~full).select("row", "length", F.col("sequence_id").alias("bin")), "items") if more else None
         m = rest.count() if rest is not None else 0
         # regions that become no fewer had no room to share
         if rest is None or -(-m // REGION) >= regions:
