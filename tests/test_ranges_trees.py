@@ -28,7 +28,7 @@ def plain(data):
     return [(i, o, n, hashlib.sha256(data[o : o + n]).hexdigest()) for i, (o, n) in enumerate(cuts(data, POLY, **BOUNDS))]
 
 
-@pytest.mark.parametrize("size", [64, 1_000, 4_096, 1 << 20])
+@pytest.mark.parametrize("size", [64, 1_000, 1 << 20])
 def test_chunks_of_ranges(spark, tmp_path, size):
     """Ranges shorter than a chunk, of about its length, and of whole files."""
     files = contents()
@@ -126,7 +126,7 @@ def rows_of(df):
 
 def test_trees_over_random_edits(spark):
     """Fold then unfold is the identity; descent is the diff; upkeep is hashing anew, and hashes the closure alone."""
-    for seed in range(3):
+    for seed in range(2):
         rng = np.random.default_rng(seed * 7919 + 13)
         old = random_tree(rng)
         new, dirty = edited(old, rng)
