@@ -159,3 +159,12 @@ def test_tidy_keeps_what_is_asked_for(spark):
         gone, out = keep(spark.range(4), "gone"), keep(spark.range(5), "out")
         stay.append(out)
     assert is_kept(first) and is_kept(out) and not is_kept(gone)
+def test_decisions_carry_digests_and_whole_brings_the_lists(spark):
+    from tidemark.operators import reconcile as rc
+
+    base, local, remote = tree(spark, a=("x", 1), b=("y", 1)), tree(spark, a=("AB" * 32, 2), b=("y", 1)), tree(spark, a=("x", 1), b=("ab" * 32, 3))
+    plan = rc.reconcile(base, local, remote, "a1" * 32, "b2" * 32)
+    assert plan.materialize.select("result.chunks").dtypes == [("chunks", "binary")]  # before: the list, through every join
+    (row,) = plan.whole(plan.materialize, "base", "result").collect()
+    assert [c.id for c in row.base.chunks] == ["y"] and [c.id for c in row.result.chunks] == ["ab" * 32]
+    assert [tuple(r) for r in plan.send.collect()] == [("AB" * 32, 5)] and [tuple(r) for r in plan.fetch.collect()] == [("ab" * 32, 5)]

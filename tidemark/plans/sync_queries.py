@@ -17,9 +17,7 @@ MINE, THEIRS = st.Side(sn.LOCAL_DEVICE, "m1" * 32), st.Side(sn.REMOTE_DEVICE, "m
 
 
 def sides(table):
-    flat = table("customer").where(FLAT).select(F.concat(F.lit("c"), "c_custkey").alias("top"))
-    rest = lambda v: v.join(flat, v["path"][0] == flat["top"], "left_anti")
-    return tuple(rest(v) for v in versions(table))
+    return tuple(sn.snapshot(table.with_lines().where("not flat"), v) for v in sn.VERSIONS)
 
 
 def settled(table, **more) -> st.Settled:
@@ -92,7 +90,7 @@ def settle_agreements(spark, table):
     out = None
     for name, s in (("apart", settled(table)), ("behind", st.settle(base, base, remote, MINE, THEIRS, FOLDER, NOW))):
         recorded = s.agreement.agg(F.count("*").alias("recorded"))
-        told = s.standing.withColumn("recorded", F.lit(0).cast("bigint")).unionByName(recorded, allowMissingColumns=True)
+        told = s.tally.withColumn("recorded", F.lit(0).cast("bigint")).unionByName(recorded, allowMissingColumns=True)
         row = told.agg(*(F.sum(c).alias(c) for c in ("conflicts", "held", "local_wins")), F.bool_or("agrees").alias("agrees"), F.sum("recorded").alias("recorded")).withColumn("pair", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out.select("pair", "conflicts", "held", "local_wins", "agrees", "recorded")
