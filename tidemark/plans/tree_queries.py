@@ -34,9 +34,9 @@ def tree_round_trip(spark, table):
 
 
 def both_roots(table):
-    base, local = versions(table, "base", "local")
+    base, local = map(d.lean, versions(table, "base", "local"))
     (older, a), (newer, b) = trees.fold(base), trees.fold(local)
-    return a.unionByName(b).dropDuplicates(["tree_id", "name"]), older, newer
+    return a.unionByName(b), older, newer
 
 
 @query(sn.SQL + " select path_str, bucket from d_local")
@@ -67,7 +67,7 @@ def tree_nodes_read(spark, table):
 
 def kept_up(table):
     """Ids of base kept up with what local changed: all ids, those hashed anew, and those of base."""
-    base, local = versions(table, "base", "local")
+    base, local = map(d.lean, versions(table, "base", "local"))
     cache = trees.tree_ids(base)
     dirty = d.diff(base, local).select(F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).distinct()
     return (*trees.rebuilt(local, cache, dirty), cache)
