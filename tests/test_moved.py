@@ -3,9 +3,23 @@
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.operators import diff as d
 from tidemark.operators import trees
 
 SF = "/root/testdata/sf0.001"
+ENTRY = "path array<string>, path_str string, kind string, exec boolean, mtime_sec bigint, mtime_nsec int, chunks array<struct<id:string,len:bigint>>, target string"
+
+
+def shuffled(df) -> list[str]:
+    """Schemas of what is repartitioned in a plan."""
+    todo, out = [df._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() == "RepartitionByExpression":
+            out.append(plan.schema().json())
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
 
 
 @pytest.fixture
@@ -25,3 +39,14 @@ def test_trees_are_compared_without_chunk_lists(spark, written, name):
 def test_round_trip_writes_each_list_once(spark, written):
     assert entry.queries()["tree_round_trip"](spark, SF).count() > 0
     assert [(label, kept["chunks"]) for label, kept in written if "chunks" in kept] == [("nodes", "array<struct<id:binary,len:bigint>>")]
+
+
+def test_changed_chunks_move_with_packed_ids(spark):
+    sha = "ab" * 32
+    one = lambda *ids: spark.createDataFrame([(["a"], "a", "file", False, 1, 0, [(i, 5) for i in ids], None)], ENTRY)
+    changes = d.diff(one("x", sha), one("AB", sha, "abc"))
+    assert {r.id for r in d.changed_chunks(changes).collect()} == {"AB", sha, "abc"}
+    row = changes.first()
+    assert [c.id for c in row.before.chunks] == ["x", sha] and [tuple(c) for c in row.after.chunks] == [("AB", 5), (sha, 5), ("abc", 5)]
+    lists = [x for x in shuffled(changes) if "_chunks" in x]
+    assert lists and all('"name":"id","type":"binary"' in x for x in lists)
