@@ -41,6 +41,12 @@ def test_round_trip_writes_each_list_once(spark, written):
     assert [(label, kept["chunks"]) for label, kept in written if "chunks" in kept] == [("nodes", "array<struct<id:binary,len:bigint>>")]
 
 
+@pytest.mark.parametrize("name", ["scan_counts", "scan_pass"])
+def test_a_pass_adds_sizes_up_without_chunk_lists(spark, name):
+    found = shuffled(entry.queries()[name](spark, SF))
+    assert found and not any("_chunks" in x for x in found)
+
+
 def test_changed_chunks_move_with_packed_ids(spark):
     sha = "ab" * 32
     one = lambda *ids: spark.createDataFrame([(["a"], "a", "file", False, 1, 0, [(i, 5) for i in ids], None)], ENTRY)

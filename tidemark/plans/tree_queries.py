@@ -12,7 +12,7 @@ from ..session import scratch
 from ..sources import packs
 from . import snapshots as sn
 from .host_queries import BLOBS, blobs
-from .queries import POLYNOMIAL, query, versions
+from .queries import POLYNOMIAL, query, reread, versions
 
 
 @query()
@@ -99,7 +99,7 @@ select files, dirs, links, cast((select coalesce(sum(try_cast(split_part(c, ':',
 )
 def scan_pass(spark, table):
     base, local = versions(table, "base", "local")
-    return store.scan_counts(local, d.diff(base, local).where("bucket <> 'removed'").select("after.*"), kept_up(table)[1])
+    return store.scan_counts(local, reread(base, local), kept_up(table)[1])
 
 
 @query(
