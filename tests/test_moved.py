@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tidemark.operators import diff as d
-from tidemark.operators import trees
+from tidemark.operators import apply, trees
 
 SF = "/root/testdata/sf0.001"
 ENTRY = "path array<string>, path_str string, kind string, exec boolean, mtime_sec bigint, mtime_nsec int, chunks array<struct<id:string,len:bigint>>, target string"
@@ -56,3 +56,23 @@ def test_changed_chunks_move_with_packed_ids(spark):
     assert [c.id for c in row.before.chunks] == ["x", sha] and [tuple(c) for c in row.after.chunks] == [("AB", 5), (sha, 5), ("abc", 5)]
     lists = [x for x in shuffled(changes) if "_chunks" in x]
     assert lists and all('"name":"id","type":"binary"' in x for x in lists)
+
+
+def test_guards_read_each_state_once(spark, monkeypatch):
+    met, whole = [], apply.paired
+    monkeypatch.setattr(apply, "paired", lambda *a, **sides: (met.append(sorted(sides)), whole(*a, **sides))[1])
+    assert entry.queries()["apply_guard"](spark, SF).count() > 0
+    assert met == [["e", "v", "w"]]
+
+
+def test_guards_of_odd_plans(spark):
+    def tree(**files):
+        return spark.createDataFrame([([n], n, k, False, t, 0, [("x", 5)] if k == "file" else [], None) for n, (k, t) in files.items()], ENTRY)
+
+    base = tree(a=("file", 1), b=("file", 1), d=("dir", 1))
+    live = tree(b=("file", 1), d=("dir", 9), B=("file", 7), n=("file", 7))
+    desired = tree(B=("file", 7), n=("file", 7), d=("dir", 3), only=("file", 1))
+    plan = spark.createDataFrame([("a", "remove"), ("a", "upsert"), ("b", "remove"), ("B", "upsert"), ("n", "upsert"), ("d", "upsert"), ("only", "remove"), ("nowhere", "remove"), ("nowhere", "upsert")], "path_str string, action string")
+    got = sorted(map(tuple, apply.guarded(plan, base, live, desired).collect()))
+    # B is live as desired, but b, which differs by case alone, is removed
+    assert got == [("B", "expected_absent"), ("a", "expected_present"), ("a", "expected_present"), ("nowhere", "not_in_base"), ("only", "not_in_base")]
