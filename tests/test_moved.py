@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.operators import diff as d
 from tidemark.operators import apply, reconcile, trees
+from tidemark.plans import queries, snapshots
 
 SF = "/root/testdata/sf0.001"
 ENTRY = "path array<string>, path_str string, kind string, exec boolean, mtime_sec bigint, mtime_nsec int, chunks array<struct<id:string,len:bigint>>, target string"
@@ -91,3 +92,59 @@ def test_guards_of_odd_plans(spark):
     got = sorted(map(tuple, apply.guarded(plan, base, live, desired).collect()))
     # B is live as desired, but b, which differs by case alone, is removed
     assert got == [("B", "expected_absent"), ("a", "expected_present"), ("a", "expected_present"), ("nowhere", "not_in_base"), ("only", "not_in_base")]
+
+
+@pytest.fixture
+def exchanges(spark):
+    """Schemas, by origin, of what a plan shuffles where nothing is broadcast; what is read again counts once."""
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+
+    def of(df):
+        todo, out = [df._jdf.queryExecution().executedPlan()], []
+        while todo:
+            plan = todo.pop()
+            if plan.nodeName() == "Exchange":
+                out.append((plan.shuffleOrigin().toString(), plan.schema().json()))
+            children = plan.children()
+            todo += [children.apply(i) for i in range(children.size())]
+        return out
+
+    yield of
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_orders_go_to_customers_without_their_lines(spark, exchanges):
+    found = exchanges(snapshots.with_lines(queries.Tables(spark, SF)))
+    assert found and not any('"name":"lines"' in schema for _, schema in found)
+
+
+def test_what_is_hidden_is_found_in_the_exchange_of_states(spark, exchanges):
+    decided = reconcile.decide(*queries.versions(queries.Tables(spark, SF)), "a1" * 32, "b2" * 32)
+    by_path = [schema for origin, schema in exchanges(decided) if origin == "REPARTITION_BY_COL"]
+    assert len(by_path) == 1 and '"name":"chunks","type":"binary"' in by_path[0]
+
+
+def test_components_of_paths_are_not_written(spark, monkeypatch):
+    out, keep = {}, reconcile.keep
+    monkeypatch.setattr(reconcile, "keep", lambda df, label, **more: (out.setdefault(label, df.columns), keep(df, label, **more))[1])
+    made = queries.plan(queries.Tables(spark, SF))
+    assert set(out) == {"decisions", "materialize"} and not any("path" in c for c in out.values())
+    for rows in (made.decisions, made.materialize, made.quarantine, made.conflicts):
+        assert rows.where("path is null or array_join(path, '/') <> path_str").isEmpty() and not rows.isEmpty()
+
+
+def test_what_appears_below_a_changed_type_is_hidden_on_its_side_alone(spark):
+    def tree(**of):
+        rows = [(n.split("_"), n.replace("_", "/"), k, False, t, 0, [("x", t)] if k == "file" else [], None) for n, (k, t) in of.items()]
+        return spark.createDataFrame(rows, ENTRY)
+
+    base = tree(d=("dir", 1), d_a=("file", 1), d_e=("dir", 1), d_e_b=("file", 1), f=("file", 1), g=("dir", 1), g_c=("file", 1))
+    local = tree(d=("file", 2), f=("dir", 1), f_n=("file", 3), g=("dir", 9), g_c=("file", 1))
+    remote = tree(d=("dir", 1), d_a=("file", 5), d_e=("dir", 1), d_e_b=("file", 1), f=("file", 1), g=("dir", 1))
+    got = {r.path_str: (r.decision, r.conflict, r.winner) for r in reconcile.decide(base, local, remote, "a", "b").collect()}
+    # d/a went locally below what became a file: only the remote change of it is told; d/e/b and f/n aren't mentioned
+    assert got == {"d": ("keep_local", None, None), "d/a": ("apply_remote", None, None), "f": ("keep_local", None, None), "g/c": ("apply_remote", None, None)}
