@@ -7,7 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 from test_core import file, folder, tree
 
+import __spark_entry__ as entry
 from tidemark.operators import apply, store
+from tidemark.plans import queries
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_guard_reasons(spark):
@@ -65,6 +69,19 @@ def test_canonical_ids_of_large_directories_are_hashed_in_parts(spark, monkeypat
     assert got == {"big": join([(k, "t" + join(v)) for k, v in above.items()]), "small": join([("a", "e1"), ("b", "e2")])}
 
 
+def test_canonical_ids_of_the_tables(spark):
+    """The query against a plain fold of the same entries, deepest first."""
+    sha = lambda x: hashlib.sha256(json.dumps(x, separators=(",", ":")).encode()).hexdigest()
+    below, empty = {"": []}, hashlib.sha256(b"").hexdigest()
+    for r in sorted(queries.Tables(spark, SF).version("local").collect(), key=lambda r: (-len(r.path), r.path_str)):
+        own = {"kind": r.kind, "exec": r.exec, "chunks": [c.asDict() for c in r.chunks], "target": r.target}
+        mine = below.setdefault(r.path_str, []) if r.kind == "dir" else None
+        of = "e" + sha(own) if mine is None else "d" + (sha(sorted(mine, key=lambda c: c["name"])) if mine else empty)
+        below.setdefault("/".join(r.path[:-1]), []).append({"name": r.path[-1], "id": of})
+    want = {d: sha(sorted(c, key=lambda x: x["name"])) if c else empty for d, c in below.items()}
+    assert {r.path_str: r.tree_id for r in entry.queries()["canonical_ids"](spark, SF).collect()} == want and len(want) > 50
+
+
 def test_choices(spark):
     rows = [((1, 0, 5, "d"), (0, None, 9, "d"), "first"), ((1, 1, 5, "d"), (2, 1, 1, "d"), "second"), ((1, 0, 5, "d"), (2, 0, 6, "d"), "second"), ((0, 0, 9, "d"), (2, 2, 1, "d"), "second"), ((1, 0, 5, "e"), (2, 0, 5, "d"), "first")]
     flat = [(a[0], a[1], a[2], a[3], b[0], b[1], b[2], b[3], w) for a, b, w in rows]
