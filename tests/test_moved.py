@@ -148,3 +148,34 @@ def test_what_appears_below_a_changed_type_is_hidden_on_its_side_alone(spark):
     got = {r.path_str: (r.decision, r.conflict, r.winner) for r in reconcile.decide(base, local, remote, "a", "b").collect()}
     # d/a went locally below what became a file: only the remote change of it is told; d/e/b and f/n aren't mentioned
     assert got == {"d": ("keep_local", None, None), "d/a": ("apply_remote", None, None), "f": ("keep_local", None, None), "g/c": ("apply_remote", None, None)}
+
+
+def test_released_trees_are_dealt_by_path_in_one_exchange(spark, exchanges, monkeypatch):
+    """What many peers' trees have alike goes to the same place, side by side, once."""
+    out, kept_by_path = [], reconcile.kept_by_path
+    monkeypatch.setattr(reconcile, "kept_by_path", lambda rows, label: (out.append((label, exchanges(rows))), kept_by_path(rows, label))[1])
+    entry.queries()["release_many"](spark, SF)
+    by_path = [schema for origin, schema in dict(out)["decisions"] if origin == "REPARTITION_BY_COL"]
+    assert len(by_path) == 1 and '"name":"device_id"' in by_path[0]
+
+
+def test_what_is_hidden_is_so_in_its_own_tree_alone(spark):
+    def tree(root, **of):
+        rows = [(n.split("_"), n.replace("_", "/"), k, False, t, 0, [("x", t)] if k == "file" else [], None, root) for n, (k, t) in of.items()]
+        return spark.createDataFrame(rows, ENTRY + ", device_id string")
+
+    base = {"d": ("dir", 1), "d_a": ("file", 1), "d_e": ("dir", 1), "d_e_b": ("file", 1), "f": ("file", 1), "f2": ("link", 1)}
+    trees = {  # base, local and remote of each root
+        "x": (base, {"d": ("file", 2), "f": ("dir", 1), "f_n": ("file", 3)}, base),
+        "y": (base, base, {"d": ("file", 5), "f": ("dir", 1), "f_n": ("file", 4), "f2": ("file", 1)}),
+        "z": (base, {k: v for k, v in base.items() if k != "d_a"}, base | {"d_n": ("file", 9), "f_n": ("file", 3)}),
+    }
+    rows = lambda df: sorted(map(tuple, df.select("path", "path_str", "b", "l", "r", "decision", "conflict", "winner").collect()), key=lambda r: r[1])
+    many = [tree(next(iter(trees)), **sides[i]).limit(0) for i in range(3) for sides in (next(iter(trees.values())),)]
+    want = []
+    for root, sides in trees.items():
+        one = [tree(root, **s) for s in sides]
+        many = [m.unionByName(o) for m, o in zip(many, one)]
+        want += [([root, *r[0]], f"{root}/{r[1]}", *r[2:]) for r in rows(reconcile.decide(*one, "a", "b"))]
+    got = rows(reconcile.decide(*many, "a", "b", "device_id"))
+    assert got == sorted(want, key=lambda r: r[1]) and {r[1] for r in got} == {"x/d", "x/f", "x/f2", "y/d", "y/f", "y/f2", "z/d/a", "z/d/n", "z/f/n"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import settle as st
+from ..operators.diff import lean
 from ..operators.reconcile import conflict_name
 from . import snapshots as sn
 from .queries import DECIDED, _mismatch, query, versions
@@ -114,7 +115,7 @@ SMALL = "0a" * 32
 def release_many(spark, table):
     """A peer that changed much, one with the same changes whose device yields in ties, one that changed nothing, one without held entries."""
     base, local, remote = sides(table)
-    of = lambda df, *devices: df.withColumn("device_id", F.explode(F.array(*map(F.lit, devices))))
+    of = lambda df, *devices: lean(df).withColumn("device_id", F.explode(F.array(*map(F.lit, devices))))
     bases = of(base, sn.REMOTE_DEVICE, SMALL, "c3" * 32, "d4" * 32)
     remotes = of(remote, sn.REMOTE_DEVICE, SMALL, "d4" * 32).unionByName(of(base, "c3" * 32))
     pairs = [(sn.REMOTE_DEVICE, "a"), (sn.REMOTE_DEVICE, "a"), (sn.REMOTE_DEVICE, "b"), *((d, p) for d in (SMALL, "c3" * 32) for p in "ab")]
